@@ -31,8 +31,7 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     import numpy as np
     import xxhash
 
-    words = (text or "").translate(_LOWER).split(" ")
-    words = [w for w in words if w]
+    words = (text or "").encode().lower().split()  # of bytes: A-Z and the six ASCII spaces, nothing else
     if not words:
         return 0
     n = max(1, len(words) - width + 1)
@@ -42,14 +41,11 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
         here = words[at : min(n, at + AT_ONCE) + width - 1]
         count = min(n, at + AT_ONCE) - at
         rolled = [here[k : k + count] for k in range(min(width, len(here)))]
-        h = np.array([digest(" ".join(s), 42) for s in zip(*rolled, strict=True)], "<u8")
+        h = np.array([digest(b" ".join(s), 42) for s in zip(*rolled, strict=True)], "<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return sum(1 << i for i in range(64) if 2 * int(ones[i]) > n)
 
 
-_LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {ord(c): " " for c in "\t\n\x0b\x0c\r"}
-
-
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a long) for each row. Null and empty texts have fingerprint 0."""
 
