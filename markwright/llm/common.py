@@ -35,9 +35,14 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/markwright/{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files whose DataFrames the program has let go of are removed now, not when the driver's memory fills."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
 
 
 def parts(spark: SparkSession) -> int:

@@ -23,7 +23,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, parts, read, settle
+from .common import map_rows, parts, read, release, settle
 
 WINDOW = 20
 ROUNDS = 3
@@ -266,7 +266,10 @@ def removed(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(parts(docs.sparkSession), -(-size // BUCKET_BYTES))
     common = gathered(map_rows_large(docs, anchors(buckets)), shared)
-    return gathered(map_rows_large(joined(docs, common, "inner"), windows(buckets)), later)
+    release(docs.sparkSession)  # what a stage has shuffled goes before the next one shuffles
+    found = gathered(map_rows_large(joined(docs, common, "inner"), windows(buckets)), later)
+    release(docs.sparkSession)
+    return found
 
 
 def map_rows_large(df: DataFrame, work) -> DataFrame:
