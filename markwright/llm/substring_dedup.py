@@ -219,12 +219,13 @@ def _reduce(judge):
     def run(table):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         def joined(name, kind, rows):
             return np.frombuffer(b"".join(rows[name].to_pylist()), kind)
 
-        has = pa.compute.greater(pa.compute.binary_length(table["keys"]), 0)
-        keyed, rest = table.filter(has), table.filter(pa.compute.invert(has))
+        has = pc.greater(pc.binary_length(table["keys"]), 0)
+        keyed, rest = table.filter(has), table.filter(pc.invert(has))
         keys, doc, place = joined("keys", np.uint64, keyed), joined("docs", np.int64, keyed), joined("places", np.uint32, keyed)
         more = joined("more", np.uint8 if judge is shared else np.uint64, keyed)
         mark = judge(keys, more, doc, place)
