@@ -88,7 +88,7 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def screened(sets: list[list[int]], y: np.ndarray, size: int, most: int) -> list[int]:
+def screened(sets: list[np.ndarray], y: np.ndarray, size: int, most: int) -> list[int]:
     """The features whose rates in the two classes differ most, in standard errors."""
     n1, n = max(1, y.sum()), len(y)
     all_, in1 = np.zeros(size), np.zeros(size)
@@ -110,21 +110,22 @@ class Chain:
         self.known: set[str] = set()
 
     def fit(self, rows: list[tuple], vocabulary: list[str], folds: int = FOLDS) -> Chain:
-        """rows: (fold number, {place in the vocabulary: count}, distinct words, figures, *labels); none: nothing is rejected."""
+        """rows: (fold number, places in the vocabulary, counts (both packed arrays), distinct words, figures, *labels); none:
+        nothing is rejected."""
         if not rows:
             return self
         fold = np.array([r[0] % folds for r in rows])
-        sets, more = [list(r[1]) for r in rows], np.array([r[3] for r in rows], float).reshape(len(rows), N_FIGURES)
+        sets, more = [np.frombuffer(r[1], np.int32) for r in rows], np.array([r[4] for r in rows], float).reshape(len(rows), N_FIGURES)
         before = np.zeros((len(rows), 0))
         for c in range(len(self.chain)):
-            y = np.array([r[4 + c] for r in rows], float)
+            y = np.array([r[5 + c] for r in rows], float)
             chosen = screened(sets, y, len(vocabulary), FEATURES)
-            place = {f: k for k, f in enumerate(chosen)}
+            place = np.full(len(vocabulary), -1)
+            place[chosen] = np.arange(len(chosen))
             x = np.zeros((len(rows), len(chosen)))
-            for i, (_, counts, words, *_) in enumerate(rows):
-                for f, n in counts.items():
-                    if f in place:
-                        x[i, place[f]] = n * weight(words)
+            for i, (_, _, counts, words, *_) in enumerate(rows):
+                at = place[sets[i]]
+                x[i, at[at >= 0]] = np.frombuffer(counts, np.uint8)[at >= 0] * weight(words)
             x = np.hstack([x, more, before])
             unseen = np.zeros(len(rows))
             for k in range(folds):
@@ -133,7 +134,7 @@ class Chain:
                     unseen[here] = np.clip(x[here] @ w[:-1] + w[-1], -8, 8)
             before = np.hstack([before, unseen[:, None]])
             self.known |= {vocabulary[f] for f in chosen}
-            self.models.append(({vocabulary[f]: k for f, k in place.items()}, fit_logistic(x, y)))
+            self.models.append(({vocabulary[f]: k for k, f in enumerate(chosen)}, fit_logistic(x, y)))
         return self
 
     def predict(self, text: str | None) -> list[float]:
@@ -169,11 +170,12 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, samp
     def numbers(rows):
         for doc_id, order, names, counts, *more in rows:
             found = [(shared.value[f], n) for f, n in zip(names, counts, strict=True) if f in shared.value]
-            yield doc_id, order, [f for f, _ in found], [n for _, n in found], *more
+            yield doc_id, order, np.array([f for f, _ in found], np.int32).tobytes(), np.array([n for _, n in found], np.uint8).tobytes(), *more
 
-    rows = map_rows(one, numbers, kinds.format("features array<int>, counts")).collect()
-    rows.sort(key=lambda r: (r["order"], r["doc_id"]))
-    return Chain(chain).fit([(k, dict(zip(r["features"], r["counts"], strict=True)), r["words"], r["figures"], *r["y"]) for k, r in enumerate(rows)], vocabulary)
+    packed = map_rows(one, numbers, "doc_id long, order long, features binary, counts binary, words int, figures array<double>, y array<int>")
+    rows = [(r["order"], r["doc_id"], bytes(r["features"]), bytes(r["counts"]), r["words"], r["figures"], *r["y"]) for r in packed.toLocalIterator()]
+    rows.sort(key=lambda r: r[:2])
+    return Chain(chain).fit([(k, *r[2:]) for k, r in enumerate(rows)], vocabulary)
 
 
 def score(docs: DataFrame, model: Chain, cut: float = CUT) -> DataFrame:
