@@ -1,2 +1,366 @@
-QUERIES = {}
-SQL = {}
+"""The engine's queries on the driver's tables, each with the SQL that gives the same rows.
+
+`documents` stand for answer sheets and answers, `benchmark` for the question bank, `conversations` for numbered records,
+`embeddings` for sentence vectors; `orders` and `lineitem` give numbers to score."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fuzzy, scoring, text
+from ..operators import match, records
+
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def collapsed(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '{SPACE}+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+COUNT = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '" + SPACE + "+'), lambda x: x <> ''))"
+QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def turns(spark, d):
+    return t(spark, d, "conversations")
+
+
+# Text
+
+
+@query(f"""SELECT doc_id, {collapsed("lower(regexp_replace(regexp_replace(" + collapsed("coalesce(text, '')") + ", '[|_]{2,}', ' ', 'g'), '[.]{3,}', ' ', 'g'))")} AS cleaned, {COUNT} AS n_words FROM documents""")
+def clean_text(spark, d):
+    return t(spark, d, "documents").select("doc_id", text.preprocess(F.col("text")).alias("cleaned"), text.word_count(F.col("text")).cast("long").alias("n_words"))
+
+
+@query()
+def squeeze_runs(spark, d):
+    return t(spark, d, "documents").select("doc_id", text.squeeze_runs(F.col("text")).alias("squeezed"))
+
+
+@query("""SELECT doc_id, regexp_replace(regexp_replace(text || 'அa' , '([\\x{0B80}-\\x{0BFF}])([a-zA-Z])', '\\1 \\2', 'g'), '([a-zA-Z])([\\x{0B80}-\\x{0BFF}])', '\\1 \\2', 'g') AS spaced FROM documents""")
+def script_boundary(spark, d):
+    return t(spark, d, "documents").select("doc_id", text.script_boundary(F.concat("text", F.lit("அa"))).alias("spaced"))
+
+
+@query(f"""SELECT doc_id, regexp_replace(lower({collapsed("text")}), '([.?!।]|{SPACE})+$', '') AS match_key FROM documents""")
+def trailing_norm(spark, d):
+    return t(spark, d, "documents").select("doc_id", text.exact_key(F.col("text")).alias("match_key"))
+
+
+FORMS = "CASE turn % 5 WHEN 0 THEN 'Q.0' || turn WHEN 1 THEN '(' || turn || ')' WHEN 2 THEN turn || ')' WHEN 3 THEN 'q ' || turn || '.' ELSE '0' || turn || '.A' END"
+
+
+def forms():
+    n = F.col("turn").cast("string")
+    return F.when(F.col("turn") % 5 == 0, F.concat(F.lit("Q.0"), n)).when(F.col("turn") % 5 == 1, F.concat(F.lit("("), n, F.lit(")"))).when(F.col("turn") % 5 == 2, F.concat(n, F.lit(")"))).when(F.col("turn") % 5 == 3, F.concat(F.lit("q "), n, F.lit("."))).otherwise(F.concat(F.lit("0"), n, F.lit(".A")))
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, {FORMS} AS raw FROM conversations),
+a AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '^\\((.*)\\)$', '\\1'), '(?i)^Q[.\\- ]?\\s*', 'Q'), '[\\s.):]+$', ''), '^(Q?)0+([0-9])', '\\1\\2') AS s FROM r)
+SELECT conv_id, turn, raw, CASE WHEN regexp_matches(s, '^Q[0-9]') THEN s ELSE lower(s) END AS mapped, CASE WHEN regexp_matches(s, '^Q[0-9]+$') THEN s ELSE lower(s) END AS whole FROM a""")
+def canonical_qno(spark, d):
+    r = turns(spark, d).select("conv_id", "turn", forms().alias("raw"))
+    return r.withColumn("mapped", text.canonical_qno(F.col("raw"))).withColumn("whole", text.canonical_qno(F.col("raw"), whole=True))
+
+
+@query(f"SELECT doc_id, {COUNT} AS n_words, CASE WHEN {COUNT} = 0 THEN 'not_attempted' WHEN {COUNT} < 3 THEN 'empty' ELSE 'valid' END AS status FROM documents")
+def status_classify(spark, d):
+    return t(spark, d, "documents").select("doc_id", text.word_count(F.col("text")).cast("long").alias("n_words"), text.answer_status(F.col("text")).alias("status"))
+
+
+# Lines and records
+
+LINES = """l AS (SELECT doc_id, pos - 1 AS line_pos, regexp_replace(regexp_replace(line, '[ \\t\\x{a0}\\x{200B}]+', ' ', 'g'), '^ | $', '', 'g') AS line
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+k AS (SELECT * FROM l WHERE line <> '')"""
+
+
+@query(f"""WITH {LINES}, b AS (SELECT *, count(*) FILTER (WHERE line_pos % 3 = 1) OVER (PARTITION BY doc_id ORDER BY line_pos) AS block FROM k)
+SELECT doc_id, block, {collapsed("string_agg(line, ' ' ORDER BY line_pos)")} AS text FROM b WHERE block > 0 GROUP BY doc_id, block""")
+def line_blocks(spark, d):
+    rows = records.lines(t(spark, d, "documents"), "doc_id", "text")
+    return records.blocks(rows, "doc_id", F.col("line_pos") % 3 == 1)
+
+
+@query(f"""WITH {LINES} SELECT doc_id, line_pos, line, CASE WHEN length(line) < 5 THEN 'short' WHEN regexp_matches(line, '^[0-9]') THEN 'number' ELSE 'text' END AS kind FROM k WHERE line_pos < 10""")
+def diagnose_lines(spark, d):
+    rows = records.lines(t(spark, d, "documents"), "doc_id", "text").where("line_pos < 10")
+    return rows.withColumn("kind", F.when(F.length("line") < 5, "short").when(F.col("line").rlike("^[0-9]"), "number").otherwise("text"))
+
+
+def _dedup(how):
+    def f(spark, d):
+        return how(t(spark, d, "documents").select("source", "lang", "text", "doc_id"), ["source", "lang"], "text", "doc_id")
+
+    return f
+
+
+for _name, _how, _order in (("dedup_first", records.first_of, "doc_id"), ("dedup_last", records.last_of, "doc_id DESC"), ("dedup_longest", records.longest_of, "length(text) DESC, doc_id")):
+    QUERIES[_name] = _dedup(_how)
+    SQL[_name] = f"SELECT source, lang, text, first_id AS doc_id FROM (SELECT *, min(doc_id) OVER (PARTITION BY source, lang) AS first_id, row_number() OVER (PARTITION BY source, lang ORDER BY {_order}) AS k FROM documents) WHERE k = 1"
+
+
+@query("""SELECT conv_id, role, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE text <> ''), '') AS text, min(turn) AS turn FROM conversations GROUP BY conv_id, role""")
+def merge_answers(spark, d):
+    return records.merged(turns(spark, d).select("conv_id", "role", "text", "turn"), ["conv_id", "role"], "text", "turn")
+
+
+@query("""WITH r AS (SELECT * FROM conversations WHERE (conv_id + turn) % 3 <> 1),
+s AS (SELECT conv_id, unnest(generate_series(min(turn), max(turn))) AS turn FROM r GROUP BY conv_id)
+SELECT conv_id, turn FROM s ANTI JOIN r USING (conv_id, turn)""")
+def gap_fill(spark, d):
+    return records.missing_numbers(turns(spark, d).where("(conv_id + turn) % 3 != 1").select("conv_id", "turn"), "conv_id", "turn")
+
+
+@query("""SELECT conv_id, turn FROM conversations ANTI JOIN (SELECT conv_id, turn FROM conversations WHERE role = 'user') USING (conv_id, turn)""")
+def expected_gap(spark, d):
+    c = turns(spark, d)
+    return records.missing_expected(c.select("conv_id", "turn"), c.where("role = 'user'").select("conv_id", "turn"), ["conv_id", "turn"])
+
+
+QNO = "CASE turn % 4 WHEN 0 THEN CAST(turn + 1 AS VARCHAR) WHEN 1 THEN 'Q' || turn || 'b' WHEN 2 THEN chr(97 + CAST(turn % 9 AS INT)) ELSE 'iii' END"
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, {QNO} AS qno FROM conversations),
+k AS (SELECT *, CASE WHEN regexp_matches(qno, '^Q?[0-9]') THEN 0 WHEN qno IN ('i','ii','iii','iv','v','vi','vii','viii') THEN 2 WHEN regexp_matches(qno, '^[a-z]$') THEN 1 ELSE 4 END AS kind FROM r),
+n AS (SELECT *, CASE kind WHEN 0 THEN CAST(regexp_extract(qno, '^Q?([0-9]+)', 1) AS INT) WHEN 2 THEN list_position(['i','ii','iii','iv','v','vi','vii','viii'], qno) ELSE 0 END AS number, ascii(regexp_extract(qno, '^Q?[0-9]+\\.?([a-z]?)', 1)) AS letter FROM k)
+SELECT conv_id, turn, qno, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY kind, number, letter, qno, turn) AS INT) AS place FROM n""")
+def qno_sort_key(spark, d):
+    from pyspark.sql import Window as W
+
+    n = F.col("turn")
+    qno = F.when(n % 4 == 0, (n + 1).cast("string")).when(n % 4 == 1, F.concat(F.lit("Q"), n.cast("string"), F.lit("b"))).when(n % 4 == 2, F.char(97 + n % 9)).otherwise(F.lit("iii"))
+    r = turns(spark, d).select("conv_id", "turn", qno.alias("qno"))
+    return r.withColumn("place", F.row_number().over(W.partitionBy("conv_id").orderBy(records.sort_key(F.col("qno")), "turn")))
+
+
+# Joins
+
+PAIRS = """q AS (SELECT conv_id, turn AS qno, text AS question, turn AS pos FROM conversations WHERE role = 'user' AND conv_id % 5 <> 0),
+a AS (SELECT conv_id, turn - 1 AS qno, text AS answer, turn AS pos FROM conversations WHERE role = 'assistant')"""
+
+
+def _pairs(spark, d):
+    c = turns(spark, d)
+    q = c.where("role = 'user' AND conv_id % 5 != 0").select("conv_id", F.col("turn").alias("qno"), F.col("text").alias("question"), F.col("turn").alias("pos"))
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("qno"), F.col("text").alias("answer"), F.col("turn").alias("pos"))
+    return q, a
+
+
+OUTER = f"""WITH {PAIRS}, m AS (SELECT conv_id, qno, coalesce(question, '') AS question, coalesce(answer, '') AS answer,
+ CASE WHEN q.pos IS NULL THEN 'invalid' WHEN coalesce(answer, '') <> '' THEN 'attempted' ELSE 'unattempted' END AS status,
+ CASE WHEN q.pos IS NULL THEN 1 ELSE 0 END AS side, coalesce(q.pos, a.pos) AS pos FROM q FULL JOIN a USING (conv_id, qno))"""
+
+
+@query(OUTER + " SELECT * FROM m")
+def qa_full_outer(spark, d):
+    return records.question_answers(*_pairs(spark, d), ["conv_id", "qno"])
+
+
+@query(OUTER + " SELECT conv_id, qno, question, answer, status FROM m WHERE side = 0")
+def qa_left(spark, d):
+    q, a = _pairs(spark, d)
+    j = q.join(a.drop("pos"), ["conv_id", "qno"], "left")
+    return j.select("conv_id", "qno", "question", F.coalesce("answer", F.lit("")).alias("answer"), F.when(F.coalesce("answer", F.lit("")) != "", "attempted").otherwise("unattempted").alias("status"))
+
+
+@query(f"WITH {PAIRS} SELECT conv_id, qno, answer FROM a ANTI JOIN q USING (conv_id, qno)")
+def qa_orphans(spark, d):
+    q, a = _pairs(spark, d)
+    return a.join(q, ["conv_id", "qno"], "left_anti").select("conv_id", "qno", "answer")
+
+
+@query(OUTER + " SELECT status, count(*) AS n FROM m GROUP BY status")
+def mapping_counts(spark, d):
+    return qa_full_outer(spark, d).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT b.item_id, b.text AS question, d.doc_id, d.text AS answer FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id + 1")
+def positional_join(spark, d):
+    b, docs = t(spark, d, "benchmark"), t(spark, d, "documents").select("doc_id", F.col("text").alias("answer"))
+    return b.select("item_id", F.col("text").alias("question"), (F.col("item_id") + 1).alias("doc_id0")).join(docs, F.col("doc_id0") == F.col("doc_id"), "left").select("item_id", "question", "doc_id", "answer")
+
+
+KEY = f"regexp_replace(lower({collapsed('text')}), '([.?!।]|{SPACE})+$', '')"
+
+
+@query(f"""WITH k AS (SELECT doc_id, {KEY} AS key FROM documents) SELECT q.doc_id AS q_id, min(b.doc_id) AS bank_pos FROM k q JOIN k b USING (key) WHERE q.doc_id % 2 = 1 AND b.doc_id % 2 = 0 GROUP BY q.doc_id""")
+def exact_bank_match(spark, d):
+    docs = t(spark, d, "documents")
+    return match.exact(docs.where("doc_id % 2 = 1").select(F.col("doc_id").alias("q_id"), F.col("text").alias("question")), docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("bank_pos"), F.col("text").alias("question")))
+
+
+NEAREST = """WITH p AS (SELECT q.vec_id AS q_id, b.vec_id AS bank_pos, round(list_dot_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+ FROM embeddings q, embeddings b WHERE q.vec_id % 10 = 0 AND b.vec_id % 10 <> 0),
+r AS (SELECT *, row_number() OVER w AS k, lead(score, 1, 0.0) OVER w AS second FROM p WINDOW w AS (PARTITION BY q_id ORDER BY score DESC, bank_pos))"""
+
+
+def _nearest(spark, d):
+    v = t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    n = match.nearest(v.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "q_id"), v.where("vec_id % 10 != 0").withColumnRenamed("vec_id", "bank_pos"))
+    return n.withColumn("score", F.round("score", 6)).withColumn("second", F.round("second", 6))
+
+
+@query(NEAREST + " SELECT q_id, bank_pos, score FROM r WHERE k = 1 AND score >= 0.35")
+def nn_top1(spark, d):
+    return _nearest(spark, d).where("score >= 0.35").select("q_id", "bank_pos", "score")
+
+
+@query(NEAREST + " SELECT q_id, bank_pos, score, second, CASE WHEN score < 0.35 THEN 'below' WHEN score - second < 0.03 THEN 'ambiguous' ELSE 'accepted' END AS verdict FROM r WHERE k = 1")
+def nn_margin(spark, d):
+    return match.with_margin(_nearest(spark, d), 0.35, 0.03)
+
+
+# Scores
+
+
+@query("""WITH w AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: length(x) > 6)) AS kws FROM benchmark),
+k AS (SELECT item_id, unnest(kws) AS kw FROM w), c AS (SELECT doc_id, lower(text) AS body FROM documents)
+SELECT item_id, doc_id, count(*) AS n_keywords, count(*) FILTER (WHERE contains(body, kw)) AS n_found FROM k, c GROUP BY item_id, doc_id HAVING count(*) FILTER (WHERE contains(body, kw)) > 0""")
+def keyword_coverage(spark, d):
+    b = t(spark, d, "benchmark").select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) > 6)).alias("kws"))
+    docs = t(spark, d, "documents").select("doc_id", F.lower("text").alias("body"))
+    both = docs.crossJoin(F.broadcast(b.where(F.size("kws") > 0)))  # a question bank: its size is checked where banks are read
+    found = F.size(F.filter("kws", lambda k: F.contains(F.col("body"), k))).cast("long")
+    return both.select("item_id", "doc_id", F.size("kws").cast("long").alias("n_keywords"), found.alias("n_found")).where("n_found > 0")
+
+
+def _graded(spark, d):
+    """Documents as answers to benchmark questions (item = doc_id modulo their number), with keyword ratios."""
+    n = t(spark, d, "benchmark").count()
+    b = t(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.slice(F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) > 6)), 1, 6).alias("keywords"))
+    docs = t(spark, d, "documents").where(text.word_count(F.col("text")) <= 60).select("doc_id", text.preprocess(F.col("text")).alias("answer"), (F.col("doc_id") % n).alias("item"))
+    return docs.join(b, "item").withColumn("found", fuzzy.ratios("keywords", "answer"))
+
+
+@query()
+def fuzzy_keywords(spark, d):
+    g = _graded(spark, d)
+    ones = F.transform("keywords", lambda x: F.lit(1.0))
+    return g.select("doc_id", F.round(fuzzy.keyword_score(ones, F.col("found")), 2).alias("keyword_score"), F.array_join(fuzzy.matched(F.col("keywords"), F.col("found")), ", ").alias("matched"), F.array_join(fuzzy.missing(F.col("keywords"), F.col("found")), ", ").alias("missing"))
+
+
+@query()
+def concept_score(spark, d):
+    g = _graded(spark, d).withColumn("concepts", F.transform("keywords", lambda x: F.array(x, F.substring(x, 1, 5))))
+    return g.withColumn("flags", fuzzy.covered("concepts", "answer")).select("doc_id", F.round(fuzzy.concept_score(F.col("flags")), 2).alias("concept_score"))
+
+
+INPUTS = "SELECT l_orderkey, l_linenumber, l_quantity / 5 AS sem, l_discount * 100 AS kw, l_tax * 125 AS con, l_discount AS ctr, CAST(l_quantity AS INT) AS words, 5 AS most FROM lineitem"
+FORMULA = f"""WITH i AS ({INPUTS}), f AS (SELECT *, CASE WHEN words <= 0 THEN 0.0 ELSE least(1.0::DOUBLE, words / (0.35::DOUBLE * 15 * greatest(most, 1))) END AS factor,
+ greatest(0.0::DOUBLE, least(10.0::DOUBLE, (0.5::DOUBLE * sem + 0.25::DOUBLE * kw + 0.25::DOUBLE * con) * (1 - 0.5::DOUBLE * ctr))) AS raw FROM i),
+a AS (SELECT *, CASE WHEN factor < 1 THEN 0.85::DOUBLE + 0.15::DOUBLE * factor ELSE 1.0::DOUBLE END AS adjustment FROM f),
+m AS (SELECT *, CASE WHEN sem < 2 THEN least(raw * adjustment, 2.0::DOUBLE) ELSE raw * adjustment END AS marks FROM a)"""
+
+
+def _scored(spark, d):
+    i = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 5).alias("sem"), (F.col("l_discount") * 100).alias("kw"), (F.col("l_tax") * 125).alias("con"), F.col("l_discount").alias("ctr"), F.col("l_quantity").cast("int").alias("words"), F.lit(5).alias("most"))
+    i = i.withColumn("factor", scoring.length_factor(F.col("words"), F.col("most"))).withColumn("raw", scoring.raw_score(F.col("sem"), F.col("kw"), F.col("con"), F.col("ctr")))
+    i = i.withColumn("adjustment", scoring.length_adjustment(F.col("factor")))
+    return i.withColumn("marks", scoring.final_marks(F.col("raw"), F.col("adjustment"), F.col("sem") < 2))
+
+
+@query(FORMULA + " SELECT l_orderkey, l_linenumber, round(factor, 6) AS factor, round(adjustment, 6) AS adjustment FROM m")
+def length_factor(spark, d):
+    return _scored(spark, d).select("l_orderkey", "l_linenumber", F.round("factor", 6).alias("factor"), F.round("adjustment", 6).alias("adjustment"))
+
+
+@query(FORMULA + " SELECT l_orderkey, l_linenumber, raw, marks, least(marks * most / 10, most) AS final FROM m")
+def score_formula(spark, d):
+    s = _scored(spark, d)
+    return s.select("l_orderkey", "l_linenumber", "raw", "marks", scoring.scaled(F.col("marks"), F.col("most")).alias("final"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round_even(l_quantity / 4 * 2, 0) / 2 AS rounded FROM lineitem")
+def half_step(spark, d):
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scoring.half_step(F.col("l_quantity") / 4).alias("rounded"))
+
+
+@query(NEAREST + " SELECT q_id, CASE WHEN score < 0.2 THEN 'irrelevant' WHEN score < 0.35 THEN 'partial' ELSE 'relevant' END AS band, count(*) AS n FROM p GROUP BY ALL")
+def relevance_band(spark, d):
+    v = t(spark, d, "embeddings").select("vec_id", "embedding")
+    bank = v.where("vec_id % 10 != 0").select(F.col("embedding").alias("b"))
+    pairs = v.where("vec_id % 10 = 0").crossJoin(bank)
+    score = F.round(scoring.cosine(F.col("embedding"), F.col("b")), 6)
+    return pairs.select(F.col("vec_id").alias("q_id"), scoring.relevance(score).alias("band")).groupBy("q_id", "band").agg(F.count("*").alias("n"))
+
+
+@query(FORMULA + """, b AS (SELECT *, CASE WHEN kw < 1 THEN 'irrelevant' WHEN kw < 2 THEN 'partial' ELSE 'relevant' END AS band FROM m)
+SELECT l_orderkey, l_linenumber, CASE WHEN band = 'irrelevant' THEN 'The answer isn''t about the question.' WHEN band = 'partial' THEN 'The answer is about the question in part only.'
+ ELSE coalesce(nullif(concat_ws('; ', CASE WHEN factor < 0.35 THEN 'The answer is too short.' END, CASE WHEN sem < 6 THEN 'The meaning differs from the model answer.' END,
+ CASE WHEN sem / 10 < 0.45 THEN 'The match with the model answer is uncertain.' END), ''), 'Good answer.') END AS feedback FROM b""")
+def feedback_list(spark, d):
+    none = F.array().cast("array<string>")
+    s = _scored(spark, d).withColumn("band", F.when(F.col("kw") < 1, "irrelevant").when(F.col("kw") < 2, "partial").otherwise("relevant"))
+    lines = scoring.feedback(F.col("band"), F.col("ctr"), F.col("factor"), F.col("sem"), F.col("sem") / 10, none, none, F.lit(0))
+    return s.select("l_orderkey", "l_linenumber", F.array_join(lines, "; ").alias("feedback"))
+
+
+# Reports
+
+
+@query("""SELECT o_custkey, round(sum(l_quantity), 2) AS total, sum(50.0::DOUBLE) AS max_total, round(100 * sum(l_quantity) / sum(50.0::DOUBLE), 2) AS percentage FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey""")
+def report_totals(spark, d):
+    j = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    a = j.groupBy("o_custkey").agg(F.sum("l_quantity").alias("total"), F.sum(F.lit(50.0)).alias("max_total"))
+    return a.select("o_custkey", F.round("total", 2).alias("total"), "max_total", F.round(scoring.percentage(F.col("total"), F.col("max_total")), 2).alias("percentage"))
+
+
+GRADES = f"g AS (SELECT doc_id, quality, least(10.0, {COUNT} / 50.0)::DOUBLE AS score FROM documents JOIN labels USING (doc_id))"
+
+
+def _grades(spark, d):
+    j = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
+    return j.select("doc_id", "quality", F.least(F.lit(10.0), text.word_count(F.col("text")) / 50.0).alias("score"))
+
+
+@query(f"WITH {GRADES} SELECT round(avg(score), 6) AS mean, min(score) AS low, max(score) AS high, round(stddev_pop(score), 6) AS deviation, count(*) FILTER (WHERE score < 2) AS n_irrelevant, count(*) AS n FROM g")
+def summary_stats(spark, d):
+    return _grades(spark, d).agg(F.round(F.avg("score"), 6).alias("mean"), F.min("score").alias("low"), F.max("score").alias("high"), F.round(F.stddev_pop("score"), 6).alias("deviation"), F.count_if(F.col("score") < 2).alias("n_irrelevant"), F.count("*").alias("n"))
+
+
+@query(f"WITH {GRADES} SELECT round(avg(quality * 10.0::DOUBLE), 6) AS expected, round(avg(abs(score - quality * 10.0::DOUBLE)), 6) AS mae, round(sqrt(avg((score - quality * 10.0::DOUBLE) * (score - quality * 10.0::DOUBLE))), 6) AS rmse, count(*) AS n FROM g WHERE quality IS NOT NULL")
+def accuracy_metrics(spark, d):
+    e = F.col("score") - F.col("quality") * 10.0
+    return _grades(spark, d).where("quality IS NOT NULL").agg(F.round(F.avg(F.col("quality") * 10.0), 6).alias("expected"), F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.count("*").alias("n"))
+
+
+@query("SELECT user_id, round(avg(value), 4) AS confidence FROM events WHERE value <> 0 GROUP BY user_id")
+def page_confidence(spark, d):
+    return t(spark, d, "events").where("value != 0").groupBy("user_id").agg(F.round(F.avg("value"), 4).alias("confidence"))
+
+
+@query("SELECT s AS subject, m AS medium, s IN ('tamil', 'english') AS is_language FROM (VALUES ('tamil'), ('english'), ('science'), ('social'), ('maths')) a(s), (VALUES ('tamil'), ('english')) b(m) WHERE s NOT IN ('tamil', 'english') OR s = m")
+def subject_inventory(spark, d):
+    s = spark.createDataFrame([(x,) for x in ("tamil", "english", "science", "social", "maths")], "subject string")
+    m = spark.createDataFrame([(x,) for x in ("tamil", "english")], "medium string")
+    language = F.col("subject").isin("tamil", "english")
+    return s.crossJoin(F.broadcast(m)).where(~language | (F.col("subject") == F.col("medium"))).withColumn("is_language", language)
+
+
+@query()
+def score_answers(spark, d):
+    """The flagship: documents as answers to bank questions; keyword ratios, length and score, marks in halves, feedback."""
+    g = _graded(spark, d)
+    ones = F.transform("keywords", lambda x: F.lit(1.0))
+    g = g.withColumn("keyword", F.round(fuzzy.keyword_score(ones, F.col("found")), 2)).withColumn("factor", scoring.length_factor(text.word_count(F.col("answer")), F.lit(5)))
+    g = g.withColumn("raw", scoring.raw_score(F.col("keyword"), F.col("keyword"), F.lit(0.0), F.lit(0.0))).withColumn("marks", scoring.final_marks(F.col("raw"), scoring.length_adjustment(F.col("factor")), F.lit(False)))
+    none = F.array().cast("array<string>")
+    lines = scoring.feedback(scoring.relevance(F.col("keyword") / 10), F.lit(0.0), F.col("factor"), F.col("keyword"), F.col("keyword") / 10, none, fuzzy.missing(F.col("keywords"), F.col("found")), F.size("keywords"))
+    return g.select("doc_id", "item", "keyword", F.round("raw", 4).alias("raw"), F.round("marks", 2).alias("marks"), scoring.half_step(scoring.scaled(F.col("marks"), F.lit(5))).alias("rounded"), F.array_join(lines, "; ").alias("feedback"))
