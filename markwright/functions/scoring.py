@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 W_SEMANTIC, W_KEYWORD, W_CONCEPT, W_CONTRADICTION = 0.5, 0.25, 0.25, 0.5
 IRRELEVANT, PARTLY = 0.20, 0.35
 PARTIAL_CAP = 2.0
-WORDS_PER_MARK, LENGTH_SHARE, LENGTH_FLOOR = 15, 0.35, 0.85
+WORDS_PER_MARK, LENGTH_SHARE, LENGTH_FLOOR, LENGTH_REST = 15, 0.35, 0.85, 0.15
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
@@ -32,7 +32,7 @@ def length_factor(words: Column, max_marks: Column) -> Column:
 
 
 def length_adjustment(factor: Column) -> Column:
-    return F.when(factor < 1, LENGTH_FLOOR + (1 - LENGTH_FLOOR) * factor).otherwise(F.lit(1.0))
+    return F.when(factor < 1, LENGTH_FLOOR + LENGTH_REST * factor).otherwise(F.lit(1.0))
 
 
 def raw_score(semantic: Column, keyword: Column, concept: Column, contradiction: Column) -> Column:
