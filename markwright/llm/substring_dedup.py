@@ -28,9 +28,9 @@ from .common import map_rows, parts, read, release, settle
 WINDOW = 20
 ROUNDS = 3
 SIDE = 6  # words on either side of an anchor in its key; 20 - 2 * 6 = 8 = 2 ** ROUNDS
-BATCH_WORDS = 1_000_000
+BATCH_WORDS = 500_000
 BUCKET_BYTES = 8 << 20
-KNOWN = 500_000
+KNOWN = 300_000
 BROADCAST_BYTES = 8 << 20
 NULL_ID = -(1 << 63)
 
