@@ -1,6 +1,7 @@
 """Matching questions to the bank: exact text first, then nearest neighbours."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scoring import cosine
@@ -19,14 +20,14 @@ def exact(questions: DataFrame, bank: DataFrame) -> DataFrame:
 def nearest(queries: DataFrame, bank: DataFrame) -> DataFrame:
     """q_id, bank_pos, score, second: the entry of the highest cosine, the earlier of equals, and the next best score (0 if none).
 
-    queries: q_id, vector; bank: bank_pos, vector, a question bank of BANK_ROWS at most (checked), so it is broadcast and the
-    queries aren't shuffled; the best two are kept by partial aggregation. A larger bank needs an index and is refused."""
-    if (n := bank.limit(BANK_ROWS + 1).count()) > BANK_ROWS:
-        raise ValueError(f"a question bank has {BANK_ROWS} entries at most; this one has {n} or more")
-    pairs = queries.select("q_id", F.col("vector").alias("q")).crossJoin(F.broadcast(bank.select("bank_pos", F.col("vector").alias("b"))))
-    scored = pairs.select("q_id", F.struct(cosine(F.col("q"), F.col("b")).alias("score"), (-F.col("bank_pos")).alias("order")).alias("s"))
-    best = scored.groupBy("q_id").agg(F.max("s").alias("s"), F.sort_array(F.collect_list("s"), asc=False).alias("two"))
-    return best.select("q_id", (-F.col("s.order")).alias("bank_pos"), F.col("s.score").alias("score"), F.coalesce(F.get("two", 1)["score"], F.lit(0.0)).alias("second"))
+    queries: q_id, vector; bank: bank_pos, vector. A bank of BANK_ROWS entries at most (counted) is broadcast, and the queries
+    aren't shuffled; a larger one is paired block by block without a broadcast. Each task keeps the best two of a query."""
+    small = bank.limit(BANK_ROWS + 1).count() <= BANK_ROWS
+    entries = bank.select("bank_pos", F.col("vector").alias("b"))
+    pairs = queries.select("q_id", F.col("vector").alias("q")).crossJoin(F.broadcast(entries) if small else entries)
+    scored = pairs.select("q_id", "bank_pos", cosine(F.col("q"), F.col("b")).alias("score"))
+    best = scored.withColumn("k", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "bank_pos"))).where("k <= 2")
+    return best.groupBy("q_id").agg(F.min_by("bank_pos", "k").alias("bank_pos"), F.min_by("score", "k").alias("score"), F.coalesce(F.max(F.when(F.col("k") == 2, F.col("score"))), F.lit(0.0)).alias("second"))
 
 
 def with_margin(found: DataFrame, threshold: float = 0.75, margin: float = 0.08) -> DataFrame:
