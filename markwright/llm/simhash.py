@@ -105,12 +105,3 @@ def classes(docs: DataFrame, width: int = SHINGLE, hot: int = HOT) -> DataFrame:
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(read(spark, sf_dir, "documents"))
-
-
-def drop_near(docs: DataFrame, width: int = 5) -> DataFrame:
-    """`docs`, all columns, with one document of each class of `classes`: the one with the smallest id.
-
-    Rows that repeat the id of the one that stays all stay, as do rows with a null id."""
-    found = settle(classes(docs, width))
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from markwright.llm import bpe, exact_dedup, mixing, pii, quality, sharding, simhash, substring_dedup, toxicity, warc
+from markwright.llm import bpe, exact_dedup, mixing, near, pii, quality, sharding, simhash, substring_dedup, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -131,7 +131,6 @@ def test_simhash(docs, empty, hot):
     got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.classes(docs, hot=hot).collect()}
     assert got == {i: (fp[i], root[i]) for i in fp}
     assert simhash.classes(empty).count() == 0
-    assert simhash.drop_near(docs).columns == docs.columns
 
 
 def test_quality_counts_and_verdict(docs, empty, spark):
@@ -233,3 +232,53 @@ def test_toxicity(spark, empty):
     none = toxicity.fit(df, toxicity.chain_labels(labels.where("doc_id < 0")))
     assert toxicity.score(df, none).where("rejected").count() == 0
     assert toxicity.score(empty.select("doc_id", "text"), model).count() == 0
+
+
+def near_texts():
+    r = random.Random(11)
+    make = lambda n: [r.choice("abcdefghijklmnop") + str(r.randint(0, 400)) for _ in range(n)]
+    out = []
+    for _ in range(12):
+        base = make(r.randint(60, 300))
+        out.append(base)
+        for _ in range(4):
+            w = list(base)
+            for at in r.sample(range(len(w)), r.randint(1, max(1, len(w) // 40))):
+                w[at] = "changed" + str(r.random())
+            out.append(w)
+    crowd = make(150)
+    out += [crowd[:k] + [f"other{k}"] + crowd[k + 1 :] for k in range(5, 125, 2)]
+    half = crowd[:75] + make(75)
+    out += [half, half[:20] + ["again"] + half[21:], ["a", "b"], ["A", "b"], ["a", "b", "c", "d", "e"], ["a", "b", "c", "d", "f"], make(4000)]
+    return [" ".join(w) for w in out] + [None, "", " \t", " ".join(crowd).upper()]
+
+
+def test_near_against_all_pairs(spark):
+    some = near_texts()
+    docs = spark.createDataFrame([(k, t, "clash", 1, True) for k, t in enumerate(some)] + [(None, some[0], "x", 1, True), (None, "no one else has this text here", "x", 1, True)], "doc_id long, text string, sig string, p int, deep boolean").repartition(3)
+
+    def held(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [held(t) for t in some]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 10 * both >= 8 * (len(sets[a]) + len(sets[b]) - both):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    got = near.classes(docs).collect()
+    assert len(got) == len(some) + 2
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == {k: find(k) for k in range(len(some))}
+    assert sorted((r.component_id for r in got if r.doc_id is None), key=str) == [0, None]
+    kept = near.drop_near(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [k for k in range(len(some)) if find(k) == k]
+    assert near.classes(docs.where("doc_id < -5")).count() == 0
