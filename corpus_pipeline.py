@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markwright.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from markwright.llm import bpe, exact_dedup, mixing, near, toxicity
 from markwright.llm.common import read, shared_dir
 
 
@@ -21,8 +21,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the one with the smallest id stays."""
-    return simhash.drop_near(docs)
+    """Of each class of near copies (five-word shingles, similarity 0.8 or more) the one with the smallest id stays."""
+    return near.drop_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
