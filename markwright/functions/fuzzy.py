@@ -9,23 +9,59 @@ from pyspark.sql import types as T
 FULL, PART, CONCEPT = 0.75, 0.40, 0.70
 
 
+def _bounds(counts, lengths, keyword: str, size: int):
+    """For each window of `size` words the most its ratio can be: twice the letters in common, over both lengths."""
+    import numpy as np
+
+    n = len(lengths) - size + 1
+    total = sum(lengths[k : k + n] for k in range(size)) + size - 1
+    common = np.zeros(n, np.int64)
+    for c in set(keyword):
+        here = sum(counts[c][k : k + n] for k in range(size)) if c != " " else np.full(n, size - 1)
+        common += np.minimum(here, keyword.count(c))
+    return 2.0 * common / (total + len(keyword))
+
+
+def _ratios(keywords, text: str | None) -> list[float]:
+    """The ratio of each keyword: windows are tried in the order of their bounds, until none can be better."""
+    import numpy as np
+
+    text = text or ""
+    words, out = text.split(), []
+    lengths, counts = np.array([len(w) for w in words], np.int64), {}
+    for keyword in keywords:
+        keyword = keyword or ""
+        if keyword in text:
+            out.append(1.0)
+            continue
+        for c in set(keyword) - counts.keys():
+            counts[c] = np.array([w.count(c) for w in words], np.int64)
+        n, best = len(keyword.split()), 0.0
+        for size in {n, max(1, n - 1), n + 1} - {0}:
+            if size > len(words):
+                continue
+            bounds = _bounds(counts, lengths, keyword, size)
+            seen = set()
+            for at in np.argsort(-bounds, kind="stable"):
+                if bounds[at] <= best:
+                    break
+                window = " ".join(words[at : at + size])
+                if window not in seen:
+                    seen.add(window)
+                    best = max(best, SequenceMatcher(None, keyword, window).ratio())
+        out.append(best)
+    return out
+
+
 def ratio(keyword: str | None, text: str | None) -> float:
     """1 if the text holds the keyword; else the best similarity with a window of as many words, one fewer or one more."""
-    keyword, text = keyword or "", text or ""
-    if keyword in text:
-        return 1.0
-    words, n = text.split(), len(keyword.split())
-    best = 0.0
-    for size in {n, max(1, n - 1), n + 1}:
-        for at in range(len(words) - size + 1):
-            best = max(best, SequenceMatcher(None, keyword, " ".join(words[at : at + size])).ratio())
-    return best
+    return _ratios([keyword], text)[0]
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def ratios(keywords: pd.Series, text: pd.Series) -> pd.Series:
     """The ratio of each keyword of a row's array with the row's text."""
-    return pd.Series([[ratio(k, t) for k in (ks if ks is not None else ())] for ks, t in zip(keywords, text, strict=True)])
+    return pd.Series([_ratios(ks if ks is not None else (), t) for ks, t in zip(keywords, text, strict=True)])
 
 
 def keyword_score(weights, found):

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy, scoring, text
+from ..functions import fuzzy, scoring, sheets, text
 from ..operators import match, records
 
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -98,9 +98,9 @@ def line_blocks(spark, d):
     return records.blocks(rows, "doc_id", F.col("line_pos") % 3 == 1)
 
 
-@query(f"""WITH {LINES} SELECT doc_id, line_pos, line, CASE WHEN length(line) < 5 THEN 'short' WHEN regexp_matches(line, '^[0-9]') THEN 'number' ELSE 'text' END AS kind FROM k WHERE line_pos < 10""")
+@query(f"""WITH {LINES} SELECT doc_id, line_pos, line, CASE WHEN length(line) < 5 THEN 'short' WHEN regexp_matches(line, '^[0-9]') THEN 'number' ELSE 'text' END AS kind FROM k""")
 def diagnose_lines(spark, d):
-    rows = records.lines(t(spark, d, "documents"), "doc_id", "text").where("line_pos < 10")
+    rows = records.lines(t(spark, d, "documents"), "doc_id", "text")
     return rows.withColumn("kind", F.when(F.length("line") < 5, "short").when(F.col("line").rlike("^[0-9]"), "number").otherwise("text"))
 
 
@@ -121,11 +121,11 @@ def merge_answers(spark, d):
     return records.merged(turns(spark, d).select("conv_id", "role", "text", "turn"), ["conv_id", "role"], "text", "turn")
 
 
-@query("""WITH r AS (SELECT * FROM conversations WHERE (conv_id + turn) % 3 <> 1),
+@query("""WITH r AS (SELECT * FROM conversations WHERE role = 'user'),
 s AS (SELECT conv_id, unnest(generate_series(min(turn), max(turn))) AS turn FROM r GROUP BY conv_id)
 SELECT conv_id, turn FROM s ANTI JOIN r USING (conv_id, turn)""")
 def gap_fill(spark, d):
-    return records.missing_numbers(turns(spark, d).where("(conv_id + turn) % 3 != 1").select("conv_id", "turn"), "conv_id", "turn")
+    return records.missing_numbers(turns(spark, d).where("role = 'user'").select("conv_id", "turn"), "conv_id", "turn")
 
 
 @query("""SELECT conv_id, turn FROM conversations ANTI JOIN (SELECT conv_id, turn FROM conversations WHERE role = 'user') USING (conv_id, turn)""")
@@ -150,16 +150,54 @@ def qno_sort_key(spark, d):
     return r.withColumn("place", F.row_number().over(W.partitionBy("conv_id").orderBy(records.sort_key(F.col("qno")), "turn")))
 
 
+# Recognised lines: numbers stand before the texts of turns, as no text here starts with one
+
+
+def numbered(spark, d):
+    return turns(spark, d).select("conv_id", "turn", F.concat_ws(" ", forms(), text.clean_line(F.col("text"))).alias("line"))
+
+
+NUMBERED = f"n AS (SELECT conv_id, turn, concat_ws(' ', {FORMS}, regexp_replace(regexp_replace(text, '[ \\t\\x{{a0}}\\x{{200B}}]+', ' ', 'g'), '^ | $', '', 'g')) AS line FROM conversations)"
+
+
+@query(f"""WITH {NUMBERED}, m AS (SELECT *, regexp_extract(line, '^(Q[.-]?)?[0-9]{{1,3}}([.):-]\\s*)?') AS token FROM n)
+SELECT conv_id, turn, nullif(regexp_replace(regexp_replace(trim(token), '[\\s.):]+$', ''), '^Q[.-]', 'Q'), '') AS qno, CASE WHEN token = '' THEN line ELSE regexp_replace(substr(line, length(token) + 1), '^{SPACE}+|{SPACE}+$', '', 'g') END AS rest FROM m""")
+def answer_number(spark, d):
+    return numbered(spark, d).withColumn("n", sheets.answer_number(F.col("line"))).select("conv_id", "turn", "n.qno", "n.rest")
+
+
+@query()
+def paper_number(spark, d):
+    return numbered(spark, d).withColumn("n", sheets.paper_number(F.col("line"))).select("conv_id", "turn", "n.qno", "n.rest", sheets.continues(F.col("line")).alias("continues"))
+
+
+@query(f"""WITH {LINES} SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(line, '(?i)^(page|reg(ister)?\\.?{SPACE}*no|roll|name|date|time|marks|maximum|total|instructions|part{SPACE}+[a-z]|subject)([^\\p{{L}}\\p{{N}}_]|$)')
+ OR regexp_matches(line, '^[*\\-–—_=]{{2,}}$|^[-–]? *\\p{{Nd}}{{1,3}} *[-–]?$|^\\p{{Nd}}{{1,2}}[/-]\\p{{Nd}}{{1,2}}[/-]\\p{{Nd}}{{2,4}}$') OR regexp_matches(line, '(?i)^(contd\\.?|p\\.?t\\.?o\\.?|over)$')) AS n_noise FROM k GROUP BY doc_id""")
+def noise_lines(spark, d):
+    rows = records.lines(t(spark, d, "documents"), "doc_id", "text")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(sheets.is_noise(F.col("line"))).alias("n_noise"))
+
+
+@query()
+def split_blocks(spark, d):
+    return t(spark, d, "documents").withColumn("b", sheets.split_block(F.coalesce("text", F.lit("")))).select("doc_id", "b.question", "b.answer")
+
+
+@query()
+def repaired_text(spark, d):
+    return t(spark, d, "documents").select("doc_id", sheets.repaired(F.col("text")).alias("repaired"))
+
+
 # Joins
 
-PAIRS = """q AS (SELECT conv_id, turn AS qno, text AS question, turn AS pos FROM conversations WHERE role = 'user' AND conv_id % 5 <> 0),
-a AS (SELECT conv_id, turn - 1 AS qno, text AS answer, turn AS pos FROM conversations WHERE role = 'assistant')"""
+PAIRS = """q AS (SELECT conv_id, turn AS qno, text AS question, turn AS pos FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn - 1 AS qno, text AS answer, turn AS pos FROM conversations WHERE role <> 'user')"""
 
 
 def _pairs(spark, d):
     c = turns(spark, d)
-    q = c.where("role = 'user' AND conv_id % 5 != 0").select("conv_id", F.col("turn").alias("qno"), F.col("text").alias("question"), F.col("turn").alias("pos"))
-    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("qno"), F.col("text").alias("answer"), F.col("turn").alias("pos"))
+    q = c.where("role = 'user'").select("conv_id", F.col("turn").alias("qno"), F.col("text").alias("question"), F.col("turn").alias("pos"))
+    a = c.where("role != 'user'").select("conv_id", (F.col("turn") - 1).alias("qno"), F.col("text").alias("answer"), F.col("turn").alias("pos"))
     return q, a
 
 
@@ -200,20 +238,20 @@ def positional_join(spark, d):
 KEY = f"regexp_replace(lower({collapsed('text')}), '([.?!।]|{SPACE})+$', '')"
 
 
-@query(f"""WITH k AS (SELECT doc_id, {KEY} AS key FROM documents) SELECT q.doc_id AS q_id, min(b.doc_id) AS bank_pos FROM k q JOIN k b USING (key) WHERE q.doc_id % 2 = 1 AND b.doc_id % 2 = 0 GROUP BY q.doc_id""")
+@query(f"""WITH k AS (SELECT doc_id, {KEY} AS key FROM documents) SELECT q.doc_id AS q_id, min(b.doc_id) AS bank_pos FROM k q JOIN k b USING (key) GROUP BY q.doc_id""")
 def exact_bank_match(spark, d):
     docs = t(spark, d, "documents")
-    return match.exact(docs.where("doc_id % 2 = 1").select(F.col("doc_id").alias("q_id"), F.col("text").alias("question")), docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("bank_pos"), F.col("text").alias("question")))
+    return match.exact(docs.select(F.col("doc_id").alias("q_id"), F.col("text").alias("question")), docs.select(F.col("doc_id").alias("bank_pos"), F.col("text").alias("question")))
 
 
 NEAREST = """WITH p AS (SELECT q.vec_id AS q_id, b.vec_id AS bank_pos, round(list_dot_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
- FROM embeddings q, embeddings b WHERE q.vec_id % 10 = 0 AND b.vec_id % 10 <> 0),
+ FROM embeddings q, embeddings b WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER w AS k, lead(score, 1, 0.0) OVER w AS second FROM p WINDOW w AS (PARTITION BY q_id ORDER BY score DESC, bank_pos))"""
 
 
 def _nearest(spark, d):
     v = t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    n = match.nearest(v.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "q_id"), v.where("vec_id % 10 != 0").withColumnRenamed("vec_id", "bank_pos"))
+    n = match.nearest(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "q_id"), v.withColumnRenamed("vec_id", "bank_pos"))
     return n.withColumn("score", F.round("score", 6)).withColumn("second", F.round("second", 6))
 
 
@@ -246,7 +284,7 @@ def _graded(spark, d):
     """Documents as answers to benchmark questions (item = doc_id modulo their number), with keyword ratios."""
     n = t(spark, d, "benchmark").count()
     b = t(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.slice(F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) > 6)), 1, 6).alias("keywords"))
-    docs = t(spark, d, "documents").where(text.word_count(F.col("text")) <= 60).select("doc_id", text.preprocess(F.col("text")).alias("answer"), (F.col("doc_id") % n).alias("item"))
+    docs = t(spark, d, "documents").select("doc_id", text.preprocess(F.col("text")).alias("answer"), (F.col("doc_id") % n).alias("item"))
     return docs.join(b, "item").withColumn("found", fuzzy.ratios("keywords", "answer"))
 
 
@@ -296,8 +334,8 @@ def half_step(spark, d):
 @query(NEAREST + " SELECT q_id, CASE WHEN score < 0.2 THEN 'irrelevant' WHEN score < 0.35 THEN 'partial' ELSE 'relevant' END AS band, count(*) AS n FROM p GROUP BY ALL")
 def relevance_band(spark, d):
     v = t(spark, d, "embeddings").select("vec_id", "embedding")
-    bank = v.where("vec_id % 10 != 0").select(F.col("embedding").alias("b"))
-    pairs = v.where("vec_id % 10 = 0").crossJoin(bank)
+    bank = v.select(F.col("embedding").alias("b"))
+    pairs = v.where("vec_id % 20 = 0").crossJoin(bank)
     score = F.round(scoring.cosine(F.col("embedding"), F.col("b")), 6)
     return pairs.select(F.col("vec_id").alias("q_id"), scoring.relevance(score).alias("band")).groupBy("q_id", "band").agg(F.count("*").alias("n"))
 
@@ -342,6 +380,16 @@ def accuracy_metrics(spark, d):
     return _grades(spark, d).where("quality IS NOT NULL").agg(F.round(F.avg(F.col("quality") * 10.0), 6).alias("expected"), F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.count("*").alias("n"))
 
 
+STATES = "SELECT conv_id, sum(length(text)) AS total, count(*) FILTER (WHERE role = 'user') AS n_evaluated, count(*) FILTER (WHERE role = 'assistant') AS n_no_answer, count(*) FILTER (WHERE role NOT IN ('user', 'assistant')) AS n_skipped FROM conversations GROUP BY conv_id"
+
+
+@query(STATES.replace("sum(length(text))", "CAST(sum(length(text)) AS BIGINT)"))
+def pipeline_totals(spark, d):
+    """Totals and counts of states by sheet: roles stand for states, lengths for marks."""
+    role = F.col("role")
+    return turns(spark, d).groupBy("conv_id").agg(F.sum(F.length("text")).alias("total"), F.count_if(role == "user").alias("n_evaluated"), F.count_if(role == "assistant").alias("n_no_answer"), F.count_if(~role.isin("user", "assistant")).alias("n_skipped"))
+
+
 @query("SELECT user_id, round(avg(value), 4) AS confidence FROM events WHERE value <> 0 GROUP BY user_id")
 def page_confidence(spark, d):
     return t(spark, d, "events").where("value != 0").groupBy("user_id").agg(F.round(F.avg("value"), 4).alias("confidence"))

@@ -54,3 +54,20 @@ def test_bank(spark, tmp_path):
     rows = bank.read_bank(spark, f"file://{tmp_path}/bank.json").orderBy("bank_pos").collect()
     assert [tuple(k) for k in rows[0].keywords] == [("a", 1.0), ("b", 0.01)] and rows[0].max_marks == 5
     assert rows[1].max_marks == 10 and rows[1].keywords == [] and rows[1].concepts == []
+
+
+def test_ratio_against_every_window():
+    import random
+    from difflib import SequenceMatcher
+
+    from markwright.functions.fuzzy import ratio
+
+    r = random.Random(3)
+    make = lambda n: " ".join("".join(r.choice("abcd") for _ in range(r.randint(1, 6))) for _ in range(n))
+    for _ in range(300):
+        keyword, text = make(r.randint(0, 3)), make(r.randint(0, 12))
+        words, n, best = text.split(), len(keyword.split()), 0.0
+        for size in {n, max(1, n - 1), n + 1}:
+            for at in range(len(words) - size + 1):
+                best = max(best, SequenceMatcher(None, keyword, " ".join(words[at : at + size])).ratio())
+        assert ratio(keyword, text) == (1.0 if keyword in text else best)
