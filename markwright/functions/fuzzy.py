@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 FULL, PART, CONCEPT = 0.75, 0.40, 0.70
 
 
-def _bounds(counts, lengths, keyword: str, size: int):
-    """For each window of `size` words the most its ratio can be: twice the letters in common, over both lengths."""
+def _common(counts, lengths, keyword: str, size: int):
+    """For each window of `size` words: letters in common with the keyword, whatever their order; characters of both."""
     import numpy as np
 
     n = len(lengths) - size + 1
@@ -19,36 +19,65 @@ def _bounds(counts, lengths, keyword: str, size: int):
     for c in set(keyword):
         here = sum(counts[c][k : k + n] for k in range(size)) if c != " " else np.full(n, size - 1)
         common += np.minimum(here, keyword.count(c))
-    return 2.0 * common / (total + len(keyword))
+    return common, total + len(keyword)
+
+
+def _in_order(keyword: str, windows: list[str]):
+    """The longest common subsequence of a keyword of up to 63 letters with each window, one bit for each letter."""
+    import numpy as np
+
+    letters = sorted(set(keyword))
+    masks = np.array([sum(1 << k for k, x in enumerate(keyword) if x == c) for c in letters], np.uint64)
+    codes, points = np.array(letters, "U1").view(np.uint32), np.array(windows)
+    points = points.view(np.uint32).reshape(len(windows), -1)
+    at = np.minimum(np.searchsorted(codes, points), len(codes) - 1)
+    hits = np.where(codes[at] == points, masks[at], np.uint64(0))
+    rest = np.full(len(windows), (1 << 64) - 1, np.uint64)
+    for k in range(points.shape[1]):
+        shared = rest & hits[:, k]
+        rest = (rest + shared) | (rest - shared)
+    return np.bitwise_count(~rest & np.uint64((1 << len(keyword)) - 1)).astype(np.int64)
 
 
 def _ratios(keywords, text: str | None) -> list[float]:
-    """The ratio of each keyword: windows are tried in the order of their bounds, until none can be better."""
+    """The ratio of each keyword. Windows are tried in the order of the most their ratio can be, by letters in common and
+    then by letters in common in the same order, until none can be better."""
     import numpy as np
 
     text = text or ""
     words, out = text.split(), []
     lengths, counts = np.array([len(w) for w in words], np.int64), {}
+    codes = np.frombuffer(" ".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts = np.r_[0, np.cumsum(lengths + 1)[:-1]] if words else None
     for keyword in keywords:
         keyword = keyword or ""
         if keyword in text:
             out.append(1.0)
             continue
-        for c in set(keyword) - counts.keys():
-            counts[c] = np.array([w.count(c) for w in words], np.int64)
         n, best = len(keyword.split()), 0.0
+        for c in set(keyword) - counts.keys() if words else ():
+            counts[c] = np.add.reduceat(codes == ord(c), starts, dtype=np.int64)
         for size in {n, max(1, n - 1), n + 1} - {0}:
             if size > len(words):
                 continue
-            bounds = _bounds(counts, lengths, keyword, size)
-            seen = set()
-            for at in np.argsort(-bounds, kind="stable"):
+            common, total = _common(counts, lengths, keyword, size)
+            bounds, found = 2.0 * common / total, lambda at: SequenceMatcher(None, keyword, window(at)).ratio()  # noqa: B023
+            window = lambda at: " ".join(words[at : at + size])  # noqa: B023, E731
+            top = int(np.argmax(bounds))
+            if bounds[top] <= best:
+                continue
+            best = max(best, found(top))
+            better = np.flatnonzero(bounds > best)
+            short = better[(total[better] <= 128) & (len(keyword) < 64)]
+            if len(short):
+                bounds[short] = 2.0 * _in_order(keyword, [window(at) for at in short]) / total[short]
+            seen = {window(top)}
+            for at in better[np.argsort(-bounds[better], kind="stable")]:
                 if bounds[at] <= best:
                     break
-                window = " ".join(words[at : at + size])
-                if window not in seen:
-                    seen.add(window)
-                    best = max(best, SequenceMatcher(None, keyword, window).ratio())
+                if (w := window(at)) not in seen:
+                    seen.add(w)
+                    best = max(best, found(at))
         out.append(best)
     return out
 
@@ -82,7 +111,12 @@ def missing(keywords, found):
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
 def covered(concepts: pd.Series, text: pd.Series) -> pd.Series:
     """Of each group of synonyms, whether the text holds one of them, nearly."""
-    return pd.Series([[any(s and ratio(s, t) >= CONCEPT for s in g) for g in (gs if gs is not None else ())] for gs, t in zip(concepts, text, strict=True)])
+
+    def flags(groups, t):
+        found = iter(_ratios([s for g in groups for s in g if s], t))
+        return [max((next(found) for s in g if s), default=0.0) >= CONCEPT for g in groups]
+
+    return pd.Series([flags(gs if gs is not None else (), t) for gs, t in zip(concepts, text, strict=True)])
 
 
 def concept_score(flags):

@@ -8,6 +8,8 @@ from ..functions.scoring import cosine
 from ..functions.text import exact_key
 
 BANK_ROWS = 20_000
+BANK_WORDS = 200_000
+AT_ONCE = 256
 
 
 def exact(questions: DataFrame, bank: DataFrame) -> DataFrame:
@@ -34,3 +36,46 @@ def with_margin(found: DataFrame, threshold: float = 0.75, margin: float = 0.08)
     """Adds verdict: accepted, ambiguous (too near the second) or below."""
     verdict = F.when(F.col("score") < threshold, "below").when(F.col("score") - F.col("second") < margin, "ambiguous").otherwise("accepted")
     return found.withColumn("verdict", verdict)
+
+
+def coverage(answers: DataFrame, bank: DataFrame) -> DataFrame:
+    """item_id, doc_id, n_keywords, n_found: for each answer (doc_id, body) and entry (item_id, kws) how many of the entry's
+    keywords, repeats counted, the body holds as substrings; pairs without any are left out.
+
+    A bank of BANK_ROWS entries and BANK_WORDS keywords at most (both counted) becomes one automaton that every task builds:
+    a body is read once, whatever the number of keywords, and nothing is shuffled. A larger bank is paired with the answers."""
+    rows, words = bank.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("kws"), F.lit(0))), F.lit(0))).first()
+    if rows > BANK_ROWS or words > BANK_WORDS:
+        both = F.arrays_zip(F.col("kws").alias("k"), F.array_repeat("body", F.size("kws")).alias("body"))  # the lambda refers to its variable only
+        found = F.size(F.filter(both, lambda x: F.contains(x["body"], x["k"]))).cast("long")
+        return answers.crossJoin(bank).select("item_id", "doc_id", F.size("kws").cast("long").alias("n_keywords"), found.alias("n_found")).where("n_found > 0")
+    entries = [(r.item_id, [k for k in r.kws or () if k is not None], len(r.kws or ())) for r in bank.select("item_id", "kws").collect()]
+
+    def run(batches):
+        from collections import Counter
+
+        import ahocorasick
+        import pyarrow as pa
+
+        holders = {}
+        for at, (_, kws, _) in enumerate(entries):
+            for k in kws:
+                holders.setdefault(k, []).append(at)
+        always, machine = holders.pop("", []), ahocorasick.Automaton()
+        for k, ats in holders.items():
+            machine.add_word(k, (k, ats))
+        machine.make_automaton()
+        for b in batches:
+            for start in range(0, b.num_rows, AT_ONCE):
+                out = []
+                for doc_id, body in zip(*(c.to_pylist() for c in b.slice(start, AT_ONCE).columns), strict=True):
+                    if body is None:
+                        continue
+                    counts = Counter(always)
+                    for _, ats in ({k: ats for _, (k, ats) in machine.iter(body)} if len(machine) else {}).items():
+                        counts.update(ats)
+                    out += [(entries[at][0], doc_id, entries[at][2], n) for at, n in counts.items()]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["item_id", "doc_id", "n_keywords", "n_found"])
+
+    return answers.select("doc_id", "body").mapInArrow(run, "item_id long, doc_id long, n_keywords long, n_found long")

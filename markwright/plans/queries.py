@@ -36,6 +36,12 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` for a Python function: dealt anew if their files make fewer tasks than there are cores, else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def turns(spark, d):
     return t(spark, d, "conversations")
 
@@ -273,18 +279,15 @@ k AS (SELECT item_id, unnest(kws) AS kw FROM w), c AS (SELECT doc_id, lower(text
 SELECT item_id, doc_id, count(*) AS n_keywords, count(*) FILTER (WHERE contains(body, kw)) AS n_found FROM k, c GROUP BY item_id, doc_id HAVING count(*) FILTER (WHERE contains(body, kw)) > 0""")
 def keyword_coverage(spark, d):
     b = t(spark, d, "benchmark").select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) > 6)).alias("kws"))
-    docs = t(spark, d, "documents").select("doc_id", F.lower("text").alias("body"))
-    bank = b.where(F.size("kws") > 0)
-    both = docs.crossJoin(F.broadcast(bank) if bank.limit(match.BANK_ROWS + 1).count() <= match.BANK_ROWS else bank)
-    found = F.size(F.filter("kws", lambda k: F.contains(F.col("body"), k))).cast("long")
-    return both.select("item_id", "doc_id", F.size("kws").cast("long").alias("n_keywords"), found.alias("n_found")).where("n_found > 0")
+    docs = spread(t(spark, d, "documents").select("doc_id", "text"))
+    return match.coverage(docs.select("doc_id", F.lower("text").alias("body")), b)
 
 
 def _graded(spark, d):
     """Documents as answers to benchmark questions (item = doc_id modulo their number), with keyword ratios."""
     n = t(spark, d, "benchmark").count()
     b = t(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.slice(F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) > 6)), 1, 6).alias("keywords"))
-    docs = t(spark, d, "documents").select("doc_id", text.preprocess(F.col("text")).alias("answer"), (F.col("doc_id") % n).alias("item"))
+    docs = spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.preprocess(F.col("text")).alias("answer"), (F.col("doc_id") % n).alias("item"))
     return docs.join(b, "item").withColumn("found", fuzzy.ratios("keywords", "answer"))
 
 

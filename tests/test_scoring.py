@@ -71,3 +71,21 @@ def test_ratio_against_every_window():
             for at in range(len(words) - size + 1):
                 best = max(best, SequenceMatcher(None, keyword, " ".join(words[at : at + size])).ratio())
         assert ratio(keyword, text) == (1.0 if keyword in text else best)
+
+
+def test_coverage(spark, monkeypatch):
+    from markwright.operators import match
+
+    answers = spark.createDataFrame([(1, "water and watery air"), (2, ""), (3, None), (4, "fire")], "doc_id long, body string")
+    bank = spark.createDataFrame([(1, ["water", "ater", "air", "water"]), (2, []), (3, None), (4, ["", "fire"]), (5, ["earth", None])], "item_id long, kws array<string>")
+    want = [(1, 1, 4, 4), (4, 1, 2, 1), (4, 2, 2, 1), (4, 4, 2, 2)]
+    assert sorted(map(tuple, match.coverage(answers, bank).collect())) == want
+    monkeypatch.setattr(match, "BANK_ROWS", 1)
+    assert sorted(map(tuple, match.coverage(answers, bank).collect())) == want
+    assert match.coverage(answers.limit(0), bank).count() == 0
+
+
+def test_concepts(spark):
+    groups = [["photosynthesis", "leaf"], ["", "stone"], [], ["volcano"]]
+    df = spark.createDataFrame([(groups, "the photosinthesis of breath"), (None, "x")], "c array<array<string>>, t string")
+    assert [list(r.f) for r in df.select(fuzzy.covered("c", "t").alias("f")).collect()] == [[True, False, False, False], []]
