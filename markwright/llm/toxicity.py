@@ -162,7 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, samp
 
     kinds = "doc_id long, order long, {} array<int>, words int, figures array<double>, y array<int>"
     parsed = settle(map_rows(picked.select("doc_id", "text", "order", *chain), counted, kinds.format("features array<string>, counts")))
-    one = parsed.dropDuplicates(["features", "counts", "y"])  # copies would count as evidence for whatever words they hold
+    kept = F.min(F.struct("order", "doc_id", "words", "figures")).alias("kept")  # the same one in every run
+    one = parsed.groupBy("features", "counts", "y").agg(kept)  # copies would count as evidence for whatever words they hold
+    one = one.select("kept.doc_id", "kept.order", "features", "counts", "kept.words", "kept.figures", "y")
     common = one.select(F.explode("features").alias("f")).groupBy("f").count().where(F.col("count") >= LEAST).orderBy(F.desc("count"), "f").limit(FEATURES_KNOWN)
     vocabulary = [r["f"] for r in common.collect()]
     shared = docs.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(vocabulary)})

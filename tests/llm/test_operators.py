@@ -282,3 +282,13 @@ def test_near_against_all_pairs(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [k for k in range(len(some)) if find(k) == k]
     assert near.classes(docs.where("doc_id < -5")).count() == 0
+
+
+def test_toxicity_fit_does_not_depend_on_partitions(spark):
+    from markwright.llm import toxicity
+
+    rows = [(k, f"{'bad' if k % 3 == 0 else 'good'} word number {k // 6}") for k in range(60)]
+    docs = spark.createDataFrame(rows * 2 + [(k + 100, t) for k, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0 if k % 3 == 0 else 1, int(k % 3 == 0)) for k in [*range(60), *range(100, 160)]], "doc_id long, quality int, toxic int")
+    a, b = (toxicity.fit(docs.repartition(n), toxicity.chain_labels(labels)) for n in (1, 7))
+    assert all(p == q and (v == w).all() for (p, v), (q, w) in zip(a.models, b.models, strict=True))
