@@ -284,9 +284,9 @@ def keyword_coverage(spark, d):
 
 
 def _graded(spark, d):
-    """Documents as answers to benchmark questions (item = doc_id modulo their number), with keyword ratios."""
+    """Documents as answers to benchmark questions (item = doc_id modulo their number), with the ratios of all keywords."""
     n = t(spark, d, "benchmark").count()
-    b = t(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.slice(F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) > 6)), 1, 6).alias("keywords"))
+    b = t(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) > 6)).alias("keywords"))
     docs = spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.preprocess(F.col("text")).alias("answer"), (F.col("doc_id") % n).alias("item"))
     return docs.join(b, "item").withColumn("found", fuzzy.ratios("keywords", "answer"))
 

@@ -36,3 +36,22 @@ def test_query(name, spark, duck):
     assert sorted(names) == columns
     assert want
     assert rows([r.asDict() for r in got], columns) == rows([dict(zip(names, r, strict=True)) for r in want], columns)
+
+
+def test_all_keywords_are_scored(spark):
+    """Every long word of a bank entry is a keyword of its answers, not a prefix of them."""
+    bank = {r.item_id: list(dict.fromkeys(w for w in r.text.lower().split(" ") if len(w) > 6)) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()}
+    assert max(map(len, bank.values())) > 6
+    answers = {r.doc_id: r.text for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
+    found = {r.doc_id: r for r in QUERIES["fuzzy_keywords"](spark, D).collect()}
+    concepts = {r.doc_id: r.concept_score for r in QUERIES["concept_score"](spark, D).collect()}
+    scored = {r.doc_id: r.keyword for r in QUERIES["score_answers"](spark, D).collect()}
+    assert found.keys() == concepts.keys() == scored.keys() == answers.keys()
+    for i, r in found.items():
+        keywords = bank[i % len(bank)]
+        assert sorted(x for x in (r.matched + ", " + r.missing).split(", ") if x) == sorted(keywords)
+        assert scored[i] == r.keyword_score
+        plain = " ".join(answers[i].lower().split())
+        sure = sum(k[:5] in plain for k in keywords)
+        assert concepts[i] >= round(10 * sure / len(keywords), 2) - 0.01 if keywords else concepts[i] == 0
+        assert not keywords or abs(concepts[i] * len(keywords) / 10 - round(concepts[i] * len(keywords) / 10)) < 0.01 * len(keywords)
