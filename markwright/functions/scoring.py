@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 W_SEMANTIC, W_KEYWORD, W_CONCEPT, W_CONTRADICTION = 0.5, 0.25, 0.25, 0.5
 IRRELEVANT, PARTLY = 0.20, 0.35
 PARTIAL_CAP = 2.0
+LEAST_WORDS = 3
 WORDS_PER_MARK, LENGTH_SHARE, LENGTH_FLOOR, LENGTH_REST = 15, 0.35, 0.85, 0.15
 
 
@@ -23,6 +24,15 @@ def relevance(confidence: Column) -> Column:
     return F.when(confidence < IRRELEVANT, "irrelevant").when(confidence < PARTLY, "partial").otherwise("relevant")
 
 
+def band(confidence: Column, words: Column) -> Column:
+    """The band of relevance of an answer; "empty" if it has fewer than LEAST_WORDS words."""
+    return F.when(words < LEAST_WORDS, "empty").otherwise(relevance(confidence))
+
+
+def no_marks(band: Column) -> Column:
+    return band.isin("empty", "irrelevant")
+
+
 def confidence_label(c: Column) -> Column:
     return F.when(c >= 0.75, "High").when(c >= 0.45, "Medium").otherwise("Low")
 
@@ -44,6 +54,11 @@ def final_marks(raw: Column, adjustment: Column, partly: Column) -> Column:
     return clamp(F.when(partly, F.least(marks, F.lit(PARTIAL_CAP))).otherwise(marks), 0.0, 10.0)
 
 
+def banded_marks(raw: Column, adjustment: Column, band: Column) -> Column:
+    """Final marks by the answer's band: none for empty and irrelevant ones, PARTIAL_CAP at most for partial ones."""
+    return F.when(no_marks(band), 0.0).otherwise(final_marks(raw, adjustment, band == "partial"))
+
+
 def scaled(marks: Column, max_marks: Column) -> Column:
     return F.least(marks * max_marks / 10, max_marks.cast("double"))
 
@@ -81,7 +96,8 @@ def feedback(band: Column, contradiction: Column, factor: Column, semantic: Colu
         lambda x: x.isNotNull(),
     )
     return (
-        F.when(band == "irrelevant", F.array(F.lit("The answer isn't about the question.")))
+        F.when(band == "empty", F.array(F.lit("There is no answer.")))
+        .when(band == "irrelevant", F.array(F.lit("The answer isn't about the question.")))
         .when(band == "partial", F.array(F.lit("The answer is about the question in part only.")))
         .when(F.size(weak) == 0, F.array(F.lit("Good answer.")))
         .otherwise(weak)

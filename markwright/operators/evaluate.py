@@ -44,20 +44,22 @@ def contradiction(answer: Column, model: Column, judge: Callable[[Column, Column
 
 def single_answers(rows: DataFrame, semantic: Column, judge=None) -> DataFrame:
     """`rows` (answer, model_answer, keywords of word and weight, max_marks) with score_out_of_10, scaled_marks, matched and
-    missing. `semantic` (0 to 10) comes from an embedding model. No concepts; length is judged by ten marks. A blank answer
-    has no marks and misses all keywords. Marks are rounded as decimal numbers, halves up (2.985 is 2.99)."""
+    missing. `semantic` (0 to 10) comes from an embedding model. No concepts; length is judged by ten marks. A tenth
+    of `semantic` is the confidence: answers that are irrelevant by it or have under three words get no marks and miss all
+    keywords, partial ones get 2.0 at most. Marks are rounded as decimal numbers, halves up (2.985 is 2.99)."""
     rows = rows.withColumn("_clean", text.preprocess(sheets.repaired(F.col("answer"))))
     words = F.transform("keywords", lambda k: k["word"])
     rows = rows.withColumn("_words", words).withColumn("_plain", F.transform("_words", text.preprocess))
     rows = rows.withColumn("_found", fuzzy.ratios("_plain", "_clean"))
-    blank = text.word_count(F.col("answer")) == 0
+    n = text.word_count(F.col("_clean"))
+    band = scoring.band(semantic / 10, n)
+    none = scoring.no_marks(band)
     keyword = F.round(fuzzy.keyword_score(F.transform("keywords", lambda k: k["weight"]), F.col("_found")), 2)
     raw = scoring.raw_score(semantic, keyword, F.lit(0.0), contradiction(F.col("_clean"), F.col("model_answer"), judge))
-    marks = F.round(scoring.final_marks(raw, scoring.length_adjustment(scoring.length_factor(text.word_count(F.col("_clean")), F.lit(10))), semantic < 2), 2)
-    score = F.when(blank, 0.0).otherwise(marks)
-    out = rows.withColumn("score_out_of_10", score).withColumn("scaled_marks", F.round(F.col("score_out_of_10") / 10 * F.col("max_marks"), 2))
-    out = out.withColumn("matched", F.when(blank, F.array().cast("array<string>")).otherwise(fuzzy.matched(F.col("_words"), F.col("_found"))))
-    out = out.withColumn("missing", F.when(blank, F.col("_words")).otherwise(fuzzy.missing(F.col("_words"), F.col("_found"))))
+    marks = F.round(scoring.banded_marks(raw, scoring.length_adjustment(scoring.length_factor(n, F.lit(10))), band), 2)
+    out = rows.withColumn("score_out_of_10", marks).withColumn("scaled_marks", F.round(F.col("score_out_of_10") / 10 * F.col("max_marks"), 2))
+    out = out.withColumn("matched", F.when(none, F.array().cast("array<string>")).otherwise(fuzzy.matched(F.col("_words"), F.col("_found"))))
+    out = out.withColumn("missing", F.when(none, F.col("_words")).otherwise(fuzzy.missing(F.col("_words"), F.col("_found"))))
     return out.drop("_clean", "_words", "_plain", "_found")
 
 

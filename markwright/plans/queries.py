@@ -408,11 +408,16 @@ def subject_inventory(spark, d):
 
 @query()
 def score_answers(spark, d):
-    """The flagship: documents as answers to bank questions; keyword ratios, length and score, marks in halves, feedback."""
+    """The flagship: documents as answers to bank questions; keyword ratios, length and score, marks in halves, feedback.
+
+    The keyword score stands for the semantic one too, so a tenth of it is the confidence: below 0.20, or with under three
+    words, an answer gets no marks, and up to 0.35 it gets 2.0 of ten at most."""
     g = _graded(spark, d)
     ones = F.transform("keywords", lambda x: F.lit(1.0))
-    g = g.withColumn("keyword", F.round(fuzzy.keyword_score(ones, F.col("found")), 2)).withColumn("factor", scoring.length_factor(text.word_count(F.col("answer")), F.lit(5)))
-    g = g.withColumn("raw", scoring.raw_score(F.col("keyword"), F.col("keyword"), F.lit(0.0), F.lit(0.0))).withColumn("marks", scoring.final_marks(F.col("raw"), scoring.length_adjustment(F.col("factor")), F.lit(False)))
+    g = g.withColumn("words", text.word_count(F.col("answer"))).withColumn("keyword", F.round(fuzzy.keyword_score(ones, F.col("found")), 2)).withColumn("factor", scoring.length_factor(F.col("words"), F.lit(5)))
+    g = g.withColumn("band", scoring.band(F.col("keyword") / 10, F.col("words"))).withColumn("keyword", F.when(F.col("band") == "empty", 0.0).otherwise(F.col("keyword")))
+    raw = scoring.raw_score(F.col("keyword"), F.col("keyword"), F.lit(0.0), F.lit(0.0))
+    g = g.withColumn("raw", F.when(scoring.no_marks(F.col("band")), 0.0).otherwise(raw)).withColumn("marks", scoring.banded_marks(F.col("raw"), scoring.length_adjustment(F.col("factor")), F.col("band")))
     none = F.array().cast("array<string>")
-    lines = scoring.feedback(scoring.relevance(F.col("keyword") / 10), F.lit(0.0), F.col("factor"), F.col("keyword"), F.col("keyword") / 10, none, fuzzy.missing(F.col("keywords"), F.col("found")), F.size("keywords"))
+    lines = scoring.feedback(F.col("band"), F.lit(0.0), F.col("factor"), F.col("keyword"), F.col("keyword") / 10, none, fuzzy.missing(F.col("keywords"), F.col("found")), F.size("keywords"))
     return g.select("doc_id", "item", "keyword", F.round("raw", 4).alias("raw"), F.round("marks", 2).alias("marks"), scoring.half_step(scoring.scaled(F.col("marks"), F.lit(5))).alias("rounded"), F.array_join(lines, "; ").alias("feedback"))

@@ -41,3 +41,14 @@ def test_separate_uploads_and_totals(spark):
     r = evaluate.totals(marked, ["s"]).first()
     assert (r.total_marks, r.max_total_marks, r.percentage, r.evaluated, r.no_answer, r.skipped, r.error) == (8.0, 15, 53.3, 2, 1, 2, 0)
     assert evaluate.console(evaluate.totals(marked, ["s"]), {"total_marks": "Total"}).first().line == f"  {'Total':<38}: 8.0"
+
+
+def test_single_answers_by_relevance(spark):
+    """The reference's rule: no marks below a confidence of 0.20 or under three words, 2.0 at most up to 0.35."""
+    cases = {"water " * 90: (1.99, 2.0, 3.0, 3.49, 3.5, 8.0), "water water": (8.0,), "water in a": (8.0,)}
+    rows = [(a, s) for a, many in cases.items() for s in many]
+    df = spark.createDataFrame([(k, a, "m", [("water", 1.0)], 10, s) for k, (a, s) in enumerate(rows)], "k int, answer string, model_answer string, keywords array<struct<word: string, weight: double>>, max_marks int, semantic double")
+    got = evaluate.single_answers(df, F.col("semantic")).orderBy("k").collect()
+    assert [r.score_out_of_10 for r in got[:4]] == [0.0, 2.0, 2.0, 2.0] and got[4].score_out_of_10 == 4.25 and got[5].score_out_of_10 == 6.5
+    assert got[6].score_out_of_10 == 0.0 and got[7].score_out_of_10 > 5
+    assert (got[0].matched, got[0].missing, got[6].matched, got[6].missing) == ([], ["water"], [], ["water"]) and got[1].matched == ["water"]

@@ -89,3 +89,11 @@ def test_concepts(spark):
     groups = [["photosynthesis", "leaf"], ["", "stone"], [], ["volcano"]]
     df = spark.createDataFrame([(groups, "the photosinthesis of breath"), (None, "x")], "c array<array<string>>, t string")
     assert [list(r.f) for r in df.select(fuzzy.covered("c", "t").alias("f")).collect()] == [[True, False, False, False], []]
+
+
+def test_stream_marks_by_relevance(spark):
+    cases = [(90, 1.99, 0.0), (90, 2.0, 2.0), (90, 3.49, 2.0), (90, 3.5, 6.75), (2, 8.0, 0.0), (0, 8.0, 0.0)]
+    df = spark.createDataFrame([(k, "w " * n, 5.0, s, 10.0, 10.0, 0.0) for k, (n, s, _) in enumerate(cases)], "k int, answer string, max_marks double, semantic double, keyword double, concept double, contradiction double")
+    got = grade.scored(df).orderBy("k").collect()
+    assert [round(r.marks, 6) for r in got] == [m for _, _, m in cases]
+    assert [r.raw_score > 0 for r in got] == [m > 0 for _, _, m in cases]
