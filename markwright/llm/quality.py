@@ -1,6 +1,7 @@
 """Quality rules: base rules, and robust multivariate outliers by minimum-covariance-determinant (MCD) estimates.
 
-DataFrame functions only. Of each group of language and source, the estimate seeks the share SHARE of documents whose
+DataFrame functions only. Of each group of language and source (pooled by language, then over all, where these are too small
+for an estimate of their own), the estimate seeks the share SHARE of documents whose
 statistics have the covariance of the least determinant. From two starts (sum and largest of the distances from the median in
 units of the median absolute deviation) STEPS concentration steps follow: take the documents of the smallest distances, set
 mean and covariance anew, measure distances again. The start that ends with the smaller determinant counts. A document is
@@ -121,10 +122,9 @@ def _distance() -> Column:
 
 
 def mcd(rows: DataFrame) -> DataFrame:
-    """g -> m_i, l_i_j, log_det: location and factor of the scatter for each group g of rows of g, x0..; groups of fewer than
-    LEAST_ROWS rows have none."""
+    """g -> m_i, l_i_j, log_det: location and factor of the scatter for each group g of rows of g, x0.."""
     fine = [F.round(100 * F.col(x)) for x in X]
-    middle = rows.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile(v, 0.5).alias(f"m_{i}") for i, v in enumerate(fine))).where(F.col("n") >= LEAST_ROWS)
+    middle = rows.groupBy("g").agg(*(F.percentile(v, 0.5).alias(f"m_{i}") for i, v in enumerate(fine)))
     middle = settle(middle.select("g", *((F.col(f"m_{i}") / 100).alias(f"m_{i}") for i in range(P))))
     off = rows.join(middle, "g").select("g", *(F.round(100 * F.abs(F.col(x) - F.col(f"m_{i}"))).alias(x) for i, x in enumerate(X)))
     spread = off.groupBy("g").agg(*(F.percentile(x, 0.5).alias(f"s_{i}") for i, x in enumerate(X)))
@@ -144,15 +144,28 @@ def mcd(rows: DataFrame) -> DataFrame:
     return estimate.groupBy("g").agg(F.min_by(F.struct(*(c for c in estimate.columns if c not in ("g", "s"))), F.struct("log_det", "s")).alias("e")).select("g", "e.*")
 
 
+def chosen(sizes: DataFrame) -> DataFrame:
+    """g0, g1, g2, g of `sizes` (g0, its pools g1 and g2, n): the narrowest pool of LEAST_ROWS rows or more, else g2."""
+    pools = sizes.groupBy("g1").agg(F.sum("n").alias("n1"))
+    name = F.when(F.col("n") >= LEAST_ROWS, F.col("g0")).when(F.col("n1") >= LEAST_ROWS, F.col("g1")).otherwise(F.col("g2"))
+    return sizes.join(pools, "g1").select("g0", "g1", "g2", name.alias("g"))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, the counts of statistics(), base_failed, distance (squared; null without a verdict), kept.
 
-    Estimates come from the documents that pass the base rules, by language and source (null is a value of its own); in groups
-    of fewer than LEAST_ROWS such documents the base rules alone decide. Rows that repeat an id each get a row and count."""
+    Estimates come from the documents that pass the base rules, by language and source (null is a value of its own); a group of
+    fewer than LEAST_ROWS such documents is judged by the estimate of all of its language, and where these are fewer too, by the
+    estimate of all languages, however few. Rows that repeat an id each get a row and count."""
     rows = statistics(docs).withColumn("base_failed", base_failed())
-    rows = settle(rows.select(F.to_json(F.struct("lang", "source")).alias("g"), "*", *(v.cast("double").alias(x) for v, x in zip(vector(), X, strict=True))))
-    found = settle(mcd(rows.where("NOT base_failed").select("g", *X)))
-    out = rows.join(found, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    levels = (F.to_json(F.struct(F.lit(k).alias("pool"), *c)) for k, c in enumerate((["lang", "source"], ["lang"], [])))
+    rows = settle(rows.select(*(g.alias(f"g{k}") for k, g in enumerate(levels)), "*", *(v.cast("double").alias(x) for v, x in zip(vector(), X, strict=True))))
+    passed = rows.where("NOT base_failed")
+    named = settle(chosen(passed.groupBy("g0", "g1", "g2").agg(F.count("*").alias("n"))))
+    own = passed.join(named.where("g = g0").select("g0", "g"), "g0").select("g", *X)
+    pooled = [passed.join(named.where(f"g = {p}").select(p, "g").distinct(), p).select("g", *X) for p in ("g1", "g2")]
+    found = settle(mcd(settle(own.unionByName(pooled[0]).unionByName(pooled[1]))))
+    out = rows.join(named.select("g0", "g"), "g0", "left").join(found, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT)
     return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
 

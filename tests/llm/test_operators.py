@@ -150,6 +150,22 @@ def test_quality_counts_and_verdict(docs, empty, spark):
     assert kept == {i for i, _ in good}
 
 
+def test_quality_small_groups_are_judged(spark):
+    """Groups too small for an estimate get that of their language, then that of all; every document past the base rules has a distance."""
+    r = random.Random(2)
+    good = lambda: " ".join(f"w{r.randint(0, 999)}" for _ in range(r.randint(80, 300)))
+    bad = lambda: " ".join(f"w{r.randint(0, 999)}###$$" for _ in range(150))
+    rows = [(k, good(), "en", "big") for k in range(80)] + [(100 + k, good(), "en", f"rare{k % 9}") for k in range(27)] + [(200 + k, good(), "xx", None) for k in range(5)]
+    junk = [(1000, bad(), "en", "rare1"), (1001, bad(), "xx", None), (1002, bad(), "en", "big"), (1003, bad(), None, "only"), (1004, "short", "en", "rare1"), (1005, "short", "yy", "none")]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x for x in quality.judge(df).collect()}
+    assert len(got) == len(rows + junk)
+    assert all((x.distance is None) == x.base_failed for x in got.values())
+    assert {i for i, x in got.items() if x.kept} == {i for i, *_ in rows}
+    few = {x.doc_id: x for x in quality.judge(df.where("source = 'rare2'")).collect()}
+    assert len(few) == 3 and all(x.distance is not None and x.kept for x in few.values())
+
+
 def test_chi_square():
     assert abs(quality.chi2_quantile(0.95, 5) - 11.0705) < 1e-3 and abs(quality.chi2_cdf(7.0, 7) - 0.5711) < 1e-3
 
