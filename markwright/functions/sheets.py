@@ -91,6 +91,25 @@ def continues(line: Column) -> Column:
     return ~line.rlike(PAPER_NUMBER) & line.rlike(r"^[\p{IsLowercase}஀-௿(]")
 
 
+MID_LINE = rf"(?iu)(?<=[^\n])(Q{S}*{D}+{S}*[).:\-]|(?<!{W}){D}+{S}*[).:]|கேள்வி{S}*{D}+|வினா{S}*{D}+)"
+BLOCK_NUMBER = rf"(?iu)(?<![^\n])(?:(?:Q|கேள்வி|வினா)[{WS}.:\-]*({D}+)|({D}+){S}*[.):])"
+
+
+def sheet_blocks(sheet: Column) -> Column:
+    """Array of struct qno, block: the numbered blocks of a combined sheet, for `split_block`. A question marker within a line
+    starts a line first. What stands before the first number goes; a sheet without numbers has no blocks."""
+    text = F.regexp_replace(F.regexp_replace(sheet, MID_LINE, "\n$1"), r"\n{2,}", "\n")
+    parts = F.split(text, BLOCK_NUMBER, -1)
+    named, plain = (F.regexp_extract_all(text, F.lit(BLOCK_NUMBER), F.lit(k)) for k in (1, 2))
+    qno = lambda i: F.when(F.get(named, i) != "", F.get(named, i)).otherwise(F.get(plain, i))
+    return F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda b, i: F.struct(qno(i).alias("qno"), b.alias("block")))
+
+
+def is_question(text: Column) -> Column:
+    """Whether the joined text of a question counts: five characters or more, not of punctuation only."""
+    return (F.length(text) >= 5) & text.rlike(rf"[\p{{L}}\p{{N}}_஀-௿]")
+
+
 MARKER = rf"(?:விடை{S}*:|vidai{S}*:|answer{S}*:|ans{S}*:)"
 
 

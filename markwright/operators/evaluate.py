@@ -26,6 +26,12 @@ def question_lines(rows: DataFrame, key: str) -> DataFrame:
     return found.withColumn("_kept", kept).where("_kept").select(key, "block", "line_pos", "line")
 
 
+def questions(rows: DataFrame, key: str) -> DataFrame:
+    """key, block, question: the lines of `question_lines` joined; texts too short or of punctuation only are no questions."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_pos", "line"))), lambda x: x["line"]), " ")
+    return question_lines(rows, key).groupBy(key, "block").agg(F.trim(joined).alias("question")).where(sheets.is_question(F.col("question")))
+
+
 def with_sounds(base: Column, weights: Column, found: Column, sounds: Column) -> Column:
     """The keyword score `base` (0 to 10), plus weight times similarity of sounds of each missing keyword that sounds alike."""
     gains = F.transform(F.arrays_zip(weights.alias("w"), found.alias("f"), sounds.alias("s")), lambda x: F.when((x["f"] < fuzzy.FULL) & (x["s"] >= SOUNDS_ALIKE), x["w"] * x["s"]).otherwise(0.0))

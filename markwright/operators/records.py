@@ -12,9 +12,11 @@ def lines(sheets: DataFrame, key: str, text: str) -> DataFrame:
     return sheets.select(key, F.posexplode(F.split(text, "\n", -1)).alias("line_pos", "line")).withColumn("line", clean_line(F.col("line"))).where("line != ''")
 
 
-def blocks(rows: DataFrame, key: str, opens: Column) -> DataFrame:
-    """key, block, text: a line for which `opens` is true starts a block, later lines belong to it, lines before the first go."""
+def blocks(rows: DataFrame, key: str, opens: Column, least: int = 0) -> DataFrame:
+    """key, block, text: a line for which `opens` is true starts a block, later lines belong to it, lines before the first go,
+    and so do later lines of under `least` characters (2 on answer sheets)."""
     numbered = rows.withColumn("block", F.count(F.when(opens, 1)).over(W.partitionBy(key).orderBy("line_pos")))
+    numbered = numbered.where(F.coalesce(opens, F.lit(False)) | (F.length("line") >= least)) if least else numbered
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_pos", "line"))), lambda x: x["line"]), " ")
     return numbered.where("block > 0").groupBy(key, "block").agg(collapse(joined).alias("text"))
 

@@ -186,7 +186,11 @@ def noise_lines(spark, d):
 
 @query()
 def split_blocks(spark, d):
-    return t(spark, d, "documents").withColumn("b", sheets.split_block(F.coalesce("text", F.lit("")))).select("doc_id", "b.question", "b.answer")
+    """The numbered blocks of each document, each split in question and answer; without numbers, all of it is the answer of 1."""
+    docs = t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = docs.select("doc_id", "text", F.posexplode_outer(sheets.sheet_blocks(F.col("text"))).alias("pos", "b")).withColumn("s", sheets.split_block(F.col("b.block")))
+    none, whole = F.col("pos").isNull(), text.collapse(F.col("text"))
+    return found.select("doc_id", F.coalesce("pos", F.lit(0)).alias("block"), F.when(none, "1").otherwise(F.col("b.qno")).alias("qno"), F.when(none, "").otherwise(F.col("s.question")).alias("question"), F.when(none, whole).otherwise(F.col("s.answer")).alias("answer"))
 
 
 @query()

@@ -72,3 +72,24 @@ def test_subjects(spark, tmp_path):
     (tmp_path / "data" / "question_bank.json").write_text('[{"question": "q", "model_answer": "m"}]')
     bank, path = subjects.subject_bank(spark, f"file://{tmp_path}", "tamil")
     assert path == "data/question_bank.json" and bank.first().question == "q"
+
+
+def test_sheet_blocks(spark):
+    """Numbers within a line start blocks too (after "Q", what follows the number stays, as in the reference); the rules of evaluate.questions and blocks on short lines."""
+    from markwright.operators import evaluate, records
+
+    cases = {
+        "name x\nQ1. What is it? Ans: water 2) Why so\n\nbecause. Q 3: how": [("1", ". What is it? Ans: water "), ("2", " Why so\nbecause. "), ("3", ": how")],
+        "கேள்வி 4 abc வினா 5 def": [("4", " abc "), ("5", " def")],
+        "x12. no, 13. yes": [("13", " yes")],
+        "no numbers 7 here": [],
+    }
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(cases)], "k int, t string")
+    got = [[(b.qno, b.block.strip()) for b in r.b] for r in df.select("k", sheets.sheet_blocks(F.col("t")).alias("b")).orderBy("k").collect()]
+    assert got == [[(n, b.strip()) for n, b in want] for want in cases.values()]
+    lines = ["1. What is", "it", "2. ab", "3. .....!", "4. why so"]
+    rows = spark.createDataFrame([(1, k, x) for k, x in enumerate(lines)], "paper int, line_pos int, line string")
+    assert [(r.block, r.question) for r in evaluate.questions(rows, "paper").orderBy("block").collect()] == [(1, "What is it"), (4, "why so")]
+    answers = spark.createDataFrame([(1, k, x) for k, x in enumerate(["1", "x", "ab", "-", "2", "cd"])], "paper int, line_pos int, line string")
+    opens = F.col("line").rlike("^[0-9]")
+    assert [r.text for r in records.blocks(answers, "paper", opens, least=2).orderBy("block").collect()] == ["1 ab", "2 cd"]
