@@ -14,7 +14,7 @@ import hashlib
 import json
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -148,7 +148,7 @@ def index(captures: DataFrame, folder: str | None = None) -> list[tuple]:
 
 
 class Index:
-    """find(key, page_id) -> (file, at, length), or None."""
+    """find(key, page_id) -> (file, at, length) of each record that was written under both."""
 
     def __init__(self, files: list[tuple]):
         self.files, self.firsts = files, [x[:2] for x in files]
@@ -162,21 +162,26 @@ class Index:
             return f.read_at(length, at)
 
     def find(self, key: str, page_id: int):
+        """Equal keys are in one file, as it is one range of keys, but they can begin at a block's end and go over several blocks."""
         if (k := bisect_right(self.firsts, (key, page_id)) - 1) < 0:
-            return None
+            return
         _, _, file, at, length = self.files[k]
         blocks = self.directory(file, at, length)
-        if (b := bisect_right(blocks, [key, page_id], key=lambda x: x[:2]) - 1) < 0:
-            return None
-        lines = self.block(file, *blocks[b][2:])
-        i = bisect_right(lines, [key, page_id], key=lambda x: x[:2]) - 1
-        return tuple(lines[i][2:]) if i >= 0 and lines[i][:2] == [key, page_id] else None
+        for b in range(max(0, bisect_left(blocks, [key, page_id], key=lambda x: x[:2]) - 1), len(blocks)):
+            if blocks[b][:2] > [key, page_id]:
+                return
+            lines = self.block(file, *blocks[b][2:])
+            for i in range(bisect_left(lines, [key, page_id], key=lambda x: x[:2]), len(lines)):
+                if lines[i][:2] != [key, page_id]:
+                    return
+                yield tuple(lines[i][2:])
 
 
 def read_back(wanted: DataFrame, files: list[tuple]) -> DataFrame:
     """Of each row of page_id, url: page_id, payload_bytes, payload_digest, record_type, refers_to, from index and archive.
 
-    `files` is a row for each index file, so it is as small as the number of partitions. A page that isn't there has no row."""
+    `files` is a row for each index file, so it is as small as the number of partitions. A page that isn't there has no row;
+    rows that share page_id and URL key get every record written under these, once."""
     session = wanted.sparkSession
     shared = session.sparkContext.broadcast(files)
 
@@ -185,10 +190,11 @@ def read_back(wanted: DataFrame, files: list[tuple]) -> DataFrame:
             yield (NULL_ID if page_id is None else page_id), url_key(url)
 
     def look(rows):
-        found = Index(shared.value)
+        found, last = Index(shared.value), None
         for page_id, key in rows:
-            if place := found.find(key, page_id):
-                yield place
+            if (page_id, key) != last:
+                yield from found.find(key, page_id)
+            last = page_id, key
 
     def ranges(rows):
         name, handle = None, None

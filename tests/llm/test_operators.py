@@ -220,6 +220,14 @@ def test_warc(spark):
     assert warc.read_back(none, warc.index(warc.write(none))).count() == 0
 
 
+def test_warc_repeated_ids(spark):
+    """Records that share id and URL key but not text all come back, once each, over blocks of the index too."""
+    rows = [(7, "http://a.b", f"text {k}") for k in range(2 * warc.BLOCK + 3)] + [(None, None, f"none {k}") for k in range(4)] + [(6, "http://a.b", "six"), (8, "http://a.b", "eight"), (7, "http://a.c", "other")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted((str(r.page_id), r.payload_digest) for r in warc.read_back(df, warc.index(warc.write(df))).collect())
+    assert got == sorted((str(i), hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows)
+
+
 def test_substring_dedup(docs, empty):
     first, gone = {}, {}
     for i, t in sorted(set(texts()), key=lambda x: x[0]):
