@@ -14,6 +14,8 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A small side is broadcast up to this many rows of a few numbers each; beyond it Spark shuffles.
 BROADCAST_ROWS = 50_000
+#: Groups that are broadcast to their rows: this many at most, of HOT_ROWS rows at least.
+HOT_GROUPS, HOT_ROWS = 10_000, 100
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,8 +23,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, else, on a local master only, one of our own."""
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='markwright-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,11 +44,29 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Shuffle files whose DataFrames the program has let go of are removed now, not when the driver's memory fills."""
+    """Shuffle files whose DataFrames the program has let go of are removed now: Spark's cleaner follows the references, which
+    the driver else collects only as its memory fills, on its own time and not with the disk's. Nothing depends on it but the
+    disk's use; PySpark has no public call for it."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, on: str, size: str, how: str = "left") -> DataFrame:
+    """`rows` joined to `groups` (one row for each value of `on`, with `size`, how many of `rows` have it), without the size.
+
+    The rows of a large group are not gathered in one task: groups of over a HOT_GROUPS-th of all rows (HOT_ROWS at least), of
+    which there are fewer than HOT_GROUPS, are broadcast; only rows of smaller groups are shuffled. `rows` and `groups` are
+    read twice, so settle them first."""
+    total, most = groups.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    limit, names, kept = max(HOT_ROWS, total // HOT_GROUPS), rows.columns, [c for c in groups.columns if c not in (on, size) and how != "left_semi"]
+    if most <= limit:
+        return rows.join(groups, on, how).select(*names, *kept)
+    hot = groups.where(F.col(size) > limit)
+    of_hot = rows.join(F.broadcast(hot), on, "left_semi" if how == "left_semi" else "inner").select(*names, *kept)
+    cold = rows.join(F.broadcast(hot.select(F.col(on).alias("_hot"))), F.col(on) == F.col("_hot"), "left_anti")
+    return of_hot.unionByName(cold.join(groups.where(F.col(size) <= limit), on, how).select(*names, *kept))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -81,14 +103,15 @@ def free_name(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def map_rows(df: DataFrame, work, schema: str, at_once: int = 256) -> DataFrame:
-    """`work` takes an iterator over a partition's rows (tuples) and yields tuples of `schema`; Arrow carries both.
+def map_rows(df: DataFrame, work, schema, at_once: int = 256) -> DataFrame:
+    """`work` takes an iterator over a partition's rows (tuples) and yields tuples of `schema` (DDL or a StructType); Arrow
+    carries both.
 
     At most `at_once` rows are Python objects at a time on either side, so memory follows the longest texts, not a partition."""
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches):
         import pyarrow as pa

@@ -2,8 +2,7 @@
 
 Each step looks at more of a text and only at the groups that the step before left with two texts or more. Texts are never
 shuffled: only lengths, hashes and ids are. Group tables have one row a group, made by partial aggregation on the map side,
-so a group of a third of all rows costs a row a task; the join that gives each row its group is an equi join whose hot
-partitions Spark's adaptive skew join can split.
+so a group of a third of all rows costs a row a task; where each row gets its group, large groups go to their rows instead.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, free_name, read, settle
+from .common import BROADCAST_ROWS, free_name, read, settle, spread_join
 
 PREFIX = 64
 
@@ -49,7 +48,7 @@ def groups(docs: DataFrame, all_hashes: bool = False) -> DataFrame:
         rows = rows.select("doc_id", "again", F.col("text_sha256") if all_hashes else F.when(F.col("again"), F.col("text_sha256")).alias("text_sha256"))
     rows = settle(rows)
     equal = rows.where("again").groupBy("text_sha256").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("members")).where("members > 1")
-    out = rows.join(equal, "text_sha256", "left")
+    out = spread_join(rows, settle(equal.withColumn("size", F.col("members"))), "text_sha256", "size")
     keep = F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("first_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("members", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
 

@@ -1,15 +1,18 @@
 """Near duplicates on five-word shingles, similarity 0.8 or more, by long SimHash fingerprints and multi-index hashing.
 
-A 64-bit fingerprint of five-word shingles puts texts of similarity 0.8 up to 14 bits apart, too far for lookups. Here a
-fingerprint has 256 bits and is taken over a text's distinct word pairs, of which scattered edits change fewer. It is cut
-into eight segments of 32 bits; each text lists, for each segment, the points of the Hamming ball of radius 1 around its
-value, so two texts whose values of some segment are at most two bits apart meet in a point. Candidates are verified by
-the complete distance (RADIUS bits), then by the exact Jaccard similarity of their sets of five-word shingle hashes.
-
-What meets is found in one sorted pass over each partition of points, in bounded memory. In a point of up to LISTED + 1
-texts all pairs are candidates. In a more crowded point each further text is a candidate with the point's first text only;
-what that leaves open is then settled: after components, each text of such a point outside the point's largest component is
-compared with all its texts of other components. Rows therefore grow with texts, not with pairs within a group.
+Fingerprints. A 64-bit fingerprint of five-word shingles puts texts of similarity 0.8 up to 14 bits apart, too far for
+lookups. Here it has 256 bits and is taken over a text's distinct word pairs, of which scattered edits change fewer, and it
+is cut into eight segments of 32 bits. Each text lists, for each segment, the points of the Hamming ball of radius 1 around
+its value, so two texts whose values of some segment are at most two bits apart meet in a point. An edit in one place changes
+as many word pairs as shingles but leaves one end of the text as it was, so the ends are segments too, with a ball of radius
+0: the first and the last q words, q being the largest power of two in half the text, its half and its quarter (LEAST_PART
+words at least). Texts with one contiguous edit always share one of them.
+
+Comparison. In each point every text is compared with the point's first one: by the complete distance (RADIUS bits), then by
+the exact Jaccard similarity of their sets of shingle hashes. That is one pair for a text and point at most, however many
+meet. Components are formed, and a point of two texts, or whose texts are in one component, is done with. Texts of other points
+are joined exactly (set_join): two sets of similarity 0.8 share one of their rarest shingles, so only texts that do
+are compared, and only across components. So no pair of texts that meet is left uncompared, and no point's pairs are listed.
 """
 
 from __future__ import annotations
@@ -17,10 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, parts, settle
+from .common import BROADCAST_ROWS, map_rows, parts, settle, spread_join
 from .components import components
 
-WIDTH, SEGMENTS, RADIUS, LISTED = 5, 8, 64, 16
+WIDTH, SEGMENTS, RADIUS, LEAST_PART = 5, 8, 60, 8
 WORDS = [f"b{k}" for k in range(SEGMENTS // 2)]
 AT_ONCE = 1 << 15
 
@@ -56,128 +59,164 @@ def word_hashes(text: str | None):
     return np.array([digest(w) for w in (text or "").encode().lower().split()], np.uint64)
 
 
-def _signature(hashes, width: int):
-    """(sig, number of shingles, the 256 bits as four signed numbers): sig is a hash of the whole set of shingles."""
+def set_hash(found) -> int:
+    """A signed hash of a whole set of shingles."""
     import numpy as np
     import xxhash
 
-    found, pairs = shingles(hashes, width), shingles(hashes, 2)
-    ones = np.zeros(32 * SEGMENTS, np.int64)
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes()) if len(found) else 0).view(np.int64))
+
+
+def ends(hashes) -> list[int]:
+    """Hashes of the first and last q words, for the three values of q; bit 62 tells them from points of segments."""
+    import xxhash
+
+    out, q = [], 1 << max(0, (len(hashes) // 2).bit_length() - 1)
+    for size in (q, q // 2, q // 4):
+        if size >= LEAST_PART:
+            out += [xxhash.xxh64_intdigest(part.tobytes(), side) >> 2 | 1 << 62 for side, part in enumerate((hashes[:size], hashes[-size:]))]
+    return out
+
+
+def fingerprint(hashes) -> list[int]:
+    """The 256 bits as four signed numbers."""
+    import numpy as np
+
+    pairs, ones = shingles(hashes, 2), np.zeros(32 * SEGMENTS, np.int64)
     for at in range(0, len(pairs), AT_ONCE):
         h = pairs[at : at + AT_ONCE]
         long = np.stack([_mix(h + np.uint64(k * 0xD1342543DE82EF95 % (1 << 64))) for k in range(len(WORDS))], axis=1)
         ones += np.unpackbits(long.view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.uint16)
-    bits = np.packbits(2 * ones > len(pairs)).view("<i8").tolist()
-    sig = np.uint64(xxhash.xxh64_intdigest(found.tobytes()) if len(found) else 0)
-    return int(sig.view(np.int64)), len(found), *bits
+    return np.packbits(2 * ones > len(pairs)).view("<i8").tolist()
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def work(rows):
         for doc_id, text in rows:
-            yield doc_id, *_signature(word_hashes(text), width)
+            hashes = word_hashes(text)
+            found = shingles(hashes, width)
+            yield doc_id, set_hash(found), len(found), *fingerprint(hashes), ends(hashes)
 
-    return map_rows(docs.select("doc_id", "text"), work, f"doc_id long, sig long, n long, {', '.join(f'{b} long' for b in WORDS)}")
+    return map_rows(docs.select("doc_id", "text"), work, f"doc_id long, sig long, n long, {', '.join(f'{b} long' for b in WORDS)}, ends array<long>")
 
 
 def meetings(nodes: DataFrame) -> DataFrame:
-    """p, first, u, v, deep: pairs u < v of texts that meet in point p, whose smallest is `first`. deep marks pairs with
-    `first` that stand for all of v's pairs in a crowded point."""
+    """u, v, third: each text v that meets others in a point, with the point's first (smallest) text u, for each point;
+    third: at least one other text comes between them."""
     halves = [h for b in WORDS for h in (F.col(b).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(b, 32))]
     base = F.array(*(h.bitwiseOR(F.lit(s << 32).cast("long")) for s, h in enumerate(halves)))
     masks = F.array(*(F.lit(m).cast("long") for m in (0, *(1 << i for i in range(32)))))
-    points = nodes.select("sig", F.explode(base).alias("at")).select("sig", "at", F.explode(masks).alias("mask")).select(F.col("at").bitwiseXOR(F.col("mask")).alias("p"), "sig")
-    ordered = points.repartition(parts(nodes.sparkSession), "p").sortWithinPartitions("p", "sig")
+    points = nodes.where("n > 0").select("sig", "ends", F.explode(base).alias("at"), (F.col("at") < 1 << 32).alias("once"))
+    own = F.when(F.col("once"), F.col("ends")).otherwise(F.array().cast("array<long>"))
+    points = points.select("sig", F.explode(F.concat(own, F.transform(masks, lambda m: F.col("at").bitwiseXOR(m)))).alias("p"))
+    ordered = points.select("p", "sig").repartition(parts(nodes.sparkSession), "p").sortWithinPartitions("p", "sig")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        last, count, first, recent = None, 0, None, np.zeros(0, np.int64)  # of the point that the last batch ended in
+        last = first = count = None  # of the point that the last batch ended in
         for b in batches:
             if not b.num_rows:
                 continue
             p, sig = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+            firsts, sizes = sig[starts].copy(), np.diff(np.r_[starts, len(p)])
+            rank = np.arange(len(p)) - np.repeat(starts, sizes)
             if last is not None and p[0] == last:
-                pp, ss = np.concatenate([np.full(len(recent), last), p]), np.concatenate([recent, sig])
-                old, skipped, top = len(recent), count - len(recent), first
-            else:
-                pp, ss, old, skipped, top = p, sig, 0, 0, None
-            starts = np.flatnonzero(np.r_[True, pp[1:] != pp[:-1]])
-            group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(pp)]))
-            rank, firsts = np.arange(len(pp)) - starts[group], ss[starts].copy()
-            if top is not None:
-                rank[group == 0] += skipped
-                firsts[0] = top
-            new = np.arange(len(pp)) >= old
-            out = []
-            for k in range(1, LISTED + 1):
-                i = np.flatnonzero(new & (rank >= k) & (rank <= LISTED))
-                if not len(i):
-                    break
-                out.append((pp[i], firsts[group[i]], ss[i - k], ss[i], np.zeros(len(i), bool)))
-            if len(i := np.flatnonzero(new & (rank > LISTED))):
-                out.append((pp[i], firsts[group[i]], firsts[group[i]], ss[i], np.ones(len(i), bool)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["p", "first", "u", "v", "deep"])
-            last, count, first, recent = pp[-1], int(rank[-1]) + 1, firsts[-1], ss[max(int(starts[-1]), len(ss) - LISTED) :].copy()
-
-    return ordered.mapInArrow(run, "p long, first long, u long, v long, deep boolean")
+                firsts[0] = first
+                rank[: sizes[0]] += count
+            u = np.repeat(firsts, sizes)
+            if len(i := np.flatnonzero(u != sig)):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i]) for c in (u, sig, rank > 1)], names=["u", "v", "third"])
+            last, first, count = p[-1], firsts[-1], int(rank[-1]) + 1
+
+    return ordered.mapInArrow(run, "u long, v long, third boolean")
+
+
+def _counted(pairs: DataFrame, of: DataFrame, end: str) -> DataFrame:
+    """`of` for the texts in the column `end`, with _rows, in how many pairs: one text may be in a great share of them."""
+    return settle(pairs.groupBy(end).agg(F.count("*").alias("_rows")).join(of, end))
 
 
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of distinct u, v: those whose complete distance and numbers of shingles allow the similarity."""
-    for end in "uv":
-        pairs = pairs.join(nodes.select(F.col("sig").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("n", *WORDS))), end)
+    """Of distinct u, v (settled): those whose complete distance and numbers of shingles allow the similarity."""
+    side = lambda end: nodes.select(F.col("sig").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("n", *WORDS)))
     apart = sum(F.bit_count(F.col(f"u_{b}").bitwiseXOR(F.col(f"v_{b}"))) for b in WORDS)
     sizes = 10 * F.least("u_n", "v_n") >= 8 * F.greatest("u_n", "v_n")
-    return pairs.where((apart <= RADIUS) & sizes).select("u", "v")
+    both = spread_join(pairs, _counted(pairs, side("u"), "u"), "u", "_rows", "inner").join(side("v"), "v")
+    return both.where((apart <= RADIUS) & sizes).select("u", "v")
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Of distinct u, v: those whose sets of shingles have a Jaccard similarity of 0.8 or more. Only texts in a pair are
-    read again; one row of each set is found by the smallest id with that set."""
-    wanted = pairs.select(F.col("u").alias("sig")).union(pairs.select("v")).distinct().join(nodes.select("sig", "first_id"), "sig")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("sig", "text")
+def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """sig, held (array of shingle hashes) of the `wanted` (settled, distinct sig). Texts are not shuffled where few are wanted;
+    one row of each set is found by the smallest id with that set."""
+    few = wanted.count() <= BROADCAST_ROWS
+    ids = wanted.join(nodes.select("sig", "first_id"), "sig")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("sig", "text")
 
     def work(rows):
         import numpy as np
 
         for sig, text in rows:
-            hashes = word_hashes(text)
-            if _signature(hashes, width)[0] == sig:  # rows may repeat an id with another text
-                yield sig, shingles(hashes, width).view(np.int64).tolist()
-
-    sets = settle(map_rows(texts, work, "sig long, held array<long>", 16).dropDuplicates(["sig"]))
-    both = pairs.join(sets.select(F.col("sig").alias("u"), F.col("held").alias("a")), "u").join(sets.select(F.col("sig").alias("v"), F.col("held").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(10 * shared >= 8 * (F.size("a") + F.size("b") - shared)).select("u", "v")
-
-
-def _rooted(pairs: DataFrame, roots: DataFrame, *ends: str) -> DataFrame:
-    for end in ends:
-        of = roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
-        pairs = pairs.join(of, end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
-    return pairs
+            found = shingles(word_hashes(text), width)
+            if set_hash(found) == sig:  # rows may repeat an id with another text
+                yield sig, found.view(np.int64).tolist()
+
+    return settle(map_rows(texts, work, "sig long, held array<long>", 16).dropDuplicates(["sig"]))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v: of distinct pairs (two columns, settled) those whose sets (settled) have a Jaccard similarity of 0.8 or more."""
+    a, b = pairs.columns
+    side = lambda end: sets.select(F.col("sig").alias(end), F.col("held").alias(f"{end}_held"))
+    both = spread_join(pairs, _counted(pairs, side(a), a), a, "_rows", "inner").join(side(b), b)
+    held = f"{a}_held", f"{b}_held"
+    shared = F.size(F.array_intersect(*held))
+    return both.where(10 * shared >= 8 * (F.size(held[0]) + F.size(held[1]) - shared)).select(F.col(a).alias("u"), F.col(b).alias("v"))
+
+
+def _rooted(rows: DataFrame, roots: DataFrame, end: str) -> DataFrame:
+    return rows.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+
+
+def set_join(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """u, v: all pairs of `sets` (sig, held; settled) of similarity 0.8 or more that are in different components.
+
+    Shingles are ordered from the rarest. Of two such sets of n and m shingles, one of the first n - 0.8 n + 1 of one is among
+    the first m - 0.8 m + 1 of the other, and from the first that they share on enough must be left on both sides. Shingles of
+    one set only come first, so a set with over a fifth of these has no partner and lists nothing."""
+    held = sets.select("sig", F.size("held").alias("n"), F.explode("held").alias("h"))
+    counts = settle(held.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").withColumn("times", F.col("k")))
+    shared = spread_join(held, counts, "h", "k", "inner")
+    ranked = shared.groupBy("sig", "n").agg(F.sort_array(F.collect_list(F.struct("times", "h"))).alias("a"))
+    need = F.ceil(F.col("n") * 8 / 10).cast("int")
+    listed = ranked.where(F.size("a") >= need).select("sig", "n", F.posexplode(F.slice("a", F.lit(1), F.size("a") - need + 1)).alias("k", "e"), F.size("a").alias("in_a"))
+    keys = _rooted(listed.select("sig", "n", (F.col("n") - F.col("in_a") + F.col("k")).alias("at"), F.col("e.h").alias("h")), roots, "sig")
+    keys = settle(keys)
+    # of each shingle's texts, those of the component with most are not compared with each other
+    per = keys.groupBy("h", "sig_root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("sig_root", F.struct("c", "sig_root")).alias("main"), F.count("*").alias("roots"))
+    open_ = settle(per.where("roots > 1").select("h", "main"))
+    x = keys.join(open_, "h").where("sig_root != main").select("h", *(F.col(c).alias(f"x_{c}") for c in ("sig", "n", "at", "sig_root")))
+    y = keys.select("h", *(F.col(c).alias(f"y_{c}") for c in ("sig", "n", "at", "sig_root")))
+    left = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    fits = (F.col("x_sig_root") != F.col("y_sig_root")) & (10 * F.least("x_n", "y_n") >= 8 * F.greatest("x_n", "y_n")) & (18 * left >= 8 * (F.col("x_n") + F.col("y_n")))
+    pairs = x.join(y, "h").where(fits).select(F.least("x_sig", "y_sig").alias("x"), F.greatest("x_sig", "y_sig").alias("y")).distinct()
+    return _similar(settle(pairs), sets)
 
 
 def links(nodes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """u, v: verified links whose components are those of the similarity among the sets `nodes`."""
-    met = settle(meetings(nodes))
-    pairs = settle(_close(met.select("u", "v").distinct(), nodes))
-    best = settle(_similar(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), nodes, docs, width))
-    open_ = settle(_rooted(pairs, components(best), "u", "v").where("u_root != v_root").select("u", "v"))
-    found = settle(best.union(_similar(open_, nodes, docs, width)))
-    crowded = met.where("deep").select("p").distinct()
-    if crowded.isEmpty():
-        return found
-    inside = met.join(crowded, "p", "left_semi")
-    members = inside.select("p", F.col("v").alias("m")).union(inside.select("p", "first")).distinct()
-    members = settle(_rooted(members, components(found), "m"))
-    main = members.groupBy("p", "m_root").count().groupBy("p").agg(F.max_by("m_root", F.struct("count", "m_root")).alias("main"))
-    outside = members.join(main, "p").where("m_root != main").select("p", F.col("m").alias("x"), F.col("m_root").alias("x_root"))
-    more = outside.join(members, "p").where("m_root != x_root").select(F.least("m", "x").alias("u"), F.greatest("m", "x").alias("v")).distinct()
-    return found.union(_similar(settle(_close(more, nodes)), nodes, docs, width))
+    """u, v: verified links whose components are those of the similarity among the sets `nodes` that meet."""
+    met = settle(meetings(nodes).groupBy("u", "v").agg(F.max("third").alias("third")))
+    pairs = settle(_close(met.select("u", "v"), nodes))
+    wanted = settle(pairs.select(F.col("u").alias("sig")).union(pairs.select("v")).distinct())
+    found = settle(_similar(pairs, sets_of(wanted, nodes, docs, width)))
+    roots = settle(components(found))
+    # all points of one first text are taken together: done with if no third text is in them or all are in one component
+    per = _rooted(met, roots, "v").groupBy("u").agg(F.count("*").alias("k"), F.max("third").alias("third"), F.min("v_root").alias("low"), F.max("v_root").alias("high"))
+    open_ = settle(_rooted(per, roots, "u").where("third AND (low != high OR low != u_root)").select("u", "k"))
+    wanted = settle(spread_join(met, open_, "u", "k", "left_semi").select(F.col("v").alias("sig")).union(open_.select("u")).distinct())
+    return found.union(set_join(sets_of(wanted, nodes, docs, width), roots))
 
 
 def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -187,15 +226,16 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     equal sets of shingles are one class. A class whose ids are all null has a null component_id. An empty table gives an
     empty one; other columns are ignored."""
     rows = settle(signatures(docs, width))
-    nodes = settle(rows.groupBy("sig").agg(F.min("doc_id").alias("first_id"), *(F.max(c).alias(c) for c in ("n", *WORDS))))
-    of = settle(_rooted(nodes.select("sig", "first_id"), components(links(nodes, docs, width)), "sig"))
-    ids = of.join(of.groupBy("sig_root").agg(F.min("first_id").alias("component_id")), "sig_root").select("sig", "component_id")
-    return rows.join(ids, "sig", "left").select("doc_id", "component_id")
+    nodes = settle(rows.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size"), *(F.min(c).alias(c) for c in ("n", *WORDS, "ends"))))
+    of = settle(_rooted(nodes.select("sig", "first_id", "size"), components(links(nodes, docs, width)), "sig"))
+    ids = settle(spread_join(of, settle(of.groupBy("sig_root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("k"))), "sig_root", "k"))
+    return spread_join(rows.select("doc_id", "sig"), ids.select("sig", "component_id", "size"), "sig", "size").select("doc_id", "component_id")
 
 
 def drop_near(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """`docs`, all columns, with one document of each class of `classes`: the one with the smallest id.
 
-    Rows that repeat the id of the one that stays all stay, as do rows with a null id."""
-    gone = settle(classes(docs, width)).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    Rows that repeat the id of the one that stays all stay, as do rows with a null id. The ids that go are broadcast while
+    they are few (counted); beyond BROADCAST_ROWS an anti join deals the texts out by id, once."""
+    gone = settle(classes(docs, width).where("doc_id != component_id").select("doc_id").distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)

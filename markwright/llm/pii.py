@@ -142,7 +142,7 @@ def redact(docs: DataFrame, least: float = LEAST) -> DataFrame:
                 text = "".join([*out, text[done:]])
             yield (*row[:at], text, *row[at + 1 :])
 
-    return map_rows(docs, work, docs._jdf.schema().toDDL())
+    return map_rows(docs, work, docs.schema)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, settle, with_sums
+from .common import read, settle, spread_join, with_sums
 from .exact_dedup import sha256
 
 BLOCKS = 20_000
@@ -95,8 +95,8 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     largest, total = multi.agg(F.max("bytes"), F.sum("bytes")).first()
     if not total:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    shared = multi.where("n > 1").select("key", "first_id")
-    placed = rows.join(shared, "key", "left").select("doc_id", "size", "text_crc32", "key", F.coalesce("first_id", "doc_id").alias("first_id"))
+    shared = settle(multi.where("n > 1").select("key", "first_id", "n"))
+    placed = spread_join(rows, shared, "key", "n").select("doc_id", "size", "text_crc32", "key", F.coalesce("first_id", "doc_id").alias("first_id"))
     order = ["first_id", "key", "doc_id"]
     summed = settle(with_sums(placed, order, {"upto": F.col("size"), "place": F.lit(1)}))
     ends = settle(summed.groupBy("key").agg(F.max("upto").alias("end")).select("end"))

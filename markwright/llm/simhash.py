@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, read, settle
+from .common import map_rows, read, settle, spread_join
 from .components import components
 
 HOT = 256
@@ -96,11 +96,12 @@ def classes(docs: DataFrame, width: int = SHINGLE, hot: int = HOT) -> DataFrame:
     One row for each row of `docs`. Null and empty texts share fingerprint 0 and link like others. Rows that repeat an id or
     a text are alike. A component whose ids are all null has a null component_id. An empty table gives an empty one."""
     rows = settle(fingerprints(docs, width))
-    distinct = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    distinct = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size")))
     roots = components(links(distinct.select("fp"), hot)).withColumnRenamed("node", "fp")
-    of = settle(distinct.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    ids = of.join(of.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(ids, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = settle(distinct.join(roots, "fp", "left").select("fp", "first_id", "size", F.coalesce("root", "fp").alias("root")))
+    least = settle(of.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("k")))
+    ids = settle(spread_join(of, least, "root", "k").select("fp", "component_id", "size"))
+    return spread_join(rows, ids, "fp", "size").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,7 +269,6 @@ def removed(docs: DataFrame) -> DataFrame:
     common = gathered(map_rows_large(docs, anchors(buckets)), shared)
     release(docs.sparkSession)  # what a stage has shuffled goes before the next one shuffles
     found = gathered(map_rows_large(joined(docs, common, "inner"), windows(buckets)), later)
-    release(docs.sparkSession)
     return found
 
 

@@ -7,7 +7,8 @@ category, "toxic"; "low_quality" (quality = 0) stands before it in the chain. A
 
 Fitted on the driver from a bounded sample: the SAMPLE labelled rows with the smallest hash of the id, as counts of
 features of the vocabulary (FEATURES_KNOWN at most, in LEAST sample documents or more). The model is a few thousand numbers. Documents are
-scored whole and one by one, without a shuffle.
+scored whole and one by one, without a shuffle. While fitting, each fold's features are chosen without that fold too, so the
+odds handed on come from models that have seen nothing of the row.
 """
 
 from __future__ import annotations
@@ -108,6 +109,7 @@ class Chain:
         self.chain = chain
         self.models: list[tuple[dict[str, int], np.ndarray]] = []  # feature -> place, weights
         self.known: set[str] = set()
+        self.unseen: list[np.ndarray] = []  # of each category, the log odds of the rows it was fitted on, by models of other folds
 
     def fit(self, rows: list[tuple], vocabulary: list[str], folds: int = FOLDS) -> Chain:
         """rows: (fold number, places in the vocabulary, counts (both packed arrays), distinct words, figures, *labels); none:
@@ -119,22 +121,27 @@ class Chain:
         before = np.zeros((len(rows), 0))
         for c in range(len(self.chain)):
             y = np.array([r[5 + c] for r in rows], float)
-            chosen = screened(sets, y, len(vocabulary), FEATURES)
-            place = np.full(len(vocabulary), -1)
-            place[chosen] = np.arange(len(chosen))
-            x = np.zeros((len(rows), len(chosen)))
-            for i, (_, _, counts, words, *_) in enumerate(rows):
-                at = place[sets[i]]
-                x[i, at[at >= 0]] = np.frombuffer(counts, np.uint8)[at >= 0] * weight(words)
-            x = np.hstack([x, more, before])
+
+            def table(chosen):
+                place = np.full(len(vocabulary), -1)
+                place[chosen] = np.arange(len(chosen))
+                x = np.zeros((len(rows), len(chosen)))
+                for i, (_, _, counts, words, *_) in enumerate(rows):
+                    at = place[sets[i]]
+                    x[i, at[at >= 0]] = np.frombuffer(counts, np.uint8)[at >= 0] * weight(words)
+                return np.hstack([x, more, before])  # noqa: B023
+
             unseen = np.zeros(len(rows))
             for k in range(folds):
                 if (here := fold == k).any() and (~here).any():
+                    x = table(screened([s for s, h in zip(sets, here, strict=True) if not h], y[~here], len(vocabulary), FEATURES))
                     w = fit_logistic(x[~here], y[~here])
                     unseen[here] = np.clip(x[here] @ w[:-1] + w[-1], -8, 8)
-            before = np.hstack([before, unseen[:, None]])
+            chosen = screened(sets, y, len(vocabulary), FEATURES)
+            self.unseen.append(unseen)
             self.known |= {vocabulary[f] for f in chosen}
-            self.models.append(({vocabulary[f]: k for k, f in enumerate(chosen)}, fit_logistic(x, y)))
+            self.models.append(({vocabulary[f]: k for k, f in enumerate(chosen)}, fit_logistic(table(chosen), y)))
+            before = np.hstack([before, unseen[:, None]])
         return self
 
     def predict(self, text: str | None) -> list[float]:
@@ -204,7 +211,7 @@ def clean(docs: DataFrame, model: Chain, cut: float = CUT) -> DataFrame:
             if shared.value.predict(row[at])[-1] < cut:
                 yield row
 
-    return map_rows(docs, work, docs._jdf.schema().toDDL())
+    return map_rows(docs, work, docs.schema)
 
 
 def chain_labels(labels: DataFrame) -> DataFrame:

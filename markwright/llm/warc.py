@@ -20,7 +20,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, parts, read, settle, shared_dir
+from .common import map_rows, parts, read, settle, shared_dir, spread_join
 
 LEAST_PAYLOAD = 100
 BLOCK = 1000
@@ -89,8 +89,8 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.coalesce("page_id", F.lit(NULL_ID)).alias("page_id"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     large = rows.where(F.octet_length("payload") >= LEAST_PAYLOAD)
-    first = settle(large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id"))
-    rows = rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("first_id") != F.col("page_id"), F.col("first_id")).alias("refers_to"))
+    first = settle(large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id", "n"))
+    rows = spread_join(rows, first, "digest", "n").select("page_id", "url", "payload", "digest", F.when(F.col("first_id") != F.col("page_id"), F.col("first_id")).alias("refers_to"))
 
     def work(rows):
         out, name, at = None, f"{uuid.uuid4().hex}.warc.gz", 0
