@@ -210,7 +210,7 @@ def links(nodes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
     met = settle(meetings(nodes).groupBy("u", "v").agg(F.max("third").alias("third")))
     pairs = settle(_close(met.select("u", "v"), nodes))
     wanted = settle(pairs.select(F.col("u").alias("sig")).union(pairs.select("v")).distinct())
-    found = settle(_similar(pairs, sets_of(wanted, nodes, docs, width)))
+    found = settle(_similar(pairs.toDF("a", "b"), sets_of(wanted, nodes, docs, width)))
     roots = settle(components(found))
     # all points of one first text are taken together: done with if no third text is in them or all are in one component
     per = _rooted(met, roots, "v").groupBy("u").agg(F.count("*").alias("k"), F.max("third").alias("third"), F.min("v_root").alias("low"), F.max("v_root").alias("high"))
