@@ -19,7 +19,7 @@ def preprocess(c: Column) -> Column:
 
 
 def clean_line(c: Column) -> Column:
-    return collapse(c, r" \t\xa0" + ZERO_WIDTH)
+    return F.regexp_replace(F.regexp_replace(c, rf"[ \t\xa0{ZERO_WIDTH}]+", " "), f"^[{WS}]+|[{WS}]+$", "")
 
 
 def words(c: Column) -> Column:

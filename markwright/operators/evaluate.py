@@ -52,7 +52,7 @@ def single_answers(rows: DataFrame, semantic: Column, judge=None) -> DataFrame:
     """`rows` (answer, model_answer, keywords of word and weight, max_marks) with score_out_of_10, scaled_marks, matched and
     missing. `semantic` (0 to 10) comes from an embedding model. No concepts; length is judged by ten marks. A tenth
     of `semantic` is the confidence: answers that are irrelevant by it or have under three words get no marks and miss all
-    keywords, partial ones get 2.0 at most. Marks are rounded as decimal numbers, halves up (2.985 is 2.99)."""
+    keywords, partial ones get 2.0 at most."""
     rows = rows.withColumn("_clean", text.preprocess(sheets.repaired(F.col("answer"))))
     words = F.transform("keywords", lambda k: k["word"])
     rows = rows.withColumn("_words", words).withColumn("_plain", F.transform("_words", text.preprocess))
@@ -60,15 +60,48 @@ def single_answers(rows: DataFrame, semantic: Column, judge=None) -> DataFrame:
     n = text.word_count(F.col("_clean"))
     band = scoring.band(semantic / 10, n)
     none = scoring.no_marks(band)
-    keyword = F.round(fuzzy.keyword_score(F.transform("keywords", lambda k: k["weight"]), F.col("_found")), 2)
+    keyword = scoring.rounded(fuzzy.keyword_score(F.transform("keywords", lambda k: k["weight"]), F.col("_found")), 2)
     raw = scoring.raw_score(semantic, keyword, F.lit(0.0), contradiction(F.col("_clean"), F.col("model_answer"), judge))
-    marks = F.round(scoring.banded_marks(raw, scoring.length_adjustment(scoring.length_factor(n, F.lit(10))), band), 2)
-    out = rows.withColumn("score_out_of_10", marks).withColumn("scaled_marks", F.round(F.col("score_out_of_10") / 10 * F.col("max_marks"), 2))
+    marks = scoring.rounded(scoring.banded_marks(raw, scoring.length_adjustment(scoring.length_factor(n, F.lit(10))), band), 2)
+    out = rows.withColumn("score_out_of_10", marks).withColumn("scaled_marks", scoring.rounded(F.col("score_out_of_10") / 10 * F.col("max_marks"), 2))
     out = out.withColumn("matched", F.when(none, F.array().cast("array<string>")).otherwise(fuzzy.matched(F.col("_words"), F.col("_found"))))
     out = out.withColumn("missing", F.when(none, F.col("_words")).otherwise(fuzzy.missing(F.col("_words"), F.col("_found"))))
     return out.drop("_clean", "_words", "_plain", "_found")
 
 
+def final(rows: DataFrame, judge=None) -> DataFrame:
+    """`rows` with the 21 columns of a whole evaluation. Taken: answer, model_answer, similarity (cosine of the two texts' vectors),
+    keywords (word, weight), concepts (groups of synonyms), max_marks.
+
+    Under three words: zeros, all keywords missing and all concepts missed. A confidence below 0.20: the same, but semantic_score
+    and confidence stay. From 0.20 to 0.35: final_marks are 2.0 at most. Decimals are rounded by `scoring.rounded`."""
+    rows = rows.withColumn("student_answer_clean", text.preprocess(F.col("answer"))).withColumn("_model", text.preprocess(F.col("model_answer")))
+    rows = rows.withColumn("_words", F.transform("keywords", lambda k: k["word"])).withColumn("_labels", F.transform(F.filter("concepts", lambda g: F.size(g) > 0), lambda g: g[0]))
+    n = text.word_count(F.col("student_answer_clean"))
+    sure = scoring.clamp(F.col("similarity").cast("double"), 0.0, 1.0)
+    rows = rows.withColumn("_n", n).withColumn("_band", scoring.band(sure, n)).withColumn("_found", fuzzy.ratios(F.transform("_words", text.preprocess), "student_answer_clean"))
+    rows = rows.withColumn("_flags", fuzzy.covered("concepts", "student_answer_clean"))
+    none, empty = scoring.no_marks(F.col("_band")), F.col("_band") == "empty"
+    no_words = F.array().cast("array<string>")
+    zero = lambda c: F.when(none, 0.0).otherwise(c)
+    out = rows.withColumn("semantic_score", F.when(empty, 0.0).otherwise(scoring.rounded(sure * 10, 2))).withColumn("confidence", F.when(empty, 0.0).otherwise(scoring.rounded(sure, 4)))
+    out = out.withColumn("keyword_score", zero(scoring.rounded(fuzzy.keyword_score(F.transform("keywords", lambda k: k["weight"]), F.col("_found")), 2)))
+    out = out.withColumn("concept_score", zero(scoring.rounded(fuzzy.concept_score(F.col("_flags")), 2)))
+    out = out.withColumn("contradiction_score", zero(scoring.rounded(contradiction(F.col("student_answer_clean"), F.col("_model"), judge), 4)))
+    out = out.withColumn("raw_score", zero(scoring.rounded(scoring.raw_score(F.col("semantic_score"), F.col("keyword_score"), F.col("concept_score"), F.col("contradiction_score")), 4)))
+    factor = scoring.length_factor(F.col("_n"), F.col("max_marks"))
+    out = out.withColumn("length_factor", zero(scoring.rounded(factor, 4))).withColumn("length_adjustment", zero(scoring.rounded(scoring.length_adjustment(factor), 4)))
+    out = out.withColumn("final_marks", scoring.rounded(scoring.banded_marks(F.col("raw_score"), scoring.length_adjustment(factor), F.col("_band")), 2))
+    out = out.withColumn("final_score", scoring.rounded(scoring.scaled(F.col("final_marks"), F.col("max_marks")), 4)).withColumn("rounded_score", F.least(scoring.half_step(F.col("final_score")), F.col("max_marks").cast("double")))
+    out = out.withColumn("matched_keywords", F.when(none, no_words).otherwise(fuzzy.matched(F.col("_words"), F.col("_found")))).withColumn("missing_keywords", F.when(none, F.col("_words")).otherwise(fuzzy.missing(F.col("_words"), F.col("_found"))))
+    labelled = lambda hit: F.transform(F.filter(F.arrays_zip(F.col("concepts").alias("g"), F.col("_flags").alias("f")), lambda x: (x["f"] == F.lit(hit)) & (F.size(x["g"]) > 0)), lambda x: x["g"][0])
+    out = out.withColumn("covered_concepts", F.when(none, no_words).otherwise(labelled(True))).withColumn("missed_concepts", F.when(none, F.col("_labels")).otherwise(labelled(False)))
+    lines = scoring.feedback(F.col("_band"), F.col("contradiction_score"), factor, F.col("semantic_score"), F.col("confidence"), F.col("missed_concepts"), F.col("missing_keywords"), F.size("_words"))
+    out = out.withColumn("feedback", lines).withColumn("semantic_weight", F.lit(scoring.W_SEMANTIC)).withColumn("keyword_weight", F.lit(scoring.W_KEYWORD))
+    out = out.withColumn("is_irrelevant", F.col("_band") == "irrelevant").withColumn("is_partially_relevant", F.col("_band") == "partial")
+    return out.drop("_model", "_words", "_labels", "_n", "_band", "_found", "_flags")
+
+
 def separate_uploads(questions: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
     """keys, question, answer, status, pos. Each question row, repeats too, carries the last answer with its number; answers
     without a question, repeats too, are skipped. Numbers without text are no numbers. Both sides: qno, pos and their text."""

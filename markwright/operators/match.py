@@ -13,10 +13,24 @@ AT_ONCE = 256
 
 
 def exact(questions: DataFrame, bank: DataFrame) -> DataFrame:
-    """q_id, bank_pos: of the bank's entries with the same text key, the first."""
-    q = questions.select("q_id", exact_key(F.col("question")).alias("key"))
-    b = bank.groupBy(exact_key(F.col("question")).alias("key")).agg(F.min("bank_pos").alias("bank_pos"))
-    return q.join(b, "key").select("q_id", "bank_pos")
+    """q_id, bank_pos: of the bank's entries with the same text key, the first. Null texts match nothing.
+
+    What is shuffled is the SHA-256 of a key, not the key; it can't be null, so no filter computes it a second time."""
+    hashed = lambda rows: rows.where("question IS NOT NULL").withColumn("key", F.coalesce(F.sha2(exact_key(F.col("question")).cast("binary"), 256), F.lit("")))
+    b = hashed(bank).groupBy("key").agg(F.min("bank_pos").alias("bank_pos"))
+    return hashed(questions).select("q_id", "key").join(b, "key").select("q_id", "bank_pos")
+
+
+def bank_match(questions: DataFrame, bank: DataFrame, threshold: float = 0.75, margin: float = 0.08) -> DataFrame:
+    """q_id, bank_pos, score, how: the bank entry with the same text (score 1); for the other questions the nearest by cosine, if
+    it reaches `threshold` and is `margin` above the second. Questions without either have a null bank_pos.
+    questions: q_id, question, vector; bank: bank_pos, question, vector."""
+    same = exact(questions, bank).select("q_id", "bank_pos", F.lit(1.0).alias("score"), F.lit("exact").alias("how"))
+    rest = questions.join(same, "q_id", "left_anti")
+    found = with_margin(nearest(rest.select("q_id", "vector"), bank), threshold, margin)
+    taken = F.col("verdict") == "accepted"
+    near = rest.select("q_id").join(found, "q_id", "left").select("q_id", F.when(taken, F.col("bank_pos")).alias("bank_pos"), "score", F.when(taken, "nearest").otherwise("none").alias("how"))
+    return same.unionByName(near)
 
 
 def nearest(queries: DataFrame, bank: DataFrame) -> DataFrame:

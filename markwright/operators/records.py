@@ -4,12 +4,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_line, collapse
+from ..functions.sheets import answer_number, is_noise
+from ..functions.text import canonical_qno, clean_line, collapse
 
+#: Every line end that Unicode knows, a return with its line feed being one.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85" + chr(0x2028) + chr(0x2029) + "]"
 
-def lines(sheets: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line_pos, line: cleaned lines that aren't empty."""
-    return sheets.select(key, F.posexplode(F.split(text, "\n", -1)).alias("line_pos", "line")).withColumn("line", clean_line(F.col("line"))).where("line != ''")
+
+def lines(sheets: DataFrame, key: str, text: str, empty: bool = False) -> DataFrame:
+    """key, line_pos, line: cleaned lines, those that are empty only if `empty`. Null texts have none."""
+    found = sheets.select(key, F.posexplode(F.split(text, LINE_END, -1)).alias("line_pos", "line")).withColumn("line", clean_line(F.col("line")))
+    return found if empty else found.where("line != ''")
+
+
+def diagnosed(sheets: DataFrame, key: str, text: str, most: int = 40) -> DataFrame:
+    """key, line_no, kind, qno, shown: what each of the first `most` lines of an answer sheet is taken for (blank, noise,
+    number or answer), its question number, and the start of what follows the number (40 characters) or of the answer (60)."""
+    found = lines(sheets, key, text, empty=True).where(F.col("line_pos") < most).withColumn("n", answer_number(F.col("line")))
+    kind = F.when(F.col("line") == "", "blank").when(is_noise(F.col("line")), "noise").when(F.col("n.qno").isNotNull(), "number").otherwise("answer")
+    shown = F.when(F.col("kind") == "number", F.substring("n.rest", 1, 40)).when(F.col("kind") == "answer", F.substring("line", 1, 60)).otherwise("")
+    return found.withColumn("kind", kind).select(key, (F.col("line_pos") + 1).alias("line_no"), "kind", F.when(F.col("kind") == "number", F.col("n.qno")).alias("qno"), shown.alias("shown"))
 
 
 def blocks(rows: DataFrame, key: str, opens: Column, least: int = 0) -> DataFrame:
@@ -41,26 +55,33 @@ def merged(rows: DataFrame, keys: list[str], value: str, pos: str) -> DataFrame:
 
 
 def missing_numbers(rows: DataFrame, key: str, number: str) -> DataFrame:
-    """key, number: the numbers between a group's smallest and largest that it lacks."""
-    span = rows.groupBy(key).agg(F.explode(F.sequence(F.min(number), F.max(number))).alias(number))
-    return span.join(rows, [key, number], "left_anti")
+    """key, number: the numbers between a group's smallest and largest that it lacks. Each gap between neighbours is listed on
+    its own, so a group needs no array of its whole span."""
+    following = F.lead(number).over(W.partitionBy(key).orderBy(number))
+    gaps = rows.select(key, number).distinct().withColumn("_next", following).where(F.col("_next") > F.col(number) + 1)
+    return gaps.select(key, F.explode(F.sequence(F.col(number) + 1, F.col("_next") - 1)).alias(number))
 
 
 def missing_expected(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     return expected.join(found, keys, "left_anti")
 
 
-#: Roman numbers that count as such.
+#: Roman numbers that count as such, and the letters of Tamil parts in their order.
 ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii")
+TAMIL_PARTS = "அஆஇஈඋஊ"
 
 
 def sort_key(qno: Column) -> Column:
-    """A struct to order question numbers by: numbers (and number with letter), single letters, roman numbers, the rest."""
-    number, letter = F.regexp_extract(qno, r"^Q?([0-9]+)", 1), F.regexp_extract(qno, r"^Q?[0-9]+\.?([a-z]?)", 1)
-    roman = sum((F.when(qno == r, F.lit(k + 1)).otherwise(0) for k, r in enumerate(ROMAN)), F.lit(0))
-    kind = F.when(number != "", 0).when((F.length(qno) == 1) & qno.rlike("^[a-z]$") & (roman == 0), 1).when(roman > 0, 2).otherwise(4)
-    value = F.when(kind == 0, number.cast("int")).when(kind == 2, roman).otherwise(F.lit(0))
-    return F.struct(kind.alias("kind"), value.alias("number"), F.ascii(letter).alias("letter"), qno.alias("text"))
+    """A struct to order question numbers by, a leading Q aside: whole numbers and a number with a letter after a stop or space
+    (kind 0), single letters (1), roman numbers of several letters (2), Tamil letters (3), the rest by their text (4)."""
+    bare = F.regexp_replace(qno, "^[Qq]", "")
+    both = r"^([0-9]+)(?:[.\s]([a-zA-Z]))?$"
+    number, letter = F.regexp_extract(bare, both, 1), F.lower(F.regexp_extract(bare, both, 2))
+    roman, tamil = F.array_position(F.array(*map(F.lit, ROMAN)), F.lower(bare)), F.instr(F.lit(TAMIL_PARTS), bare)
+    kind = F.when(number != "", 0).when(bare.rlike("^[a-zA-Z]$"), 1).when(roman > 0, 2).when(tamil > 0, 3).otherwise(4)
+    value = F.when(kind == 0, number.cast("decimal(38,0)")).when(kind == 2, roman).when(kind == 3, tamil).otherwise(F.lit(0))
+    code = F.when(kind == 0, F.ascii(letter)).when(kind == 1, F.ascii(F.lower(bare))).otherwise(F.lit(0))
+    return F.struct(kind.alias("kind"), value.cast("decimal(38,0)").alias("number"), code.alias("letter"), F.when(kind == 4, bare).otherwise("").alias("text"))
 
 
 def question_answers(questions: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,3 +92,12 @@ def question_answers(questions: DataFrame, answers: DataFrame, keys: list[str])
     status = F.when(F.col("q_pos").isNull(), "invalid").when(F.coalesce("answer", F.lit("")) != "", "attempted").otherwise("unattempted")
     side = F.when(F.col("q_pos").isNull(), 1).otherwise(0)
     return q.join(a, keys, "full_outer").select(*keys, F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"), status.alias("status"), side.alias("side"), F.coalesce("q_pos", "a_pos").alias("pos"))
+
+
+def mapped(questions: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """key, qno, question, answer, status, side, pos: questions matched with answers by their numbers in one form. Of questions
+    that repeat a number the first counts, answers that repeat one are joined in order; records without a number go.
+    questions: key, qno, question, pos; answers: key, qno, answer, pos. Texts are trimmed, null is empty."""
+    tidy = lambda rows, c: rows.withColumn("qno", canonical_qno(F.col("qno"))).where("qno != ''").withColumn(c, F.trim(F.coalesce(c, F.lit(""))))
+    q = first_of(tidy(questions, "question"), [key, "qno"], "question", "pos")
+    return question_answers(q, merged(tidy(answers, "answer"), [key, "qno"], "answer", "pos"), [key, "qno"])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, scoring, sheets, text
-from ..operators import match, records
+from ..operators import evaluate, match, records
 
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -18,6 +18,14 @@ def collapsed(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '{SPACE}+', ' ', 'g'), '^ | $', '', 'g')"
 
 
+def trimmed(x: str) -> str:
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+def cleaned(x: str) -> str:
+    return trimmed(f"regexp_replace({x}, '[ \\t\\x{{a0}}\\x{{200B}}]+', ' ', 'g')")
+
+
 COUNT = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '" + SPACE + "+'), lambda x: x <> ''))"
 QUERIES, SQL = {}, {}
 
@@ -54,7 +62,8 @@ def clean_text(spark, d):
     return t(spark, d, "documents").select("doc_id", text.preprocess(F.col("text")).alias("cleaned"), text.word_count(F.col("text")).cast("long").alias("n_words"))
 
 
-@query()
+@query("""WITH c AS (SELECT doc_id, string_split(text, '') AS cs FROM documents)
+SELECT doc_id, array_to_string(list_transform(range(1, len(cs) + 1), lambda i: CASE WHEN i > 2 AND cs[i] = cs[i - 1] AND cs[i] = cs[i - 2] AND ascii(cs[i]) NOT IN (10, 13, 133, 8232, 8233) THEN '' ELSE cs[i] END), '') AS squeezed FROM c""")
 def squeeze_runs(spark, d):
     return t(spark, d, "documents").select("doc_id", text.squeeze_runs(F.col("text")).alias("squeezed"))
 
@@ -92,9 +101,9 @@ def status_classify(spark, d):
 
 # Lines and records
 
-LINES = """l AS (SELECT doc_id, pos - 1 AS line_pos, regexp_replace(regexp_replace(line, '[ \\t\\x{a0}\\x{200B}]+', ' ', 'g'), '^ | $', '', 'g') AS line
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
-k AS (SELECT * FROM l WHERE line <> '')"""
+ENDS = "regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]')"
+ALL_LINES = f"""l AS (SELECT doc_id, pos - 1 AS line_pos, {cleaned('line')} AS line FROM (SELECT doc_id, unnest({ENDS}) AS line, generate_subscripts({ENDS}, 1) AS pos FROM documents))"""
+LINES = f"{ALL_LINES}, k AS (SELECT * FROM l WHERE line <> '')"
 
 
 @query(f"""WITH {LINES}, b AS (SELECT *, count(*) FILTER (WHERE line_pos % 3 = 1) OVER (PARTITION BY doc_id ORDER BY line_pos) AS block FROM k)
@@ -104,10 +113,49 @@ def line_blocks(spark, d):
     return records.blocks(rows, "doc_id", F.col("line_pos") % 3 == 1)
 
 
-@query(f"""WITH {LINES} SELECT doc_id, line_pos, line, CASE WHEN length(line) < 5 THEN 'short' WHEN regexp_matches(line, '^[0-9]') THEN 'number' ELSE 'text' END AS kind FROM k""")
+# Number tokens and noise in SQL; it has no look-ahead, so what must follow a token is matched after its group
+IN, DIGIT, WORD_CHAR = SPACE[1:-1], "\\p{Nd}", "[\\p{L}\\p{N}_]"
+REST = f"{DIGIT}{{1,3}}[.{IN}]{SPACE}*[a-zA-Z][).]?{SPACE}*|\\(?[a-fA-F][).]{SPACE}*|\\(?(?:i{{1,3}}|iv|vi{{0,3}}|viii)[).]{SPACE}*|[அஆஇஈஉஊ][)]{SPACE}*"
+
+
+def token(pattern: str) -> str:
+    return f"coalesce(nullif(regexp_extract(line, '{pattern}', 1), ''), regexp_extract(line, '{pattern}', 2))"
+
+
+def number_sql(prefix: str, follows: str) -> tuple[str, str, str]:
+    """The token, the number and the rest of `line` in SQL."""
+    found = token(f"^(?:((?:{prefix})?{DIGIT}{{1,3}}(?:{SPACE}*[.):\\-]{SPACE}*)?){follows}|({REST}))")
+    qno = f"regexp_replace(regexp_replace({collapsed('token')}, '[{IN}.):]+$', ''), '^{prefix}', 'Q')"
+    return found, f"nullif({qno}, '')", f"CASE WHEN token = '' THEN line ELSE {trimmed('substr(line, length(token) + 1)')} END"
+
+
+ANSWER_TOKEN, ANSWER_QNO, ANSWER_REST = number_sql(f"Q[.\\-{IN}]?{SPACE}*", f"(?:[^{DIGIT}]|$)")
+PAPER_TOKEN, PAPER_QNO, PAPER_REST = number_sql(f"Q\\.?{SPACE}*", f"(?:{SPACE}*(?:[^{IN}{DIGIT}]|$))")
+DATES = f"^{SPACE}*{DIGIT}{{1,2}}[/\\-]{DIGIT}{{1,2}}[/\\-]{DIGIT}{{2,4}}{SPACE}*$"
+
+
+def header_sql(latin, tamil) -> str:
+    names = "|".join(latin).replace(sheets.S, SPACE)
+    return f"(regexp_matches(line, '(?i)^{SPACE}*(?:{names})(?:[^\\p{{L}}\\p{{N}}_]|$)') OR regexp_matches(line, '^{SPACE}*(?:{'|'.join(tamil)}){WORD_CHAR}'))"
+
+
+NOISY = f"""({header_sql(sheets.HEADERS, sheets.TAMIL_HEADERS)} OR regexp_matches(line, '^{SPACE}*[*\\-–—_=]{{2,}}{SPACE}*$|^{SPACE}*[-–]?{SPACE}*{DIGIT}{{1,3}}{SPACE}*[-–]?{SPACE}*$')
+ OR regexp_matches(line, '{DATES}') OR regexp_matches(line, '(?i)^{SPACE}*(?:contd\\.?|p\\.?t\\.?o\\.?|over){SPACE}*$'))"""
+SKIPPED = f"({header_sql(sheets.PAPER_HEADERS, sheets.PAPER_TAMIL_HEADERS)} OR regexp_matches(line, '^{SPACE}*\\*+{SPACE}*$|^{SPACE}*[-–—_]{{3,}}{SPACE}*$') OR regexp_matches(line, '{DATES}'))"
+
+
+@query(f"""WITH {ALL_LINES}, a AS (SELECT *, {ANSWER_TOKEN} AS token FROM l WHERE line_pos < 40),
+n AS (SELECT doc_id, line_pos + 1 AS line_no, line, {ANSWER_QNO} AS qno, {ANSWER_REST} AS rest FROM a),
+k AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN {NOISY} THEN 'noise' WHEN qno IS NOT NULL THEN 'number' ELSE 'answer' END AS kind FROM n)
+SELECT doc_id, line_no, kind, CASE WHEN kind = 'number' THEN qno END AS qno, CASE kind WHEN 'number' THEN rest[1:40] WHEN 'answer' THEN line[1:60] ELSE '' END AS shown FROM k""")
 def diagnose_lines(spark, d):
-    rows = records.lines(t(spark, d, "documents"), "doc_id", "text")
-    return rows.withColumn("kind", F.when(F.length("line") < 5, "short").when(F.col("line").rlike("^[0-9]"), "number").otherwise("text"))
+    return records.diagnosed(spread(t(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
+@query(f"WITH {LINES} SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE {SKIPPED}) AS n_skipped FROM k GROUP BY doc_id")
+def skipped_lines(spark, d):
+    rows = records.lines(spread(t(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(sheets.is_skipped(F.col("line"))).alias("n_skipped"))
 
 
 def _dedup(how):
@@ -140,18 +188,22 @@ def expected_gap(spark, d):
     return records.missing_expected(c.select("conv_id", "turn"), c.where("role = 'user'").select("conv_id", "turn"), ["conv_id", "turn"])
 
 
-QNO = "CASE turn % 4 WHEN 0 THEN CAST(turn + 1 AS VARCHAR) WHEN 1 THEN 'Q' || turn || 'b' WHEN 2 THEN chr(97 + CAST(turn % 9 AS INT)) ELSE 'iii' END"
+QNO = "CASE (turn + conv_id) % 9 WHEN 0 THEN CAST(turn + 1 AS VARCHAR) WHEN 1 THEN 'Q' || turn || 'b' WHEN 2 THEN chr(97 + CAST(turn % 9 AS INT)) WHEN 3 THEN 'iii' WHEN 4 THEN turn || '.B' WHEN 5 THEN 'இ' WHEN 6 THEN 'V' WHEN 7 THEN 'q' || turn ELSE 'VIII' END"
 
 
-@query(f"""WITH r AS (SELECT conv_id, turn, {QNO} AS qno FROM conversations),
-k AS (SELECT *, CASE WHEN regexp_matches(qno, '^Q?[0-9]') THEN 0 WHEN qno IN ('i','ii','iii','iv','v','vi','vii','viii') THEN 2 WHEN regexp_matches(qno, '^[a-z]$') THEN 1 ELSE 4 END AS kind FROM r),
-n AS (SELECT *, CASE kind WHEN 0 THEN CAST(regexp_extract(qno, '^Q?([0-9]+)', 1) AS INT) WHEN 2 THEN list_position(['i','ii','iii','iv','v','vi','vii','viii'], qno) ELSE 0 END AS number, ascii(regexp_extract(qno, '^Q?[0-9]+\\.?([a-z]?)', 1)) AS letter FROM k)
-SELECT conv_id, turn, qno, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY kind, number, letter, qno, turn) AS INT) AS place FROM n""")
+@query(f"""WITH r AS (SELECT conv_id, turn, {QNO} AS qno FROM conversations), b AS (SELECT *, regexp_replace(qno, '^[Qq]', '') AS bare FROM r),
+k AS (SELECT *, CASE WHEN regexp_full_match(bare, '[0-9]+([.\\s][a-zA-Z])?') THEN 0 WHEN regexp_full_match(bare, '[a-zA-Z]') THEN 1 WHEN lower(bare) IN ('ii', 'iii', 'iv', 'vi', 'vii', 'viii') THEN 2 WHEN instr('{records.TAMIL_PARTS}', bare) > 0 THEN 3 ELSE 4 END AS kind FROM b),
+n AS (SELECT *, CASE kind WHEN 0 THEN CAST(regexp_extract(bare, '^[0-9]+') AS BIGINT) WHEN 2 THEN list_position(['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii'], lower(bare)) WHEN 3 THEN instr('{records.TAMIL_PARTS}', bare) ELSE 0 END AS number,
+ CASE kind WHEN 0 THEN ascii(lower(regexp_extract(bare, '[a-zA-Z]$'))) WHEN 1 THEN ascii(lower(bare)) ELSE 0 END AS letter, CASE kind WHEN 4 THEN bare ELSE '' END AS rest FROM k)
+SELECT conv_id, turn, qno, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY kind, number, letter, rest, turn) AS INT) AS place FROM n""")
 def qno_sort_key(spark, d):
     from pyspark.sql import Window as W
 
-    n = F.col("turn")
-    qno = F.when(n % 4 == 0, (n + 1).cast("string")).when(n % 4 == 1, F.concat(F.lit("Q"), n.cast("string"), F.lit("b"))).when(n % 4 == 2, F.char(97 + n % 9)).otherwise(F.lit("iii"))
+    n, form = F.col("turn").cast("string"), (F.col("turn") + F.col("conv_id")) % 9
+    kinds = [(F.col("turn") + 1).cast("string"), F.concat(F.lit("Q"), n, F.lit("b")), F.char(97 + F.col("turn") % 9), F.lit("iii"), F.concat(n, F.lit(".B")), F.lit("இ"), F.lit("V"), F.concat(F.lit("q"), n)]
+    qno = F.lit("VIII")
+    for k, c in enumerate(kinds):
+        qno = F.when(form == k, c).otherwise(qno)
     r = turns(spark, d).select("conv_id", "turn", qno.alias("qno"))
     return r.withColumn("place", F.row_number().over(W.partitionBy("conv_id").orderBy(records.sort_key(F.col("qno")), "turn")))
 
@@ -163,22 +215,21 @@ def numbered(spark, d):
     return turns(spark, d).select("conv_id", "turn", F.concat_ws(" ", forms(), text.clean_line(F.col("text"))).alias("line"))
 
 
-NUMBERED = f"n AS (SELECT conv_id, turn, concat_ws(' ', {FORMS}, regexp_replace(regexp_replace(text, '[ \\t\\x{{a0}}\\x{{200B}}]+', ' ', 'g'), '^ | $', '', 'g')) AS line FROM conversations)"
+NUMBERED = f"n AS (SELECT conv_id, turn, concat_ws(' ', {FORMS}, {cleaned('text')}) AS line FROM conversations)"
 
 
-@query(f"""WITH {NUMBERED}, m AS (SELECT *, regexp_extract(line, '^(Q[.-]?)?[0-9]{{1,3}}([.):-]\\s*)?') AS token FROM n)
-SELECT conv_id, turn, nullif(regexp_replace(regexp_replace(trim(token), '[\\s.):]+$', ''), '^Q[.-]', 'Q'), '') AS qno, CASE WHEN token = '' THEN line ELSE regexp_replace(substr(line, length(token) + 1), '^{SPACE}+|{SPACE}+$', '', 'g') END AS rest FROM m""")
+@query(f"WITH {NUMBERED}, m AS (SELECT *, {ANSWER_TOKEN} AS token FROM n) SELECT conv_id, turn, {ANSWER_QNO} AS qno, {ANSWER_REST} AS rest FROM m")
 def answer_number(spark, d):
     return numbered(spark, d).withColumn("n", sheets.answer_number(F.col("line"))).select("conv_id", "turn", "n.qno", "n.rest")
 
 
-@query()
+@query(f"""WITH {NUMBERED}, m AS (SELECT *, {PAPER_TOKEN} AS token FROM n)
+SELECT conv_id, turn, {PAPER_QNO} AS qno, {PAPER_REST} AS rest, token = '' AND regexp_matches(line, '^[\\p{{Ll}}\\x{{0B80}}-\\x{{0BFF}}(]') AS continues FROM m""")
 def paper_number(spark, d):
     return numbered(spark, d).withColumn("n", sheets.paper_number(F.col("line"))).select("conv_id", "turn", "n.qno", "n.rest", sheets.continues(F.col("line")).alias("continues"))
 
 
-@query(f"""WITH {LINES} SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(line, '(?i)^(page|reg(ister)?\\.?{SPACE}*no|roll|name|date|time|marks|maximum|total|instructions|part{SPACE}+[a-z]|subject)([^\\p{{L}}\\p{{N}}_]|$)')
- OR regexp_matches(line, '^[*\\-–—_=]{{2,}}$|^[-–]? *\\p{{Nd}}{{1,3}} *[-–]?$|^\\p{{Nd}}{{1,2}}[/-]\\p{{Nd}}{{1,2}}[/-]\\p{{Nd}}{{2,4}}$') OR regexp_matches(line, '(?i)^(contd\\.?|p\\.?t\\.?o\\.?|over)$')) AS n_noise FROM k GROUP BY doc_id""")
+@query(f"WITH {LINES} SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE {NOISY}) AS n_noise FROM k GROUP BY doc_id")
 def noise_lines(spark, d):
     rows = records.lines(t(spark, d, "documents"), "doc_id", "text")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(sheets.is_noise(F.col("line"))).alias("n_noise"))
@@ -425,3 +476,82 @@ def score_answers(spark, d):
     none = F.array().cast("array<string>")
     lines = scoring.feedback(F.col("band"), F.lit(0.0), F.col("factor"), F.col("keyword"), F.col("keyword") / 10, none, fuzzy.missing(F.col("keywords"), F.col("found")), F.size("keywords"))
     return g.select("doc_id", "item", "keyword", F.round("raw", 4).alias("raw"), F.round("marks", 2).alias("marks"), scoring.half_step(scoring.scaled(F.col("marks"), F.lit(5))).alias("rounded"), F.array_join(lines, "; ").alias("feedback"))
+
+
+@query(f"SELECT conv_id, turn, {collapsed("regexp_replace(text || ' (' || turn || ' Marks) and [' || turn || ']', '(?i)[(\\[] *[0-9]+ *(marks?)? *[)\\]]', ' ', 'g')")} AS stripped FROM conversations")
+def stripped_marks(spark, d):
+    n = F.col("turn").cast("string")
+    return turns(spark, d).select("conv_id", "turn", text.strip_marks(F.concat("text", F.lit(" ("), n, F.lit(" Marks) and ["), n, F.lit("]"))).alias("stripped"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 122 THEN substr(text, 1, 120) || ' …' ELSE text END AS shown FROM documents")
+def shown_text(spark, d):
+    return t(spark, d, "documents").select("doc_id", text.truncate(F.col("text")).alias("shown"))
+
+
+@query("SELECT p_partkey, regexp_replace(p_name || '/' || p_type, '[^a-zA-Z0-9_\\-]', '_', 'g') AS name FROM part")
+def safe_names(spark, d):
+    return t(spark, d, "part").select("p_partkey", text.safe_name(F.concat_ws("/", "p_name", "p_type")).alias("name"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 >= 0.75 THEN 'High' WHEN l_discount * 10 >= 0.45 THEN 'Medium' ELSE 'Low' END AS label FROM lineitem")
+def confidence_labels(spark, d):
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scoring.confidence_label(F.col("l_discount") * 10).alias("label"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 3 THEN 0.6::DOUBLE ELSE 0.7::DOUBLE END AS semantic, CASE WHEN l_linenumber > 3 THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END AS keyword,
+round(greatest(0.0::DOUBLE, least(10.0::DOUBLE, l_quantity / 4 * (0.8::DOUBLE + 0.2::DOUBLE * l_discount * 10))), 6) AS adjusted FROM lineitem""")
+def older_formula(spark, d):
+    w = scoring.older_weights(F.col("l_linenumber") + 5)
+    adjusted = scoring.confidence_adjustment(F.col("l_quantity") / 4, F.col("l_discount") * 10)
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", w[0].alias("semantic"), w[1].alias("keyword"), F.round(adjusted, 6).alias("adjusted"))
+
+
+@query(f"SELECT d.doc_id, round(least(10.0, {COUNT} / 50.0)::DOUBLE - quality * 10.0::DOUBLE, 2) AS error FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def answer_errors(spark, d):
+    """What an answer's score is above what was expected; null where nothing was."""
+    score = F.least(F.lit(10.0), text.word_count(F.col("text")) / 50.0)
+    return t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left").select("doc_id", F.round(score - F.col("quality") * 10.0, 2).alias("error"))
+
+
+@query("""WITH c AS (SELECT *, CASE WHEN turn % 4 <> 3 THEN CAST(turn % 4 AS VARCHAR) END AS qno FROM conversations WHERE turn % 4 <> 3),
+q AS (SELECT conv_id, qno, arg_min(trim(text), turn) AS question, min(turn) AS pos FROM c WHERE role = 'user' GROUP BY ALL),
+a AS (SELECT conv_id, qno, coalesce(string_agg(trim(text), ' ' ORDER BY turn) FILTER (WHERE trim(text) <> ''), '') AS answer, min(turn) AS pos FROM c WHERE role <> 'user' GROUP BY ALL)
+SELECT conv_id, qno, coalesce(question, '') AS question, coalesce(answer, '') AS answer, CASE WHEN q.pos IS NULL THEN 'invalid' WHEN coalesce(answer, '') <> '' THEN 'attempted' ELSE 'unattempted' END AS status,
+CASE WHEN q.pos IS NULL THEN 1 ELSE 0 END AS side, coalesce(q.pos, a.pos) AS pos FROM q FULL JOIN a USING (conv_id, qno)""")
+def mapped_records(spark, d):
+    """Questions and answers matched by numbers in their one form, repeats and rows without a number included."""
+    n = F.when(F.col("turn") % 4 == 3, "").otherwise(F.concat(F.lit("0"), (F.col("turn") % 4).cast("string"), F.lit(".")))
+    c = turns(spark, d).withColumn("n", n)
+    q = c.where("role = 'user'").select("conv_id", F.col("n").alias("qno"), F.col("text").alias("question"), F.col("turn").alias("pos"))
+    answer_no = F.when(F.col("n") == "", "").otherwise(F.concat(F.lit("("), (F.col("turn") % 4).cast("string"), F.lit(")")))
+    return records.mapped(q, c.where("role != 'user'").select("conv_id", answer_no.alias("qno"), F.col("text").alias("answer"), F.col("turn").alias("pos")), "conv_id")
+
+
+@query(f"""WITH v AS (SELECT doc_id, {KEY} AS key, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON vec_id = doc_id),
+q AS (SELECT doc_id AS q_id, key, e FROM v WHERE doc_id % 20 = 0), b AS (SELECT doc_id AS bank_pos, key, e FROM v WHERE doc_id % 20 <> 0),
+same AS (SELECT q_id, min(bank_pos) AS bank_pos FROM q JOIN b USING (key) GROUP BY q_id),
+p AS (SELECT q_id, b.bank_pos, list_dot_product(q.e, b.e) AS score FROM q ANTI JOIN same USING (q_id), b),
+r AS (SELECT *, row_number() OVER w AS k, lead(score, 1, 0.0) OVER w AS second FROM p WINDOW w AS (PARTITION BY q_id ORDER BY score DESC, bank_pos)),
+n AS (SELECT *, score >= 0.75 AND score - second >= 0.08 AS taken FROM r WHERE k = 1)
+SELECT q_id, bank_pos, 1.0::DOUBLE AS score, 'exact' AS how FROM same UNION ALL
+SELECT q_id, CASE WHEN taken THEN bank_pos END, round(score, 6), CASE WHEN taken THEN 'nearest' ELSE 'none' END FROM n""")
+def bank_match(spark, d):
+    """Every document whose id is divisible by 20, against all others: by equal text, else by the nearest vector."""
+    v = spread(t(spark, d, "documents").select("doc_id", F.col("text").alias("question"))).join(t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
+    found = match.bank_match(v.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "q_id"), v.where("doc_id % 20 != 0").withColumnRenamed("doc_id", "bank_pos"))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query()
+def evaluate_answers(spark, d):
+    """Whole evaluations, 21 columns: documents as answers to bank questions, vectors of the same ids giving the similarity."""
+    b = t(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("model_answer"))
+    n, vectors = b.count(), t(spark, d, "embeddings").select("vec_id", "embedding")
+    docs = spread(t(spark, d, "documents").select("doc_id", F.col("text").alias("answer"), (F.col("doc_id") % n).alias("item")))
+    own = docs.join(b, "item").join(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("a")), "doc_id", "left")
+    both = own.join(vectors.select(F.col("vec_id").alias("item"), F.col("embedding").alias("m")), "item", "left")
+    words = F.array_distinct(F.filter(F.split(F.lower("model_answer"), " "), lambda x: F.length(x) > 6))
+    rows = both.select("doc_id", "item", "answer", "model_answer", F.coalesce(scoring.cosine(F.col("a"), F.col("m")), F.lit(0.5)).alias("similarity"),
+                       F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(1.0).alias("weight"))).alias("keywords"), F.transform(words, lambda w: F.array(w, F.substring(w, 1, 5))).alias("concepts"), F.lit(5).alias("max_marks"))
+    return evaluate.final(rows).drop("answer", "model_answer", "keywords", "concepts")

@@ -16,8 +16,9 @@ IMAGES, SHORTEST_BLOCK = ("jpg", "jpeg", "png", "bmp", "tiff", "tif", "webp", "g
 
 def scan(spark: SparkSession, folder: str, pdf: bool = True) -> DataFrame:
     """path, content of each image (and PDF) in a folder."""
-    endings = "|".join((*IMAGES, *(("pdf",) if pdf else ())))
-    return spark.read.format("binaryFile").load(folder).where(F.lower("path").rlike(rf"\.({endings})$")).select("path", "content")
+    endings = (*IMAGES, *(("pdf",) if pdf else ()))  # in the glob, so that other files are listed but not read
+    glob = ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in endings)
+    return spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{glob}}}").load(folder).select("path", "content")
 
 
 def pages(files: DataFrame, render: Callable[[bytes], Iterable[bytes]] | None = None) -> DataFrame:
