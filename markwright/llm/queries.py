@@ -14,4 +14,4 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
-SQL = {"op1_mixing": mixing.SQL, "op2_exact_dedup": exact_dedup.SQL, "op9_warc": warc.SQL}
+SQL = {"op1_mixing": mixing.SQL, "op2_exact_dedup": exact_dedup.SQL, "op9_warc": warc.SQL, "op10_substring_dedup": substring_dedup.SQL}

@@ -315,3 +315,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield None if doc_id == NULL_ID else doc_id, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
     return map_rows(joined(docs, removed(docs), "left"), work, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM d),
+p AS (SELECT doc_id, pos AS p0, sha256(array_to_string(list(word) OVER o, ' ')) AS k, count(*) OVER o AS n FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+f AS (SELECT doc_id, p0, row_number() OVER (PARTITION BY k ORDER BY doc_id, p0) AS place FROM p WHERE n = 20),
+c AS (SELECT DISTINCT doc_id, unnest(range(p0, p0 + 20)) AS pos FROM f WHERE place > 1),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM w ANTI JOIN c USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
