@@ -8,8 +8,9 @@ as many word pairs as shingles but leaves one end of the text as it was, so the
 0: the first and the last q words, q being the largest power of two in half the text, its half and its quarter (LEAST_PART
 words at least). Texts with one contiguous edit always share one of them.
 
-Comparison. In each point every text is compared with the point's first one: by the complete distance (RADIUS bits), then by
-the exact Jaccard similarity of their sets of shingle hashes. That is one pair for a text and point at most, however many
+Comparison. In each point every text is compared with the point's first one: by the complete distance (RADIUS bits) and a
+bound on the similarity from the parity bits of their sets, which no similar pair fails, then by the exact Jaccard
+similarity of their sets of shingle hashes. That is one pair for a text and point at most, however many
 meet. Components are formed, and a point of two texts, or whose texts are in one component, is done with. Texts of other points
 are joined exactly (set_join): two sets of similarity 0.8 share one of their rarest shingles, so only texts that do
 are compared, and only across components. So no pair of texts that meet is left uncompared, and no point's pairs are listed.
@@ -25,6 +26,7 @@ from .components import components
 
 WIDTH, SEGMENTS, RADIUS, LEAST_PART = 5, 8, 60, 8
 WORDS = [f"b{k}" for k in range(SEGMENTS // 2)]
+PARITY = [f"x{k}" for k in range(8)]
 AT_ONCE = 1 << 15
 
 
@@ -67,6 +69,23 @@ def set_hash(found) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes()) if len(found) else 0).view(np.int64))
 
 
+def parity(found) -> list[int]:
+    """512 bits as eight signed numbers: whether the number of shingles that fall on a bit is odd. A shingle that one of two
+    sets lacks turns one bit over, so two sets differ in at least as many shingles as bits."""
+    import numpy as np
+
+    odd = np.bincount((_mix(found + np.uint64(7)) >> np.uint64(55)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
+def may_match(u: str, v: str):
+    """False only for sets that can't reach 0.8, from their sizes and parity bits, in columns that begin with these names: at
+    0.8 the smaller set has 0.8 of the larger one's size, and a ninth of both sizes' sum, at most, is in one set only."""
+    differing = sum(F.bit_count(F.col(f"{u}_{x}").bitwiseXOR(F.col(f"{v}_{x}"))) for x in PARITY)
+    n = F.col(f"{u}_n"), F.col(f"{v}_n")
+    return (10 * F.least(*n) >= 8 * F.greatest(*n)) & (9 * differing <= n[0] + n[1])
+
+
 def ends(hashes) -> list[int]:
     """Hashes of the first and last q words, for the three values of q; bit 62 tells them from points of segments."""
     import xxhash
@@ -95,9 +114,9 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         for doc_id, text in rows:
             hashes = word_hashes(text)
             found = shingles(hashes, width)
-            yield doc_id, set_hash(found), len(found), *fingerprint(hashes), ends(hashes)
+            yield doc_id, set_hash(found), len(found), *fingerprint(hashes), *parity(found), ends(hashes)
 
-    return map_rows(docs.select("doc_id", "text"), work, f"doc_id long, sig long, n long, {', '.join(f'{b} long' for b in WORDS)}, ends array<long>")
+    return map_rows(docs.select("doc_id", "text"), work, f"doc_id long, sig long, n long, {', '.join(f'{b} long' for b in (*WORDS, *PARITY))}, ends array<long>")
 
 
 def meetings(nodes: DataFrame) -> DataFrame:
@@ -140,16 +159,15 @@ def _counted(pairs: DataFrame, of: DataFrame, end: str) -> DataFrame:
 
 
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of distinct u, v (settled): those whose complete distance and numbers of shingles allow the similarity."""
-    side = lambda end: nodes.select(F.col("sig").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("n", *WORDS)))
+    """Of distinct u, v (settled): those whose complete distance, numbers of shingles and parity bits allow the similarity."""
+    side = lambda end: nodes.select(F.col("sig").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("n", *WORDS, *PARITY)))
     apart = sum(F.bit_count(F.col(f"u_{b}").bitwiseXOR(F.col(f"v_{b}"))) for b in WORDS)
-    sizes = 10 * F.least("u_n", "v_n") >= 8 * F.greatest("u_n", "v_n")
     both = spread_join(pairs, _counted(pairs, side("u"), "u"), "u", "_rows", "inner").join(side("v"), "v")
-    return both.where((apart <= RADIUS) & sizes).select("u", "v")
+    return both.where((apart <= RADIUS) & may_match("u", "v")).select("u", "v")
 
 
 def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """sig, held (array of shingle hashes) of the `wanted` (settled, distinct sig). Texts are not shuffled where few are wanted;
+    """sig, held (array of shingle hashes), parity bits of the `wanted` (settled, distinct sig). Texts are not shuffled where few are wanted;
     one row of each set is found by the smallest id with that set."""
     few = wanted.count() <= BROADCAST_ROWS
     ids = wanted.join(nodes.select("sig", "first_id"), "sig")
@@ -161,19 +179,17 @@ def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) ->
         for sig, text in rows:
             found = shingles(word_hashes(text), width)
             if set_hash(found) == sig:  # rows may repeat an id with another text
-                yield sig, found.view(np.int64).tolist()
+                yield sig, found.view(np.int64).tolist(), *parity(found)
 
-    return settle(map_rows(texts, work, "sig long, held array<long>", 16).dropDuplicates(["sig"]))
+    return settle(map_rows(texts, work, f"sig long, held array<long>, {', '.join(f'{x} long' for x in PARITY)}", 16).dropDuplicates(["sig"]))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v: of distinct pairs (two columns, settled) those whose sets (settled) have a Jaccard similarity of 0.8 or more."""
-    a, b = pairs.columns
+    """Of distinct u, v (settled) those whose sets (settled) have a Jaccard similarity of 0.8 or more."""
     side = lambda end: sets.select(F.col("sig").alias(end), F.col("held").alias(f"{end}_held"))
-    both = spread_join(pairs, _counted(pairs, side(a), a), a, "_rows", "inner").join(side(b), b)
-    held = f"{a}_held", f"{b}_held"
-    shared = F.size(F.array_intersect(*held))
-    return both.where(10 * shared >= 8 * (F.size(held[0]) + F.size(held[1]) - shared)).select(F.col(a).alias("u"), F.col(b).alias("v"))
+    both = spread_join(pairs, _counted(pairs, side("u"), "u"), "u", "_rows", "inner").join(side("v"), "v")
+    shared = F.size(F.array_intersect("u_held", "v_held"))
+    return both.where(10 * shared >= 8 * (F.size("u_held") + F.size("v_held") - shared)).select("u", "v")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, end: str) -> DataFrame:
@@ -193,15 +209,15 @@ def set_join(sets: DataFrame, roots: DataFrame) -> DataFrame:
     need = F.ceil(F.col("n") * 8 / 10).cast("int")
     listed = ranked.where(F.size("a") >= need).select("sig", "n", F.posexplode(F.slice("a", F.lit(1), F.size("a") - need + 1)).alias("k", "e"), F.size("a").alias("in_a"))
     keys = _rooted(listed.select("sig", "n", (F.col("n") - F.col("in_a") + F.col("k")).alias("at"), F.col("e.h").alias("h")), roots, "sig")
-    keys = settle(keys)
+    keys = settle(keys.join(sets.select("sig", *PARITY), "sig"))
     # of each shingle's texts, those of the component with most are not compared with each other
     per = keys.groupBy("h", "sig_root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("sig_root", F.struct("c", "sig_root")).alias("main"), F.count("*").alias("roots"))
     open_ = settle(per.where("roots > 1").select("h", "main"))
-    x = keys.join(open_, "h").where("sig_root != main").select("h", *(F.col(c).alias(f"x_{c}") for c in ("sig", "n", "at", "sig_root")))
-    y = keys.select("h", *(F.col(c).alias(f"y_{c}") for c in ("sig", "n", "at", "sig_root")))
-    left = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
-    fits = (F.col("x_sig_root") != F.col("y_sig_root")) & (10 * F.least("x_n", "y_n") >= 8 * F.greatest("x_n", "y_n")) & (18 * left >= 8 * (F.col("x_n") + F.col("y_n")))
-    pairs = x.join(y, "h").where(fits).select(F.least("x_sig", "y_sig").alias("x"), F.greatest("x_sig", "y_sig").alias("y")).distinct()
+    x = keys.join(open_, "h").where("sig_root != main").select("h", *(F.col(c).alias(f"u_{c}") for c in ("sig", "n", "at", "sig_root", *PARITY)))
+    y = keys.select("h", *(F.col(c).alias(f"v_{c}") for c in ("sig", "n", "at", "sig_root", *PARITY)))
+    left = F.least(F.col("u_n") - F.col("u_at"), F.col("v_n") - F.col("v_at"))
+    fits = (F.col("u_sig_root") != F.col("v_sig_root")) & may_match("u", "v") & (18 * left >= 8 * (F.col("u_n") + F.col("v_n")))
+    pairs = x.join(y, "h").where(fits).select(F.least("u_sig", "v_sig").alias("u"), F.greatest("u_sig", "v_sig").alias("v")).distinct()
     return _similar(settle(pairs), sets)
 
 
@@ -210,7 +226,7 @@ def links(nodes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
     met = settle(meetings(nodes).groupBy("u", "v").agg(F.max("third").alias("third")))
     pairs = settle(_close(met.select("u", "v"), nodes))
     wanted = settle(pairs.select(F.col("u").alias("sig")).union(pairs.select("v")).distinct())
-    found = settle(_similar(pairs.toDF("a", "b"), sets_of(wanted, nodes, docs, width)))
+    found = settle(_similar(pairs, sets_of(wanted, nodes, docs, width)))
     roots = settle(components(found))
     # all points of one first text are taken together: done with if no third text is in them or all are in one component
     per = _rooted(met, roots, "v").groupBy("u").agg(F.count("*").alias("k"), F.max("third").alias("third"), F.min("v_root").alias("low"), F.max("v_root").alias("high"))
@@ -226,7 +242,7 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     equal sets of shingles are one class. A class whose ids are all null has a null component_id. An empty table gives an
     empty one; other columns are ignored."""
     rows = settle(signatures(docs, width))
-    nodes = settle(rows.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size"), *(F.min(c).alias(c) for c in ("n", *WORDS, "ends"))))
+    nodes = settle(rows.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size"), *(F.min(c).alias(c) for c in ("n", *WORDS, *PARITY, "ends"))))
     of = settle(_rooted(nodes.select("sig", "first_id", "size"), components(links(nodes, docs, width)), "sig"))
     ids = settle(spread_join(of, settle(of.groupBy("sig_root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("k"))), "sig_root", "k"))
     return spread_join(rows.select("doc_id", "sig"), ids.select("sig", "component_id", "size"), "sig", "size").select("doc_id", "component_id")
