@@ -4,9 +4,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scoring import cosine
+from ..functions.scoring import IRRELEVANT, PARTLY
 from ..functions.text import exact_key
 
+BANDS = ("irrelevant", "partial", "relevant")
+BLOCK = 512
 BANK_ROWS = 20_000
 BANK_WORDS = 200_000
 AT_ONCE = 256
@@ -33,19 +35,88 @@ def bank_match(questions: DataFrame, bank: DataFrame, threshold: float = 0.75, m
     return same.unionByName(near)
 
 
+def packed(rows: DataFrame, key: str, vector: str, prefix: str) -> DataFrame:
+    """Blocks of up to BLOCK vectors of one size, in the order of their keys (integers), as packed arrays. Null vectors, and those
+    with a null in them, are in none."""
+    whole = rows.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()) & F.col(key).isNotNull())
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            keys, vectors = b.column(0).to_numpy(), b.column(1)
+            sizes, flat = np.diff(vectors.offsets.to_numpy()), vectors.flatten().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            for size in np.unique(sizes[sizes > 0]):
+                at = np.flatnonzero(sizes == size)
+                at = at[np.argsort(keys[at], kind="stable")]
+                for k in range(0, len(at), BLOCK):
+                    part = at[k : k + BLOCK]
+                    data = flat[starts[part][:, None] + np.arange(size)]
+                    yield pa.RecordBatch.from_pylist([{f"{prefix}_size": int(size), f"{prefix}_keys": keys[part].tobytes(), f"{prefix}_data": data.tobytes()}])
+
+    return whole.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, f"{prefix}_size long, {prefix}_keys binary, {prefix}_data binary")
+
+
+def by_blocks(queries: DataFrame, bank: DataFrame, judge, schema: str) -> DataFrame:
+    """What `judge(query keys, bank keys, scores)` gives (columns of `schema`) for each pair of a block of queries (q_id, vector)
+    and a block of the bank (bank_pos, vector). Scores are the cosines of unit vectors, to 12 decimals, so that equal vectors
+    have equal ones wherever they stand in a block. Blocks are paired, not rows, and each pair is one matrix product."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for q_size, q_keys, q_data, b_size, b_keys, b_data in zip(*batch.columns, strict=True):
+                if q_size.as_py() != b_size.as_py():
+                    continue
+                size, (q, b) = q_size.as_py(), (np.frombuffer(x.as_buffer(), np.int64) for x in (q_keys, b_keys))
+                left, right = (np.frombuffer(x.as_buffer(), np.float64).reshape(-1, size) for x in (q_data, b_data))
+                found = judge(q, b, np.round(left @ right.T, 12))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=names)
+
+    return packed(queries, "q_id", "vector", "q").crossJoin(packed(bank, "bank_pos", "vector", "b")).mapInArrow(run, schema)
+
+
+def best_two(q, b, scores):
+    """Each query's best two of a block; of equal scores the entry that comes first."""
+    import numpy as np
+
+    every, left, out = np.arange(len(q)), scores.copy(), []
+    for _ in range(min(2, len(b))):
+        at = left.argmax(axis=1)
+        out.append((q, b[at], scores[every, at]))
+        left[every, at] = -np.inf
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
 def nearest(queries: DataFrame, bank: DataFrame) -> DataFrame:
     """q_id, bank_pos, score, second: the entry of the highest cosine, the earlier of equals, and the next best score (0 if none).
 
-    queries: q_id, vector; bank: bank_pos, vector. A bank of BANK_ROWS entries at most (counted) is broadcast, and the queries
-    aren't shuffled; a larger one is paired block by block without a broadcast. Each task keeps the best two of a query."""
-    small = bank.limit(BANK_ROWS + 1).count() <= BANK_ROWS
-    entries = bank.select("bank_pos", F.col("vector").alias("b"))
-    pairs = queries.select("q_id", F.col("vector").alias("q")).crossJoin(F.broadcast(entries) if small else entries)
-    scored = pairs.select("q_id", "bank_pos", cosine(F.col("q"), F.col("b")).alias("score"))
+    queries: q_id, vector; bank: bank_pos, vector. Queries and entries without a whole vector match nothing. Two rows come from
+    a query and block of the bank, and each task keeps the best two of a query."""
+    scored = by_blocks(queries, bank, best_two, "q_id long, bank_pos long, score double")
     best = scored.withColumn("k", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "bank_pos"))).where("k <= 2")
     return best.groupBy("q_id").agg(F.min_by("bank_pos", "k").alias("bank_pos"), F.min_by("score", "k").alias("score"), F.coalesce(F.max(F.when(F.col("k") == 2, F.col("score"))), F.lit(0.0)).alias("second"))
 
 
+def bands(queries: DataFrame, bank: DataFrame) -> DataFrame:
+    """q_id, band, n: how many entries of the bank are in each band of relevance of each query; bands without any are left out."""
+
+    def counted(q, b, scores):
+        import numpy as np
+
+        s = np.round(scores, 6)
+        low, high = (s < IRRELEVANT).sum(axis=1), (s >= PARTLY).sum(axis=1)
+        return [q, low, len(b) - low - high, high]
+
+    n = by_blocks(queries, bank, counted, "q_id long, irrelevant long, partial long, relevant long").groupBy("q_id").agg(*(F.sum(c).alias(c) for c in BANDS))
+    return n.select("q_id", F.explode(F.array(*(F.struct(F.lit(c).alias("band"), F.col(c).alias("n")) for c in BANDS))).alias("x")).where("x.n > 0").select("q_id", "x.band", "x.n")
+
+
 def with_margin(found: DataFrame, threshold: float = 0.75, margin: float = 0.08) -> DataFrame:
     """Adds verdict: accepted, ambiguous (too near the second) or below."""
     verdict = F.when(F.col("score") < threshold, "below").when(F.col("score") - F.col("second") < margin, "ambiguous").otherwise("accepted")

@@ -391,11 +391,8 @@ def half_step(spark, d):
 
 @query(NEAREST + " SELECT q_id, CASE WHEN score < 0.2 THEN 'irrelevant' WHEN score < 0.35 THEN 'partial' ELSE 'relevant' END AS band, count(*) AS n FROM p GROUP BY ALL")
 def relevance_band(spark, d):
-    v = t(spark, d, "embeddings").select("vec_id", "embedding")
-    bank = v.select(F.col("embedding").alias("b"))
-    pairs = v.where("vec_id % 20 = 0").crossJoin(bank)
-    score = F.round(scoring.cosine(F.col("embedding"), F.col("b")), 6)
-    return pairs.select(F.col("vec_id").alias("q_id"), scoring.relevance(score).alias("band")).groupBy("q_id", "band").agg(F.count("*").alias("n"))
+    v = t(spark, d, "embeddings").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vector"))
+    return match.bands(v.where("q_id % 20 = 0"), v.withColumnRenamed("q_id", "bank_pos"))
 
 
 @query(FORMULA + """, b AS (SELECT *, CASE WHEN kw < 1 THEN 'irrelevant' WHEN kw < 2 THEN 'partial' ELSE 'relevant' END AS band FROM m)

@@ -80,3 +80,27 @@ def test_whole_evaluation(spark):
     assert (got[4].is_partially_relevant, got[4].final_marks, got[4].rounded_score) == (True, 2.0, 2.0)
     assert not got[8].is_irrelevant and got[8].is_partially_relevant and not got[9].is_partially_relevant
     assert (got[5].length_factor, got[5].length_adjustment) == (0.1143, 0.8671)
+
+
+def test_blocks_of_vectors(spark):
+    """More than a block on both sides, equal vectors in several, null and short vectors, an empty bank."""
+    import math
+
+    from markwright.operators import match
+
+    angle = lambda k: [math.cos(k % 37), math.sin(k % 37)]
+    bank = [(k, angle(k * 7)) for k in range(1300)] + [(5000, None), (5001, [None, 1.0]), (5002, [1.0]), (5003, [])]
+    asked = [(k, angle(k)) for k in range(600)] + [(9000, None)]
+    b = spark.createDataFrame(bank, "bank_pos long, vector array<double>").repartition(3)
+    q = spark.createDataFrame(asked, "q_id long, vector array<double>").repartition(2)
+    scores = {j: sorted(((-round(sum(x * y for x, y in zip(v, w, strict=True)), 12), k) for k, w in bank[:1300])) for j, v in asked[:37]}
+    got = {r.q_id: (r.bank_pos, round(r.score, 9), round(r.second, 9)) for r in match.nearest(q, b).collect()}
+    assert got == {j: (scores[j % 37][0][1], round(-scores[j % 37][0][0], 9), round(-scores[j % 37][1][0], 9)) for j in range(600)}
+    name = lambda s: "irrelevant" if s < 0.2 else "partial" if s < 0.35 else "relevant"
+    counts = {j: {} for j in scores}
+    for j, found in scores.items():
+        for s, _ in found:
+            counts[j][name(-s)] = counts[j].get(name(-s), 0) + 1
+    want = {(j, band, n) for j in range(600) for band, n in counts[j % 37].items()}
+    assert {tuple(r) for r in match.bands(q, b).collect()} == want
+    assert match.nearest(q, b.where("bank_pos < 0")).count() == match.bands(q.where("q_id < 0"), b).count() == 0
