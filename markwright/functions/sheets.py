@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import WS, collapse, script_boundary, squeeze_runs
+from .text import WS, ZERO_WIDTH, collapse, script_boundary, squeeze_runs
 
 W, D, S = r"[\p{L}\p{N}_]", r"\p{Nd}", f"[{WS}]"
 
@@ -117,13 +117,12 @@ def split_block(block: Column) -> Column:
     """Struct question, answer of one block: at an answer marker; else after the first line that ends in a stop or holds a
     question word (the first line if none does); else, on one line, after the first sentence."""
     block = F.regexp_replace(block, f"^{S}+|{S}+$", "")
-    tidy = lambda c: F.regexp_replace(collapse(c, WS), "^ | $", "")
     marked = rf"(?ius)^(.*?){MARKER}(.*)$"
     lines = F.filter(F.transform(F.split(block, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: F.regexp_replace(x, f"^{S}+|{S}+$", "")), lambda x: x != "")
     ends = F.transform(lines, lambda x: x.endswith(".") | _any(x, QUESTION_WORDS))
     at = F.greatest(F.array_position(ends, True), F.lit(1)).cast("int")
     sentences = F.split(block, "[.?]", -1)
-    both = lambda q, a: F.struct(tidy(q).alias("question"), tidy(a).alias("answer"))
+    both = lambda q, a: F.struct(collapse(q).alias("question"), collapse(a).alias("answer"))
     return (
         F.when(block.rlike(marked), both(F.regexp_extract(block, marked, 1), F.regexp_extract(block, marked, 2)))
         .when(F.size(lines) >= 2, both(F.array_join(F.slice(lines, 1, at), " "), F.array_join(F.slice(lines, at + 1, F.size(lines)), " ")))
@@ -160,4 +159,4 @@ def without_stray(c: Column) -> Column:
 def repaired(c: Column) -> Column:
     """A recognised answer, ready to be scored: composed, scripts apart, no stray symbols or long runs, words respelled."""
     c = squeeze_runs(without_stray(script_boundary(nfc(F.coalesce(c, F.lit(""))))))
-    return collapse(respelled(from_romanised(c)), WS + chr(0x200B))
+    return collapse(respelled(from_romanised(c)), WS + ZERO_WIDTH)

@@ -9,7 +9,10 @@ ZERO_WIDTH = chr(0x200B)
 
 
 def collapse(c: Column, chars: str = WS) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"[{chars}]+", " "), "^ | $", "")
+    """Each run of `chars` (a class with the space as its \\x20) as one space, none at the ends. Single spaces, which are most
+    of the runs, are not matched, so little is copied; printed ASCII is passed over by one comparison."""
+    others = chars.replace(r"\x20", r"\x1f")
+    return F.trim(F.regexp_replace(c, f"(?=[^!-~])(?:[{others}][{chars}]*+| [{chars}]++)", " "))
 
 
 def preprocess(c: Column) -> Column:
@@ -22,12 +25,9 @@ def clean_line(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, rf"[ \t\xa0{ZERO_WIDTH}]+", " "), f"^[{WS}]+|[{WS}]+$", "")
 
 
-def words(c: Column) -> Column:
-    return F.filter(F.split(F.coalesce(c, F.lit("")), f"[{WS}]+"), lambda w: w != "")
-
-
 def word_count(c: Column) -> Column:
-    return F.size(words(c))
+    """0 for null; words are what single spaces part once white space is collapsed."""
+    return F.size(F.array_remove(F.split(collapse(F.coalesce(c, F.lit(""))), " "), ""))
 
 
 def squeeze_runs(c: Column) -> Column:
@@ -43,7 +43,7 @@ def script_boundary(c: Column) -> Column:
 
 def exact_key(c: Column) -> Column:
     """What texts are matched on: trimmed, lower case, without final stops and spaces."""
-    return F.regexp_replace(F.lower(collapse(c)), rf"[.?!।{WS}]+$", "")
+    return F.rtrim(F.lower(collapse(c)), F.lit(".?!। "))
 
 
 def canonical_qno(c: Column, whole: bool = False) -> Column:
@@ -56,6 +56,11 @@ def canonical_qno(c: Column, whole: bool = False) -> Column:
     return F.when(t.rlike(r"^Q[0-9]+$" if whole else r"^Q[0-9]"), t).otherwise(F.lower(t))
 
 
+def clean_question_line(c: Column) -> Column:
+    """As `clean_line`, but only spaces and tabs within the line are collapsed."""
+    return F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), f"^[{WS}]+|[{WS}]+$", "")
+
+
 def strip_marks(c: Column) -> Column:
     """Without hints such as (5 marks) or [7]."""
     return collapse(F.regexp_replace(c, r"(?i)[(\[] *[0-9]+ *(marks?)? *[)\]]", " "))

@@ -45,7 +45,7 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """`rows` for a Python function: dealt anew if their files make fewer tasks than there are cores, else as they are."""
+    """`rows` for costly work on each: dealt anew if their files make fewer tasks than there are cores, else as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
@@ -59,7 +59,7 @@ def turns(spark, d):
 
 @query(f"""SELECT doc_id, {collapsed("lower(regexp_replace(regexp_replace(" + collapsed("coalesce(text, '')") + ", '[|_]{2,}', ' ', 'g'), '[.]{3,}', ' ', 'g'))")} AS cleaned, {COUNT} AS n_words FROM documents""")
 def clean_text(spark, d):
-    return t(spark, d, "documents").select("doc_id", text.preprocess(F.col("text")).alias("cleaned"), text.word_count(F.col("text")).cast("long").alias("n_words"))
+    return spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.preprocess(F.col("text")).alias("cleaned"), text.word_count(F.col("text")).cast("long").alias("n_words"))
 
 
 @query("""WITH c AS (SELECT doc_id, string_split(text, '') AS cs FROM documents)
@@ -109,7 +109,7 @@ LINES = f"{ALL_LINES}, k AS (SELECT * FROM l WHERE line <> '')"
 @query(f"""WITH {LINES}, b AS (SELECT *, count(*) FILTER (WHERE line_pos % 3 = 1) OVER (PARTITION BY doc_id ORDER BY line_pos) AS block FROM k)
 SELECT doc_id, block, {collapsed("string_agg(line, ' ' ORDER BY line_pos)")} AS text FROM b WHERE block > 0 GROUP BY doc_id, block""")
 def line_blocks(spark, d):
-    rows = records.lines(t(spark, d, "documents"), "doc_id", "text")
+    rows = records.lines(spread(t(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
     return records.blocks(rows, "doc_id", F.col("line_pos") % 3 == 1)
 
 
@@ -301,7 +301,7 @@ KEY = f"regexp_replace(lower({collapsed('text')}), '([.?!।]|{SPACE})+$', '')"
 
 @query(f"""WITH k AS (SELECT doc_id, {KEY} AS key FROM documents) SELECT q.doc_id AS q_id, min(b.doc_id) AS bank_pos FROM k q JOIN k b USING (key) GROUP BY q.doc_id""")
 def exact_bank_match(spark, d):
-    docs = t(spark, d, "documents")
+    docs = spread(t(spark, d, "documents").select("doc_id", "text"))
     return match.exact(docs.select(F.col("doc_id").alias("q_id"), F.col("text").alias("question")), docs.select(F.col("doc_id").alias("bank_pos"), F.col("text").alias("question")))
 
 

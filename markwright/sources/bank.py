@@ -2,25 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The fields that every entry of a dataset has.
+REQUIRED = ("question", "model_answer", "keywords")
 
-def read_bank(spark: SparkSession, path: str) -> DataFrame:
+
+def read_bank(spark: SparkSession, path: str | None) -> DataFrame:
     """bank_pos, question, model_answer, keywords (array of word, weight), concepts, max_marks of a JSON array per file.
 
     Keywords are strings (weight 1) or objects (weight 0.01 at least); other forms are dropped. Missing fields get defaults."""
-    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    whole.createOrReplaceTempView("_markwright_bank")
-    rows = spark.sql("SELECT e.pos AS bank_pos, e.value AS v FROM _markwright_bank, LATERAL variant_explode(v) AS e")
+    return _entries(spark, path).select("bank_pos", *_bank_columns())
+
+
+def _entries(spark: SparkSession, path: str | None) -> DataFrame:
+    """bank_pos, v: the elements of the JSON array in each file; none without a path."""
+    text = spark.read.text(path, wholetext=True) if path is not None else spark.createDataFrame([], "value string")
+    whole = text.select(F.parse_json("value").alias("v"))
+    return spark.sql("SELECT e.pos AS bank_pos, e.value AS v FROM {whole} AS w, LATERAL variant_explode(w.v) AS e", whole=whole)
+
+
+def _object(c) -> Column:
+    return F.try_variant_get(c, "$", "map<string,variant>")
+
+
+def _bank_columns() -> list[Column]:
+    """Of an entry in the column v."""
     get = lambda p, kind: F.try_variant_get("v", p, kind)
     loose = F.coalesce(get("$.keywords", "array<variant>"), F.array().cast("array<variant>"))
     word = lambda x: F.trim(F.coalesce(F.try_variant_get(x, "$.word", "string"), F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))))
     keywords = F.filter(F.transform(loose, lambda x: F.struct(word(x).alias("word"), F.greatest(F.lit(0.01), F.coalesce(F.try_variant_get(x, "$.weight", "double"), F.lit(1.0))).alias("weight"))), lambda x: x["word"].isNotNull())
-    return rows.select(
-        "bank_pos", F.coalesce(get("$.question", "string"), F.lit("")).alias("question"), F.coalesce(get("$.model_answer", "string"), F.lit("")).alias("model_answer"),
+    return [
+        F.coalesce(get("$.question", "string"), F.lit("")).alias("question"), F.coalesce(get("$.model_answer", "string"), F.lit("")).alias("model_answer"),
         keywords.alias("keywords"), F.coalesce(get("$.concepts", "array<array<string>>"), F.array().cast("array<array<string>>")).alias("concepts"), F.coalesce(get("$.max_marks", "int"), F.lit(10)).alias("max_marks"),
-    )
+    ]
+
+
+def bank_or_none(spark: SparkSession, path: str) -> DataFrame:
+    """`read_bank`, or a bank without entries if nothing is at `path`."""
+    try:
+        return read_bank(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return read_bank(spark, None)
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """entry, question, model_answer, keywords, concepts, max_marks, answer_pos, answer, marks: a row for each student's answer of
+    a dataset, a JSON array a file. An older entry has one answer with its expected marks. Entries that lack a required
+    field, have no answers' field, or an answer without its text, are a ValueError that names the first of them."""
+    v = _entries(spark, path)
+    lacking = missing_fields(F.map_keys(_object("v")), REQUIRED)
+    both = lambda p, kind: F.try_variant_get("v", p, kind)
+    answers = both("$.student_answers", "array<variant>")
+    older = F.array_contains(F.map_keys(_object("v")), "student_answer")
+    rows = v.select("*", lacking.alias("lacking"), answers.alias("answers"), older.alias("older"))
+    rows = rows.withColumn("wrong", F.when(F.size("lacking") > 0, F.concat(F.lit("lacks "), F.array_join("lacking", ", "))).when(F.col("answers").isNull() & ~F.col("older"), "has no answers").when(F.exists("answers", lambda a: ~F.array_contains(F.map_keys(F.try_variant_get(a, "$", "map<string,variant>")), "answer")), "has an answer without text"))
+    if bad := rows.where("wrong IS NOT NULL").orderBy("bank_pos").first():
+        raise ValueError(f"entry {bad.bank_pos} {bad.wrong}")
+    one = lambda text, marks: F.struct(text.alias("answer"), marks.alias("marks"))
+    given = F.transform("answers", lambda a: one(F.try_variant_get(a, "$.answer", "string"), F.try_variant_get(a, "$.marks", "double")))
+    given = F.coalesce(given, F.array(one(both("$.student_answer", "string"), both("$.expected_marks", "double"))))
+    rows = rows.select(F.col("bank_pos").alias("entry"), *_bank_columns(), given.alias("given"))
+    return rows.select("*", F.posexplode("given").alias("answer_pos", "a")).select("*", "a.answer", "a.marks").drop("given", "a")
+
+
+def missing_fields(names: Column, required: tuple[str, ...]) -> Column:
+    """Of the required field names those that are not among `names`, in order."""
+    return F.array_sort(F.array_except(F.array(*map(F.lit, required)), names))
+
+
+def read_records(spark: SparkSession, path: str, label: str, text: str) -> DataFrame:
+    """pos, qno and the text field named `text` of a JSON array of records; anything but an array is a ValueError."""
+    found = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    if not found.where(F.schema_of_variant("v").startswith("ARRAY")).count():
+        raise ValueError(f"{label} at {path} are not a JSON array")
+    get = lambda p: F.coalesce(F.try_variant_get("v", p, "string"), F.lit(""))
+    return _entries(spark, path).select(F.col("bank_pos").alias("pos"), get("$.qno").alias("qno"), get(f"$.{text}").alias(text))
 
 
 def checked_bank(bank: DataFrame) -> DataFrame:
