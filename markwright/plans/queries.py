@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, scoring, sheets, text
-from ..operators import evaluate, match, records
+from ..operators import evaluate, match, records, reports
 
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -552,3 +552,49 @@ def evaluate_answers(spark, d):
     rows = both.select("doc_id", "item", "answer", "model_answer", F.coalesce(scoring.cosine(F.col("a"), F.col("m")), F.lit(0.5)).alias("similarity"),
                        F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(1.0).alias("weight"))).alias("keywords"), F.transform(words, lambda w: F.array(w, F.substring(w, 1, 5))).alias("concepts"), F.lit(5).alias("max_marks"))
     return evaluate.final(rows).drop("answer", "model_answer", "keywords", "concepts")
+
+
+# Reports of whole evaluations
+
+
+@query(FORMULA[: FORMULA.rindex(",\nm AS")] + """, b AS (SELECT *, CASE WHEN words < 3 THEN 'empty' WHEN sem / 10 < 0.2::DOUBLE THEN 'irrelevant' WHEN sem / 10 < 0.35::DOUBLE THEN 'partial' ELSE 'relevant' END AS band FROM a),
+c AS (SELECT *, CASE WHEN band IN ('empty', 'irrelevant') THEN 0.0::DOUBLE WHEN band = 'partial' THEN least(raw * adjustment, 2.0::DOUBLE) ELSE raw * adjustment END AS banded FROM b)
+SELECT l_orderkey, l_linenumber, band, banded AS marks, least(banded * most / 10, most) AS final FROM c""")
+def banded_formula(spark, d):
+    """The formula with the rule of relevance: no marks below a confidence of 0.20 or under three words, 2.0 at most below 0.35."""
+    s = _scored(spark, d).withColumn("band", scoring.band(F.col("sem") / 10, F.col("words"))).withColumn("marks", scoring.banded_marks(F.col("raw"), F.col("adjustment"), F.col("band")))
+    return s.select("l_orderkey", "l_linenumber", "band", "marks", scoring.scaled(F.col("marks"), F.col("most")).alias("final"))
+
+
+@query("""WITH p AS (SELECT conv_id, 'Q' || (turn // 2) AS question_number, arg_max(text, turn) AS student_text, arg_max(length(text) % 1000 / 1000.0::DOUBLE, turn) AS sure FROM conversations WHERE role <> 'user' AND text IS NOT NULL GROUP BY ALL)
+SELECT c.conv_id, c.turn, CASE WHEN turn % 3 = 0 OR text IS NULL OR text = '' THEN CASE WHEN student_text IS NULL THEN '' ELSE 'recognised' END ELSE text END AS question, coalesce(student_text, '') AS student_answer,
+ round(CASE WHEN turn % 4 = 2 THEN 0.5::DOUBLE ELSE coalesce(sure, 0.0::DOUBLE) END, 4) AS ocr_confidence
+FROM conversations c LEFT JOIN p ON p.conv_id = c.conv_id AND p.question_number = 'Q' || (c.turn // 2) WHERE role = 'user'""")
+def enriched_details(spark, d):
+    """User turns as details, some without question or confidence, which the other turns of their number fill in."""
+    c = turns(spark, d).withColumn("n", F.floor(F.col("turn") / 2).cast("string"))
+    own = c.where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("Q"), "n").alias("question_number"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")).alias("question"), F.lit(None).cast("string").alias("student_answer"), F.when(F.col("turn") % 4 == 2, 0.5).otherwise(0.0).alias("ocr_confidence"))
+    payload = c.where("role != 'user' AND text IS NOT NULL").select("conv_id", F.col("n").alias("question_number"), F.lit("recognised").alias("question"), F.col("text").alias("student_text"), (F.length("text") % 1000 / 1000).alias("ocr_confidence"), F.col("turn").alias("pos"))
+    return reports.enriched(own, payload, ["conv_id"]).drop("question_number")
+
+
+@query("""WITH m AS (SELECT conv_id, CASE turn % 4 WHEN 0 THEN 'invalid' WHEN 1 THEN 'unattempted' ELSE 'attempted' END AS status, CASE WHEN turn % 3 <> 0 THEN turn + 1 END AS most FROM conversations),
+s AS (SELECT *, CASE WHEN status = 'unattempted' THEN status WHEN most IS NULL THEN 'unevaluable' ELSE 'evaluated' END AS state FROM m WHERE status <> 'invalid')
+SELECT conv_id, state, count(*) AS n, CAST(sum(CASE WHEN state = 'unevaluable' THEN 0 ELSE coalesce(most, 10) END) AS BIGINT) AS max_total FROM s GROUP BY conv_id, state""")
+def state_totals(spark, d):
+    """What each state of a sheet's answers adds to the maximum: invalid ones go, those without a model answer add nothing."""
+    turn = F.col("turn")
+    status = F.when(turn % 4 == 0, "invalid").when(turn % 4 == 1, "unattempted").otherwise("attempted")
+    m = turns(spark, d).select("conv_id", status.alias("status"), F.when(turn % 3 != 0, turn + 1).alias("max_marks"))
+    return reports.states(m).groupBy("conv_id", "state").agg(F.count("*").alias("n"), F.sum("counted_max").cast("long").alias("max_total"))
+
+
+@query(f"SELECT doc_id, {trimmed("regexp_replace(text, '[ \\t]+', ' ', 'g')")} AS line FROM documents")
+def question_text(spark, d):
+    return spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.clean_question_line(F.col("text")).alias("line"))
+
+
+@query(f"SELECT lang, count(*) AS n, count(*) FILTER (WHERE {COUNT} > 0) AS n_with_text, count(*) FILTER (WHERE {COUNT} = 0) AS n_empty FROM documents GROUP BY lang")
+def answer_counts(spark, d):
+    empty = text.word_count(F.col("text")) == 0
+    return t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~empty).alias("n_with_text"), F.count_if(empty).alias("n_empty"))
