@@ -1,6 +1,6 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe, exact_dedup, mixing, pii, quality, sharding, simhash, substring_dedup, toxicity, warc
+from . import bpe, exact_dedup, merkle, mixing, pii, prefix_trie, quality, sharding, simhash, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_warc": warc.op9_warc,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
-SQL = {"op1_mixing": mixing.SQL, "op2_exact_dedup": exact_dedup.SQL, "op9_warc": warc.SQL, "op10_substring_dedup": substring_dedup.SQL}
+SQL = {"op1_mixing": mixing.SQL, "op2_exact_dedup": exact_dedup.SQL, "op9_warc": warc.SQL, "op10_substring_dedup": substring_dedup.SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_suffix_dedup": suffix_dedup.SQL, "op13_merkle_manifest": merkle.SQL}

@@ -16,7 +16,7 @@ D = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     return c
 
