@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import map_rows, parts, read, release, settle
 
 WINDOW, GRAM = 100, 36
-BATCH_BYTES = 1 << 20
-BUCKET_BYTES = 8 << 20
+BATCH_BYTES = 1 << 19
+BUCKET_BYTES = 4 << 20
 FEW = 4
 BROADCAST_BYTES = 8 << 20
 NULL_ID = -(1 << 63)
