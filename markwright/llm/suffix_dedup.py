@@ -1,14 +1,14 @@
 """Suffix-array dedup: bytes of 100-byte strings that also start earlier go, the first copy stays.
 
 A suffix counts as a repeat if its longest previous factor is 100 bytes or more, so suffixes are compared up to that length. Their
-order is that of 128-bit names of these 100 bytes, not of the bytes: any order that puts equal ones side by side will do. In this
+order is that of 96-bit names of these 100 bytes, not of the bytes: any order that puts equal ones side by side will do. In this
 order, a suffix's previous and next smaller positions are the nearest suffixes on either side that start earlier in the corpus; one
 of them shares 100 bytes with it if any earlier one does (`longest_previous`).
 
 Sorting every suffix would write some thirty times the texts, so they are sorted in two steps.
 
-1. Segments. Of the 65 strings of GRAM bytes within a window of 100, the one with the least hash (the first of these) owns the
-window. Neighbouring windows mostly have the same owner: such a segment, 33 windows on average, has a name, made of its owner's
+1. Segments. Of the 53 strings of GRAM bytes within a window of 100, the one with the least hash (the first of these) owns the
+window. Neighbouring windows mostly have the same owner: such a segment, 27 windows on average, has a name, made of its owner's
 hash and its first and last window's. Segments are sorted like suffixes. One that starts earlier elsewhere is a repeat, all its
 windows. Equal windows have equal owners, so what is left to find is in segments of different names whose owners are equal.
 2. Windows. These segments' windows, each a suffix cut at 100 bytes, are sorted one by one.
@@ -28,15 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, parts, read, release, settle
 
-WINDOW, GRAM = 100, 36
+WINDOW, GRAM = 100, 48
 BATCH_BYTES = 1 << 19
 BUCKET_BYTES = 4 << 20
 FEW = 4
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 ODD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 PLACES = ["docs", "tags", "places", "spans"]
-KINDS = {"docs": "i8", "tags": "u4", "places": "u4", "spans": "u1", "keys": "u8", "names": "u8", "open": "u1"}
+KINDS = {"docs": "i8", "tags": "u4", "places": "u4", "spans": "u1", "keys": "u8", "names": "u8", "open": "u1", "ends": "u4"}
 
 
 def _mix(x):
@@ -186,7 +186,7 @@ def packed(columns: list[str]) -> str:
     return "bucket long, known boolean, " + ", ".join(f"{c} binary" for c in columns)
 
 
-SEGMENTS, WINDOWS = [*PLACES, "keys", "names", "open"], [*PLACES, "keys", "names"]
+SEGMENTS, WINDOWS = [*PLACES, "keys", "names", "open"], [*PLACES, "keys", "ends"]
 
 
 def segments(buckets: int):
@@ -276,7 +276,7 @@ def judge_segments(x):
 def judge_windows(x):
     import numpy as np
 
-    return longest_previous(np.lexsort((x["names"], x["keys"])), _ranked(x), (x["keys"], x["names"])).astype(np.uint8)
+    return longest_previous(np.lexsort((x["ends"], x["keys"])), _ranked(x), (x["keys"], x["ends"])).astype(np.uint8)
 
 
 def windows(buckets: int):
@@ -295,10 +295,11 @@ def windows(buckets: int):
             at = np.flatnonzero(np.cumsum(wanted[:-1]) > 0)
             if not len(at):
                 continue
-            keys, names = (_mix(Hashes(b.data, base)(WINDOW)[at]) for base in ODD)
+            keys, ends = (_mix(Hashes(b.data, base)(WINDOW)[at]) for base in ODD)
+            ends = ends.astype(np.uint32)
             piece, offset, rank = b.place(at)
-            columns = {"docs": b.doc[piece], "tags": b.tag[piece], "places": offset, "spans": np.ones(len(at), np.uint8), "keys": keys, "names": names}
-            yield from deal(columns, keys, buckets, longest_previous(np.lexsort((names, keys)), rank, (keys, names)))
+            columns = {"docs": b.doc[piece], "tags": b.tag[piece], "places": offset, "spans": np.ones(len(at), np.uint8), "keys": keys, "ends": ends}
+            yield from deal(columns, keys, buckets, longest_previous(np.lexsort((ends, keys)), rank, (keys, ends)))
 
     return work
 
