@@ -205,7 +205,7 @@ def segments(buckets: int):
             low, high = start[np.r_[0, cut]], start[np.r_[cut - 1, len(start) - 1]]
             q, w = o[np.r_[0, cut]], Hashes(b.data, ODD[1])(WINDOW)
             names = _mix(_mix(w[low] + np.uint64(1)) + w[high] * np.uint64(ODD[0]) + ((high - low) * 256 + (q - low)).astype(np.uint64))
-            keys = h[q]
+            keys = _mix(h[q] + np.uint64(ODD[0]))  # the least hashes are small numbers
             piece, offset, rank = b.place(low)
             columns = {"docs": b.doc[piece], "tags": b.tag[piece], "places": offset, "spans": high - low + 1, "keys": keys, "names": names}
             order = np.lexsort((names, keys))
