@@ -11,8 +11,14 @@ LEAST_WORDS = 3
 WORDS_PER_MARK, LENGTH_SHARE, LENGTH_FLOOR, LENGTH_REST = 15, 0.35, 0.85, 0.15
 
 
+def at_most(c: Column, top) -> Column:
+    """The smaller of two; null for a null `c`, which Spark's least would pass over."""
+    return F.when(c.isNotNull(), F.least(c, top if isinstance(top, Column) else F.lit(top)))
+
+
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """`c` within bounds; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def rounded(c: Column, digits: int) -> Column:
@@ -34,7 +40,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def relevance(confidence: Column) -> Column:
-    return F.when(confidence < IRRELEVANT, "irrelevant").when(confidence < PARTLY, "partial").otherwise("relevant")
+    """The band of a confidence; "unevaluable" where there is none."""
+    return F.when(confidence.isNull(), "unevaluable").when(confidence < IRRELEVANT, "irrelevant").when(confidence < PARTLY, "partial").otherwise("relevant")
 
 
 def band(confidence: Column, words: Column) -> Column:
@@ -51,11 +58,11 @@ def confidence_label(c: Column) -> Column:
 
 
 def length_factor(words: Column, max_marks: Column) -> Column:
-    return F.when(words <= 0, 0.0).otherwise(F.least(F.lit(1.0), words / (F.lit(LENGTH_SHARE) * WORDS_PER_MARK * F.greatest(max_marks, F.lit(1)))))
+    return F.when(words <= 0, 0.0).otherwise(at_most(words / (F.lit(LENGTH_SHARE) * WORDS_PER_MARK * F.greatest(max_marks, F.lit(1))), 1.0))
 
 
 def length_adjustment(factor: Column) -> Column:
-    return F.when(factor < 1, LENGTH_FLOOR + LENGTH_REST * factor).otherwise(F.lit(1.0))
+    return at_most(LENGTH_FLOOR + LENGTH_REST * factor, 1.0)
 
 
 def raw_score(semantic: Column, keyword: Column, concept: Column, contradiction: Column) -> Column:
@@ -64,16 +71,17 @@ def raw_score(semantic: Column, keyword: Column, concept: Column, contradiction:
 
 def final_marks(raw: Column, adjustment: Column, partly: Column) -> Column:
     marks = raw * adjustment
-    return clamp(F.when(partly, F.least(marks, F.lit(PARTIAL_CAP))).otherwise(marks), 0.0, 10.0)
+    return clamp(F.when(partly, at_most(marks, PARTIAL_CAP)).otherwise(marks), 0.0, 10.0)
 
 
 def banded_marks(raw: Column, adjustment: Column, band: Column) -> Column:
-    """Final marks by the answer's band: none for empty and irrelevant ones, PARTIAL_CAP at most for partial ones."""
-    return F.when(no_marks(band), 0.0).otherwise(final_marks(raw, adjustment, band == "partial"))
+    """Final marks by the answer's band: none for empty and irrelevant ones, PARTIAL_CAP at most for partial ones. Those that
+    can't be evaluated, for want of a confidence or of a part of the raw score, have null marks."""
+    return F.when(no_marks(band), 0.0).when(band == "unevaluable", F.lit(None).cast("double")).otherwise(final_marks(raw, adjustment, band == "partial"))
 
 
 def scaled(marks: Column, max_marks: Column) -> Column:
-    return F.least(marks * max_marks / 10, max_marks.cast("double"))
+    return at_most(marks * max_marks / 10, max_marks.cast("double"))
 
 
 def half_step(c: Column) -> Column:
@@ -110,6 +118,7 @@ def feedback(band: Column, contradiction: Column, factor: Column, semantic: Colu
     )
     return (
         F.when(band == "empty", F.array(F.lit("There is no answer.")))
+        .when(band == "unevaluable", F.array(F.lit("The answer could not be evaluated.")))
         .when(band == "irrelevant", F.array(F.lit("The answer isn't about the question.")))
         .when(band == "partial", F.array(F.lit("The answer is about the question in part only.")))
         .when(F.size(weak) == 0, F.array(F.lit("Good answer.")))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 #: Unicode white space as Python's str methods see it, spelled out: Java's \s knows ASCII only.
 WS = r"\t-\r\x1c-\x20\x85\xa0" + f"{chr(0x1680)}{chr(0x2000)}-{chr(0x200A)}{chr(0x2028)}{chr(0x2029)}{chr(0x202F)}{chr(0x205F)}{chr(0x3000)}"
 ZERO_WIDTH = chr(0x200B)
+#: The same characters one by one, for trims.
+WHITE = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def collapse(c: Column, chars: str = WS) -> Column:
@@ -42,8 +44,8 @@ def script_boundary(c: Column) -> Column:
 
 
 def exact_key(c: Column) -> Column:
-    """What texts are matched on: trimmed, lower case, without final stops and spaces."""
-    return F.rtrim(F.lower(collapse(c)), F.lit(".?!। "))
+    """What texts are matched on: trimmed, lower case, without final stops and white space. White space within stays as it is."""
+    return F.rtrim(F.lower(F.ltrim(c, F.lit(WHITE))), F.lit(f"{WHITE}.?!।"))
 
 
 def canonical_qno(c: Column, whole: bool = False) -> Column:

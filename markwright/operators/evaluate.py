@@ -36,7 +36,7 @@ def with_sounds(base: Column, weights: Column, found: Column, sounds: Column) ->
     """The keyword score `base` (0 to 10), plus weight times similarity of sounds of each missing keyword that sounds alike."""
     gains = F.transform(F.arrays_zip(weights.alias("w"), found.alias("f"), sounds.alias("s")), lambda x: F.when((x["f"] < fuzzy.FULL) & (x["s"] >= SOUNDS_ALIKE), x["w"] * x["s"]).otherwise(0.0))
     add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    return F.when((add(gains) == 0) | (add(weights) <= 0), base).otherwise(F.round(F.least(F.lit(10.0), base + 10 * add(gains) / add(weights)), 2))
+    return F.when((add(gains) == 0) | (add(weights) <= 0), base).otherwise(F.round(scoring.at_most(base + 10 * add(gains) / add(weights), 10.0), 2))
 
 
 def contradiction(answer: Column, model: Column, judge: Callable[[Column, Column], Column] | None = None) -> Column:
@@ -74,7 +74,9 @@ def final(rows: DataFrame, judge=None) -> DataFrame:
     keywords (word, weight), concepts (groups of synonyms), max_marks.
 
     Under three words: zeros, all keywords missing and all concepts missed. A confidence below 0.20: the same, but semantic_score
-    and confidence stay. From 0.20 to 0.35: final_marks are 2.0 at most. Decimals are rounded by `scoring.rounded`."""
+    and confidence stay. From 0.20 to 0.35: final_marks are 2.0 at most. Decimals are rounded by `scoring.rounded`, when they are
+    given out: contradiction and confidence count unrounded. A null similarity: the answer can't be evaluated, scores and marks
+    that follow from it are null, and feedback says so."""
     rows = rows.withColumn("student_answer_clean", text.preprocess(F.col("answer"))).withColumn("_model", text.preprocess(F.col("model_answer")))
     rows = rows.withColumn("_words", F.transform("keywords", lambda k: k["word"])).withColumn("_labels", F.transform(F.filter("concepts", lambda g: F.size(g) > 0), lambda g: g[0]))
     n = text.word_count(F.col("student_answer_clean"))
@@ -87,19 +89,19 @@ def final(rows: DataFrame, judge=None) -> DataFrame:
     out = rows.withColumn("semantic_score", F.when(empty, 0.0).otherwise(scoring.rounded(sure * 10, 2))).withColumn("confidence", F.when(empty, 0.0).otherwise(scoring.rounded(sure, 4)))
     out = out.withColumn("keyword_score", zero(scoring.rounded(fuzzy.keyword_score(F.transform("keywords", lambda k: k["weight"]), F.col("_found")), 2)))
     out = out.withColumn("concept_score", zero(scoring.rounded(fuzzy.concept_score(F.col("_flags")), 2)))
-    out = out.withColumn("contradiction_score", zero(scoring.rounded(contradiction(F.col("student_answer_clean"), F.col("_model"), judge), 4)))
-    out = out.withColumn("raw_score", zero(scoring.rounded(scoring.raw_score(F.col("semantic_score"), F.col("keyword_score"), F.col("concept_score"), F.col("contradiction_score")), 4)))
+    out = out.withColumn("_against", zero(contradiction(F.col("student_answer_clean"), F.col("_model"), judge))).withColumn("contradiction_score", scoring.rounded(F.col("_against"), 4))
+    out = out.withColumn("raw_score", zero(scoring.rounded(scoring.raw_score(F.col("semantic_score"), F.col("keyword_score"), F.col("concept_score"), F.col("_against")), 4)))
     factor = scoring.length_factor(F.col("_n"), F.col("max_marks"))
     out = out.withColumn("length_factor", zero(scoring.rounded(factor, 4))).withColumn("length_adjustment", zero(scoring.rounded(scoring.length_adjustment(factor), 4)))
     out = out.withColumn("final_marks", scoring.rounded(scoring.banded_marks(F.col("raw_score"), scoring.length_adjustment(factor), F.col("_band")), 2))
-    out = out.withColumn("final_score", scoring.rounded(scoring.scaled(F.col("final_marks"), F.col("max_marks")), 4)).withColumn("rounded_score", F.least(scoring.half_step(F.col("final_score")), F.col("max_marks").cast("double")))
+    out = out.withColumn("final_score", scoring.rounded(scoring.scaled(F.col("final_marks"), F.col("max_marks")), 4)).withColumn("rounded_score", scoring.at_most(scoring.half_step(F.col("final_score")), F.col("max_marks").cast("double")))
     out = out.withColumn("matched_keywords", F.when(none, no_words).otherwise(fuzzy.matched(F.col("_words"), F.col("_found")))).withColumn("missing_keywords", F.when(none, F.col("_words")).otherwise(fuzzy.missing(F.col("_words"), F.col("_found"))))
     labelled = lambda hit: F.transform(F.filter(F.arrays_zip(F.col("concepts").alias("g"), F.col("_flags").alias("f")), lambda x: (x["f"] == F.lit(hit)) & (F.size(x["g"]) > 0)), lambda x: x["g"][0])
     out = out.withColumn("covered_concepts", F.when(none, no_words).otherwise(labelled(True))).withColumn("missed_concepts", F.when(none, F.col("_labels")).otherwise(labelled(False)))
-    lines = scoring.feedback(F.col("_band"), F.col("contradiction_score"), factor, F.col("semantic_score"), F.col("confidence"), F.col("missed_concepts"), F.col("missing_keywords"), F.size("_words"))
+    lines = scoring.feedback(F.col("_band"), F.col("_against"), factor, F.col("semantic_score"), sure, F.col("missed_concepts"), F.col("missing_keywords"), F.size("_words"))
     out = out.withColumn("feedback", lines).withColumn("semantic_weight", F.lit(scoring.W_SEMANTIC)).withColumn("keyword_weight", F.lit(scoring.W_KEYWORD))
     out = out.withColumn("is_irrelevant", F.col("_band") == "irrelevant").withColumn("is_partially_relevant", F.col("_band") == "partial")
-    return out.drop("_model", "_words", "_labels", "_n", "_band", "_found", "_flags")
+    return out.drop("_model", "_words", "_labels", "_n", "_band", "_found", "_flags", "_against")
 
 
 def separate_uploads(questions: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:

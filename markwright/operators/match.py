@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scoring import IRRELEVANT, PARTLY
-from ..functions.text import exact_key
+from ..functions.text import exact_key, preprocess
 
 BANDS = ("irrelevant", "partial", "relevant")
 BLOCK = 512
@@ -14,22 +14,31 @@ BANK_WORDS = 200_000
 AT_ONCE = 256
 
 
-def exact(questions: DataFrame, bank: DataFrame) -> DataFrame:
-    """q_id, bank_pos: of the bank's entries with the same text key, the first. Null texts match nothing.
+def exact(questions: DataFrame, bank: DataFrame, others: bool = False) -> DataFrame:
+    """q_id, bank_pos: of the bank's entries with the same text key, the first (`others`: the first that isn't q_id itself). Null
+    and empty questions match nothing.
 
-    What is shuffled is the SHA-256 of a key, not the key; it can't be null, so no filter computes it a second time."""
-    hashed = lambda rows: rows.where("question IS NOT NULL").withColumn("key", F.coalesce(F.sha2(exact_key(F.col("question")).cast("binary"), 256), F.lit("")))
-    b = hashed(bank).groupBy("key").agg(F.min("bank_pos").alias("bank_pos"))
-    return hashed(questions).select("q_id", "key").join(b, "key").select("q_id", "bank_pos")
+    What is shuffled is the SHA-256 of a key, not the key; it can't be null, so no filter computes it a second time. Of a key
+    tasks send the first two entries at most, so a common text gathers nowhere."""
+    hashed = lambda rows: rows.where("question != ''").withColumn("key", F.coalesce(F.sha2(exact_key(F.col("question")).cast("binary"), 256), F.lit("")))
+    entries = hashed(bank).select("key", "bank_pos")
+    if not others:
+        return hashed(questions).select("q_id", "key").join(entries.groupBy("key").agg(F.min("bank_pos").alias("bank_pos")), "key").select("q_id", "bank_pos")
+    two = entries.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy("bank_pos"))).where("k <= 2")
+    two = two.groupBy("key").agg(F.min("bank_pos").alias("first"), F.max(F.when(F.col("k") == 2, F.col("bank_pos"))).alias("next"))
+    found = hashed(questions).select("q_id", "key").join(two, "key")
+    return found.select("q_id", F.when(F.col("first") == F.col("q_id"), F.col("next")).otherwise(F.col("first")).alias("bank_pos")).where("bank_pos IS NOT NULL")
 
 
-def bank_match(questions: DataFrame, bank: DataFrame, threshold: float = 0.75, margin: float = 0.08) -> DataFrame:
+def bank_match(questions: DataFrame, bank: DataFrame, threshold: float = 0.75, margin: float = 0.08, others: bool = False) -> DataFrame:
     """q_id, bank_pos, score, how: the bank entry with the same text (score 1); for the other questions the nearest by cosine, if
-    it reaches `threshold` and is `margin` above the second. Questions without either have a null bank_pos.
+    it reaches `threshold` and is `margin` above the second. Questions without either have a null bank_pos; those without a vector,
+    or of which nothing is left when it is cleaned, have a null score too. `others`: no question matches the entry of its own number.
     questions: q_id, question, vector; bank: bank_pos, question, vector."""
-    same = exact(questions, bank).select("q_id", "bank_pos", F.lit(1.0).alias("score"), F.lit("exact").alias("how"))
+    same = exact(questions, bank, others).select("q_id", "bank_pos", F.lit(1.0).alias("score"), F.lit("exact").alias("how"))
     rest = questions.join(same, "q_id", "left_anti")
-    found = with_margin(nearest(rest.select("q_id", "vector"), bank), threshold, margin)
+    says = preprocess(F.col("question")) != ""
+    found = with_margin(nearest(rest.where(says).select("q_id", "vector"), bank.where(says).select("bank_pos", "vector"), others), threshold, margin)
     taken = F.col("verdict") == "accepted"
     near = rest.select("q_id").join(found, "q_id", "left").select("q_id", F.when(taken, F.col("bank_pos")).alias("bank_pos"), "score", F.when(taken, "nearest").otherwise("none").alias("how"))
     return same.unionByName(near)
@@ -81,6 +90,12 @@ def by_blocks(queries: DataFrame, bank: DataFrame, judge, schema: str) -> DataFr
     return packed(queries, "q_id", "vector", "q").crossJoin(packed(bank, "bank_pos", "vector", "b")).mapInArrow(run, schema)
 
 
+#: Cells of the index at most; a number of vectors has its square root of cells.
+CELLS = 4096
+#: What is not near a unit vector is in no cell and compared with everything.
+NO_CELL = -1
+
+
 def best_two(q, b, scores):
     """Each query's best two of a block; of equal scores the entry that comes first."""
     import numpy as np
@@ -88,17 +103,158 @@ def best_two(q, b, scores):
     every, left, out = np.arange(len(q)), scores.copy(), []
     for _ in range(min(2, len(b))):
         at = left.argmax(axis=1)
-        out.append((q, b[at], scores[every, at]))
+        out.append((q, b[at], left[every, at]))
         left[every, at] = -np.inf
-    return [np.concatenate(c) for c in zip(*out, strict=True)]
+    found = [np.concatenate(c) for c in zip(*out, strict=True)]
+    real = found[2] > -np.inf
+    return [c[real] for c in found]
+
+
+def _vectors(batch):
+    """For each size of vectors in a batch (key, vector): the size, the rows' places, keys and matrix."""
+    import numpy as np
+
+    keys, vectors = batch.column(0).to_numpy(), batch.column(1)
+    sizes, flat = np.diff(vectors.offsets.to_numpy()), vectors.flatten().to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    for size in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == size)
+        at = at[np.argsort(keys[at], kind="stable")]
+        yield int(size), at, keys[at], flat[starts[at][:, None] + np.arange(size)]
+
+
+def _angles(matrix, centres):
+    """Of each row of unit vectors the angle with each centre; the rows that aren't unit vectors."""
+    import numpy as np
+
+    odd = np.abs((matrix * matrix).sum(axis=1) - 1) > 1e-6
+    return np.arccos(np.clip(matrix @ centres.T, -1.0, 1.0)), odd
+
+
+def _whole(rows: DataFrame, key: str) -> DataFrame:
+    held = rows.where(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()) & F.col(key).isNotNull())
+    return held.select(F.col(key).cast("long").alias("key"), F.col("vector").cast("array<double>").alias("vector"))
+
+
+def centres_of(bank: DataFrame, cells: int | None = None) -> dict:
+    """By size, the vectors that the cells lie around: of n vectors `cells` (the root of n, CELLS at most), by a hash of their keys."""
+    import numpy as np
+
+    whole, found = _whole(bank, "bank_pos"), {}
+    k = cells or min(CELLS, max(1, round(whole.count() ** 0.5)))
+    for r in whole.orderBy(F.xxhash64("key"), "key").limit(k).collect():
+        v = np.array(r.vector)
+        if len(v) and abs(v @ v - 1) <= 1e-6:
+            found.setdefault(len(v), []).append(v)
+    return {size: np.stack(v) for size, v in found.items()}
+
+
+def in_cells(bank: DataFrame, centres: dict) -> DataFrame:
+    """cell, size, keys, data, angle: the bank's vectors in packed blocks of up to BLOCK of one cell, with the largest angle to its
+    centre. Tasks pack what they read; nothing is shuffled."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for size, _, keys, data in _vectors(batch):
+                cell, angle = np.full(len(keys), NO_CELL), np.zeros(len(keys))
+                if size in centres:
+                    angles, odd = _angles(data, centres[size])
+                    cell = np.where(odd, NO_CELL, angles.argmin(axis=1))
+                    angle = angles.min(axis=1)
+                order = np.argsort(cell, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                    for k in range(0, len(part), BLOCK):
+                        of = part[k : k + BLOCK]
+                        yield pa.RecordBatch.from_pylist([{"cell": int(cell[of[0]]), "size": size, "keys": keys[of].tobytes(), "data": data[of].tobytes(), "angle": float(angle[of].max())}])
+
+    return _whole(bank, "bank_pos").mapInArrow(run, "cell long, size long, keys binary, data binary, angle double")
+
+
+def _asking(queries: DataFrame, centres: dict, radius: dict | None):
+    """cell, size, q_keys, q_data, q_angle, q_low: packed queries (key, vector, low) for each cell they are compared with. Without
+    `radius` that is the nearest one; with it all others whose bound, the cosine of the angle to the centre less the cell's
+    radius, is no less than the query's low."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            low = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            for size, at, keys, data in _vectors(batch):
+                angles, odd = _angles(data, centres[size]) if size in centres else (np.zeros((len(keys), 0)), np.ones(len(keys), bool))
+                near = np.where(odd, NO_CELL, angles.argmin(axis=1) if angles.shape[1] else NO_CELL)
+                for cell in [*range(angles.shape[1]), NO_CELL]:
+                    theta = angles[:, cell] if cell != NO_CELL else np.zeros(len(keys))
+                    if radius is None:
+                        of = near == cell
+                    elif (size, cell) in radius:
+                        of = (near != cell) & (odd | (cell == NO_CELL) | (np.cos(np.maximum(0.0, theta - radius[size, cell])) + 1e-9 >= low[at]))
+                    else:
+                        continue
+                    ask = np.where(odd, 0.0, theta)  # with the angle 0 no block is passed over
+                    for part in np.array_split(np.flatnonzero(of), -(-int(of.sum()) // BLOCK) or 1):
+                        if len(part):
+                            yield pa.RecordBatch.from_pylist([{"cell": cell, "size": size, "q_keys": keys[part].tobytes(), "q_data": data[part].tobytes(), "q_angle": ask[part].tobytes(), "q_low": low[at][part].tobytes()}])
+
+    return queries.select("key", "vector", "low").mapInArrow(run, "cell long, size long, q_keys binary, q_data binary, q_angle binary, q_low binary")
+
 
+def _compared(asking: DataFrame, cells: DataFrame, others: bool) -> DataFrame:
+    """q_id, bank_pos, score: the best two of each block for each query that asks for its cell, unless the block's own radius rules
+    the query out. products: how many pairs of vectors the block was compared on."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def nearest(queries: DataFrame, bank: DataFrame) -> DataFrame:
+        for batch in batches:
+            for size, q_keys, q_data, q_angle, q_low, b_keys, b_data, angle in zip(*batch.columns, strict=True):
+                size, angle = size.as_py(), angle.as_py()
+                q, b = (np.frombuffer(x.as_buffer(), np.int64) for x in (q_keys, b_keys))
+                theta, low = (np.frombuffer(x.as_buffer(), np.float64) for x in (q_angle, q_low))
+                left, right = (np.frombuffer(x.as_buffer(), np.float64).reshape(-1, size) for x in (q_data, b_data))
+                of = np.flatnonzero(np.cos(np.maximum(0.0, theta - angle)) + 1e-9 >= low)
+                if not len(of):
+                    continue
+                scores = np.round(left[of] @ right.T, 12)
+                if others:
+                    scores[q[of][:, None] == b[None, :]] = -np.inf
+                found = best_two(q[of], b, scores)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, found), pa.array(np.full(len(found[0]), len(of) * len(b)))], names=["q_id", "bank_pos", "score", "products"])
+
+    both = asking.join(cells, ["cell", "size"]).select("size", "q_keys", "q_data", "q_angle", "q_low", "keys", "data", "angle")
+    return both.mapInArrow(run, "q_id long, bank_pos long, score double, products long")
+
+
+def candidates(queries: DataFrame, bank: DataFrame, others: bool = False, cells: int | None = None) -> DataFrame:
+    """q_id, bank_pos, score, products: entries among which the best two of each query are.
+
+    Bank vectors lie in cells around some of them. A query is first compared with its nearest cell, which gives it a second-best
+    score; then with those cells only that may hold a better or equal one: by the triangle inequality no entry of a cell is nearer
+    than the angle to its centre less its radius. Cells are joined by number. This is exact; how much it saves depends on the
+    vectors: with far neighbours only, as of random ones, the bound excludes little."""
+    centres = centres_of(bank, cells)
+    blocks, low = in_cells(bank, centres), float("-inf")
+    radius = {(r.size_, r.cell): r.angle for r in blocks.groupBy(F.col("size").alias("size_"), "cell").agg(F.max("angle").alias("angle")).collect()}  # a row a cell
+    asked = _whole(queries, "q_id")
+    own = _compared(_asking(asked.withColumn("low", F.lit(low)), centres, None), blocks, others)
+    two = own.withColumn("k", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "bank_pos"))).where("k <= 2")
+    seconds = two.where("k = 2").select(F.col("q_id").alias("key"), F.col("score").alias("low"))
+    again = asked.join(seconds, "key", "left").select("key", "vector", F.coalesce("low", F.lit(low)).alias("low"))
+    return own.unionByName(_compared(_asking(again, centres, radius), blocks, others))
+
+
+def nearest(queries: DataFrame, bank: DataFrame, others: bool = False) -> DataFrame:
     """q_id, bank_pos, score, second: the entry of the highest cosine, the earlier of equals, and the next best score (0 if none).
 
-    queries: q_id, vector; bank: bank_pos, vector. Queries and entries without a whole vector match nothing. Two rows come from
-    a query and block of the bank, and each task keeps the best two of a query."""
-    scored = by_blocks(queries, bank, best_two, "q_id long, bank_pos long, score double")
+    queries: q_id, vector; bank: bank_pos, vector. Queries and entries without a whole vector match nothing; with `others` none
+    matches the entry of its own number. Scores are the cosines of unit vectors, to 12 decimals, so that equal vectors have equal ones
+    wherever they stand. Two rows come from a query and block of the bank, and each task keeps the best two of a query."""
+    scored = candidates(queries, bank, others).drop("products")
     best = scored.withColumn("k", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "bank_pos"))).where("k <= 2")
     return best.groupBy("q_id").agg(F.min_by("bank_pos", "k").alias("bank_pos"), F.min_by("score", "k").alias("score"), F.coalesce(F.max(F.when(F.col("k") == 2, F.col("score"))), F.lit(0.0)).alias("second"))
 

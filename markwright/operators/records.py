@@ -1,11 +1,13 @@
 """Lines to records: blocks, dedup, merging, gaps, order. Order always comes from a position column."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sheets import answer_number, is_noise
-from ..functions.text import canonical_qno, clean_line, collapse
+from ..functions.text import WHITE, WS, canonical_qno, clean_line, collapse
 
 #: Every line end that Unicode knows, a return with its line feed being one.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85" + chr(0x2028) + chr(0x2029) + "]"
@@ -35,6 +37,60 @@ def blocks(rows: DataFrame, key: str, opens: Column, least: int = 0) -> DataFram
     return numbered.where("block > 0").groupBy(key, "block").agg(collapse(joined).alias("text"))
 
 
+def sheet_lines(text: Column) -> Column:
+    """Array of struct pos, line: the cleaned lines of a text that aren't empty; pos counts the empty ones too."""
+    every = F.transform(F.split(text, LINE_END, -1), lambda x, k: F.struct(k.alias("pos"), clean_line(x).alias("line")))
+    return F.filter(every, lambda x: x["line"] != "")
+
+
+def openings(lines: str, opens: Callable[[Column], Column]) -> Column:
+    """The indices of the elements of the array `lines` that open a block."""
+    return F.filter(F.transform(lines, lambda x, k: F.when(opens(x), k)), lambda k: k.isNotNull())
+
+
+def block_at(lines: str, at: str, p: Column, k: Column) -> Column:
+    """The elements of the k-th block, which the p-th element opens."""
+    return F.slice(lines, p + 1, F.coalesce(F.get(at, k + 1), F.size(lines)) - p)
+
+
+def sheet_blocks(sheets: DataFrame, key: str, text: str, opens: Callable[[Column], Column], least: int = 0) -> DataFrame:
+    """key, block, text, as `lines` and `blocks` give them, from one pass over each sheet's array of lines: nothing is exploded but
+    the finished blocks, and nothing is shuffled. opens: a condition on a line (struct pos, line)."""
+    held = sheets.select(key, sheet_lines(F.col(text)).alias("_lines")).withColumn("_at", openings("_lines", opens))
+    kept = lambda x, k: (k == 0) | (F.length(x["line"]) >= least)
+    one = lambda p, k: F.filter(block_at("_lines", "_at", p, k), kept) if least else block_at("_lines", "_at", p, k)
+    joined = F.transform("_at", lambda p, k: collapse(F.array_join(F.transform(one(p, k), lambda x: x["line"]), " ")))
+    return held.select(key, F.posexplode(joined).alias("block", "text")).withColumn("block", F.col("block") + 1)
+
+
+def extracted_answers(sheets: DataFrame, key: str, text: str, expected: str | None = None, least: int = 2) -> DataFrame:
+    """key, place, qno, answer: the numbered answers of each sheet in the order of their numbers (`sort_key`; place from 1).
+
+    A state machine over the array of a sheet's lines, with nothing exploded but the answers and nothing shuffled: noise goes, a
+    line with a number opens an answer, lines before the first and later ones of under `least` characters go. Answers that repeat a
+    number are joined in order. Numbers without an answer get an empty one: those of the array column `expected` that aren't there,
+    as they are, or without it the whole numbers between the least and the greatest. Numbers have three digits at most, which
+    bounds what is compared within a sheet. Null and empty sheets have no answers."""
+    named = F.transform(F.filter(sheet_lines(F.col(text)), lambda x: ~is_noise(x["line"])), lambda x: F.struct(x["line"].alias("line"), answer_number(x["line"]).alias("n")))
+    held = sheets.select(key, *([F.col(expected).alias("_expected")] if expected else []), named.alias("_lines"))
+    held = held.withColumn("_at", openings("_lines", lambda x: x["n"]["qno"] != ""))
+    parts = lambda p, k: F.filter(F.transform(block_at("_lines", "_at", p, k), lambda x, j: F.when(j == 0, x["n"]["rest"]).when(F.length(x["line"]) >= least, x["line"]).otherwise("")), lambda x: x != "")
+    answer = lambda p, k: F.regexp_replace(F.array_join(parts(p, k), " "), f"[{WS}]{{2,}}", " ")
+    held = held.withColumn("_found", F.transform("_at", lambda p, k: F.struct(F.get("_lines", p)["n"]["qno"].alias("qno"), F.btrim(answer(p, k), F.lit(WHITE)).alias("answer"))))
+    held = held.withColumn("_names", F.array_distinct(F.transform("_found", lambda x: x["qno"])))
+    same = lambda q: F.filter(F.transform(F.filter("_found", lambda x: x["qno"] == q), lambda x: x["answer"]), lambda a: a != "")
+    merged_ = F.transform("_names", lambda q: F.struct(q.alias("qno"), F.array_join(same(q), " ").alias("answer")))
+    whole = F.transform(F.filter("_names", lambda q: q.rlike("^[0-9]+$")), lambda q: q.cast("int"))
+    held = held.withColumn("_merged", merged_).withColumn("_whole", whole)
+    if expected:
+        gaps = F.filter(F.coalesce("_expected", F.array().cast("array<string>")), lambda q: ~F.array_contains("_names", q))
+    else:
+        gaps = F.when(F.size("_whole") > 0, F.transform(F.array_except(F.sequence(F.array_min("_whole"), F.array_max("_whole")), "_whole"), lambda q: q.cast("string"))).otherwise(F.array().cast("array<string>"))
+    held = held.withColumn("_all", F.concat("_merged", F.transform(gaps, lambda q: F.struct(q.alias("qno"), F.lit("").alias("answer")))))
+    ordered = F.array_sort(F.transform("_all", lambda x, k: F.struct(sort_key(x["qno"]).alias("by"), k.alias("k"), x.alias("x"))))
+    return held.select(key, F.posexplode(ordered).alias("place", "o")).select(key, (F.col("place") + 1).alias("place"), "o.x.qno", "o.x.answer")
+
+
 def first_of(rows: DataFrame, keys: list[str], value: str, pos: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by(value, pos).alias(value), F.min(pos).alias(pos))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy, scoring, sheets, text
+from ..functions import fuzzy, scoring, sheets, text, vectors
 from ..operators import evaluate, match, records, reports
 
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -26,6 +26,7 @@ def cleaned(x: str) -> str:
     return trimmed(f"regexp_replace({x}, '[ \\t\\x{{a0}}\\x{{200B}}]+', ' ', 'g')")
 
 
+PREPROCESSED = collapsed("lower(regexp_replace(regexp_replace(" + collapsed("coalesce(text, '')") + ", '[|_]{2,}', ' ', 'g'), '[.]{3,}', ' ', 'g'))")
 COUNT = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '" + SPACE + "+'), lambda x: x <> ''))"
 QUERIES, SQL = {}, {}
 
@@ -57,7 +58,7 @@ def turns(spark, d):
 # Text
 
 
-@query(f"""SELECT doc_id, {collapsed("lower(regexp_replace(regexp_replace(" + collapsed("coalesce(text, '')") + ", '[|_]{2,}', ' ', 'g'), '[.]{3,}', ' ', 'g'))")} AS cleaned, {COUNT} AS n_words FROM documents""")
+@query(f"SELECT doc_id, {PREPROCESSED} AS cleaned, {COUNT} AS n_words FROM documents")
 def clean_text(spark, d):
     return spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.preprocess(F.col("text")).alias("cleaned"), text.word_count(F.col("text")).cast("long").alias("n_words"))
 
@@ -73,7 +74,10 @@ def script_boundary(spark, d):
     return t(spark, d, "documents").select("doc_id", text.script_boundary(F.concat("text", F.lit("அa"))).alias("spaced"))
 
 
-@query(f"""SELECT doc_id, regexp_replace(lower({collapsed("text")}), '([.?!।]|{SPACE})+$', '') AS match_key FROM documents""")
+KEY = f"regexp_replace(regexp_replace(lower(text), '^{SPACE}+', ''), '([.?!।]|{SPACE})+$', '')"
+
+
+@query(f"SELECT doc_id, {KEY} AS match_key FROM documents")
 def trailing_norm(spark, d):
     return t(spark, d, "documents").select("doc_id", text.exact_key(F.col("text")).alias("match_key"))
 
@@ -109,8 +113,7 @@ LINES = f"{ALL_LINES}, k AS (SELECT * FROM l WHERE line <> '')"
 @query(f"""WITH {LINES}, b AS (SELECT *, count(*) FILTER (WHERE line_pos % 3 = 1) OVER (PARTITION BY doc_id ORDER BY line_pos) AS block FROM k)
 SELECT doc_id, block, {collapsed("string_agg(line, ' ' ORDER BY line_pos)")} AS text FROM b WHERE block > 0 GROUP BY doc_id, block""")
 def line_blocks(spark, d):
-    rows = records.lines(spread(t(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
-    return records.blocks(rows, "doc_id", F.col("line_pos") % 3 == 1)
+    return records.sheet_blocks(spread(t(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", lambda x: x["pos"] % 3 == 1)
 
 
 # Number tokens and noise in SQL; it has no look-ahead, so what must follow a token is matched after its group
@@ -235,6 +238,36 @@ def noise_lines(spark, d):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(sheets.is_noise(F.col("line"))).alias("n_noise"))
 
 
+def ordered_sql(source: str) -> str:
+    """`o`: the rows of `source` with the parts of their number's sort key."""
+    return f"""bare AS (SELECT *, regexp_replace(qno, '^[Qq]', '') AS bare FROM {source}),
+kinds AS (SELECT *, CASE WHEN regexp_full_match(bare, '[0-9]+([.\\s][a-zA-Z])?') THEN 0 WHEN regexp_full_match(bare, '[a-zA-Z]') THEN 1 WHEN lower(bare) IN ('ii', 'iii', 'iv', 'vi', 'vii', 'viii') THEN 2 WHEN instr('{records.TAMIL_PARTS}', bare) > 0 THEN 3 ELSE 4 END AS kind FROM bare),
+o AS (SELECT *, CASE kind WHEN 0 THEN CAST(regexp_extract(bare, '^[0-9]+') AS BIGINT) WHEN 2 THEN list_position(['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii'], lower(bare)) WHEN 3 THEN instr('{records.TAMIL_PARTS}', bare) ELSE 0 END AS number,
+ CASE kind WHEN 0 THEN ascii(lower(regexp_extract(bare, '[a-zA-Z]$'))) WHEN 1 THEN ascii(lower(bare)) ELSE 0 END AS letter, CASE kind WHEN 4 THEN bare ELSE '' END AS other FROM kinds)"""
+
+
+SHEET_LINES = ENDS.replace("text", "sheet", 1)
+
+
+@query(f"""WITH sheets AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN concat_ws(' ', {FORMS}, text) ELSE text END || CASE WHEN turn % 3 = 1 THEN chr(10) || 'Page ' || turn ELSE '' END, chr(10) ORDER BY turn) AS sheet FROM conversations GROUP BY conv_id),
+l AS (SELECT conv_id, pos, {cleaned('line')} AS line FROM (SELECT conv_id, unnest({SHEET_LINES}) AS line, generate_subscripts({SHEET_LINES}, 1) AS pos FROM sheets)),
+m AS (SELECT *, {ANSWER_TOKEN} AS token FROM l WHERE line <> '' AND NOT {NOISY}), n AS (SELECT conv_id, pos, line, {ANSWER_QNO} AS qno, {ANSWER_REST} AS rest FROM m),
+b AS (SELECT *, count(qno) OVER (PARTITION BY conv_id ORDER BY pos) AS block, CASE WHEN qno IS NOT NULL THEN rest WHEN length(line) >= 2 THEN line ELSE '' END AS part FROM n),
+g AS (SELECT conv_id, block, min(qno) AS qno, {trimmed(f"regexp_replace(coalesce(string_agg(part, ' ' ORDER BY pos) FILTER (WHERE part <> ''), ''), '{SPACE}{{2,}}', ' ', 'g')")} AS answer FROM b WHERE block > 0 GROUP BY conv_id, block),
+merged AS (SELECT conv_id, qno, coalesce(string_agg(answer, ' ' ORDER BY block) FILTER (WHERE answer <> ''), '') AS answer, min(block) AS pos FROM g GROUP BY conv_id, qno),
+whole AS (SELECT conv_id, CAST(qno AS INT) AS v FROM merged WHERE regexp_full_match(qno, '[0-9]+')),
+gaps AS (SELECT conv_id, v FROM (SELECT conv_id, unnest(generate_series(min(v), max(v))) AS v FROM whole GROUP BY conv_id) ANTI JOIN whole USING (conv_id, v)),
+every AS (SELECT * FROM merged UNION ALL SELECT conv_id, CAST(v AS VARCHAR), '', 1000000 + v FROM gaps), {ordered_sql('every')}
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY kind, number, letter, other, pos) AS INT) AS place, qno, answer FROM o""")
+def extracted_answers(spark, d):
+    """Each conversation as an answer sheet, user turns starting with a number and noise lines between: its answers in order."""
+    line = F.when(F.col("role") == "user", F.concat_ws(" ", forms(), "text")).otherwise(F.col("text"))
+    noise = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("\nPage "), F.col("turn").cast("string"))).otherwise("")
+    rows = turns(spark, d).select("conv_id", "turn", F.concat(line, noise).alias("line"))
+    sheets_ = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("sheet"))
+    return records.extracted_answers(sheets_, "conv_id", "sheet")
+
+
 @query()
 def split_blocks(spark, d):
     """The numbered blocks of each document, each split in question and answer; without numbers, all of it is the answer of 1."""
@@ -296,10 +329,7 @@ def positional_join(spark, d):
     return b.select("item_id", F.col("text").alias("question"), (F.col("item_id") + 1).alias("doc_id0")).join(docs, F.col("doc_id0") == F.col("doc_id"), "left").select("item_id", "question", "doc_id", "answer")
 
 
-KEY = f"regexp_replace(lower({collapsed('text')}), '([.?!।]|{SPACE})+$', '')"
-
-
-@query(f"""WITH k AS (SELECT doc_id, {KEY} AS key FROM documents) SELECT q.doc_id AS q_id, min(b.doc_id) AS bank_pos FROM k q JOIN k b USING (key) GROUP BY q.doc_id""")
+@query(f"""WITH k AS (SELECT doc_id, {KEY} AS key FROM documents WHERE text <> '') SELECT q.doc_id AS q_id, min(b.doc_id) AS bank_pos FROM k q JOIN k b USING (key) GROUP BY q.doc_id""")
 def exact_bank_match(spark, d):
     docs = spread(t(spark, d, "documents").select("doc_id", "text"))
     return match.exact(docs.select(F.col("doc_id").alias("q_id"), F.col("text").alias("question")), docs.select(F.col("doc_id").alias("bank_pos"), F.col("text").alias("question")))
@@ -363,14 +393,14 @@ INPUTS = "SELECT l_orderkey, l_linenumber, l_quantity / 5 AS sem, l_discount * 1
 FORMULA = f"""WITH i AS ({INPUTS}), f AS (SELECT *, CASE WHEN words <= 0 THEN 0.0 ELSE least(1.0::DOUBLE, words / (0.35::DOUBLE * 15 * greatest(most, 1))) END AS factor,
  greatest(0.0::DOUBLE, least(10.0::DOUBLE, (0.5::DOUBLE * sem + 0.25::DOUBLE * kw + 0.25::DOUBLE * con) * (1 - 0.5::DOUBLE * ctr))) AS raw FROM i),
 a AS (SELECT *, CASE WHEN factor < 1 THEN 0.85::DOUBLE + 0.15::DOUBLE * factor ELSE 1.0::DOUBLE END AS adjustment FROM f),
-m AS (SELECT *, CASE WHEN sem < 2 THEN least(raw * adjustment, 2.0::DOUBLE) ELSE raw * adjustment END AS marks FROM a)"""
+m AS (SELECT *, CASE WHEN words < 3 OR sem / 10 < 0.2::DOUBLE THEN 0.0::DOUBLE WHEN sem / 10 < 0.35::DOUBLE THEN least(raw * adjustment, 2.0::DOUBLE) ELSE raw * adjustment END AS marks FROM a)"""
 
 
 def _scored(spark, d):
     i = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 5).alias("sem"), (F.col("l_discount") * 100).alias("kw"), (F.col("l_tax") * 125).alias("con"), F.col("l_discount").alias("ctr"), F.col("l_quantity").cast("int").alias("words"), F.lit(5).alias("most"))
     i = i.withColumn("factor", scoring.length_factor(F.col("words"), F.col("most"))).withColumn("raw", scoring.raw_score(F.col("sem"), F.col("kw"), F.col("con"), F.col("ctr")))
     i = i.withColumn("adjustment", scoring.length_adjustment(F.col("factor")))
-    return i.withColumn("marks", scoring.final_marks(F.col("raw"), F.col("adjustment"), F.col("sem") < 2))
+    return i.withColumn("marks", scoring.banded_marks(F.col("raw"), F.col("adjustment"), scoring.band(F.col("sem") / 10, F.col("words"))))
 
 
 @query(FORMULA + " SELECT l_orderkey, l_linenumber, round(factor, 6) AS factor, round(adjustment, 6) AS adjustment FROM m")
@@ -525,31 +555,52 @@ def mapped_records(spark, d):
     return records.mapped(q, c.where("role != 'user'").select("conv_id", answer_no.alias("qno"), F.col("text").alias("answer"), F.col("turn").alias("pos")), "conv_id")
 
 
-@query(f"""WITH v AS (SELECT doc_id, {KEY} AS key, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON vec_id = doc_id),
-q AS (SELECT doc_id AS q_id, key, e FROM v WHERE doc_id % 20 = 0), b AS (SELECT doc_id AS bank_pos, key, e FROM v WHERE doc_id % 20 <> 0),
-same AS (SELECT q_id, min(bank_pos) AS bank_pos FROM q JOIN b USING (key) GROUP BY q_id),
-p AS (SELECT q_id, b.bank_pos, list_dot_product(q.e, b.e) AS score FROM q ANTI JOIN same USING (q_id), b),
+@query(f"""WITH v AS (SELECT doc_id, text, {KEY} AS key, embedding::DOUBLE[] AS e, {PREPROCESSED} <> '' AS says FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+same AS (SELECT q.doc_id AS q_id, min(b.doc_id) AS bank_pos FROM v q JOIN v b ON q.key = b.key AND q.doc_id <> b.doc_id WHERE q.doc_id % 20 = 0 AND q.text <> '' AND b.text <> '' GROUP BY q.doc_id),
+rest AS (SELECT doc_id AS q_id, e, says FROM v WHERE doc_id % 20 = 0 AND doc_id NOT IN (SELECT q_id FROM same)),
+p AS (SELECT q_id, b.doc_id AS bank_pos, list_dot_product(q.e, b.e) AS score FROM rest q, v b WHERE q.e IS NOT NULL AND b.e IS NOT NULL AND q.says AND b.says AND b.doc_id <> q_id),
 r AS (SELECT *, row_number() OVER w AS k, lead(score, 1, 0.0) OVER w AS second FROM p WINDOW w AS (PARTITION BY q_id ORDER BY score DESC, bank_pos)),
 n AS (SELECT *, score >= 0.75 AND score - second >= 0.08 AS taken FROM r WHERE k = 1)
 SELECT q_id, bank_pos, 1.0::DOUBLE AS score, 'exact' AS how FROM same UNION ALL
-SELECT q_id, CASE WHEN taken THEN bank_pos END, round(score, 6), CASE WHEN taken THEN 'nearest' ELSE 'none' END FROM n""")
+SELECT q_id, CASE WHEN taken THEN bank_pos END, round(score, 6), CASE WHEN taken THEN 'nearest' ELSE 'none' END FROM rest LEFT JOIN n USING (q_id)""")
 def bank_match(spark, d):
-    """Every document whose id is divisible by 20, against all others: by equal text, else by the nearest vector."""
-    v = spread(t(spark, d, "documents").select("doc_id", F.col("text").alias("question"))).join(t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
-    found = match.bank_match(v.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "q_id"), v.where("doc_id % 20 != 0").withColumnRenamed("doc_id", "bank_pos"))
+    """Every document whose id is divisible by 20 against all others: by equal text, else by the nearest vector (some have none)."""
+    docs = spread(t(spark, d, "documents").select("doc_id", F.col("text").alias("question")))
+    v = docs.join(t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "left")
+    found = match.bank_match(v.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "q_id"), v.withColumnRenamed("doc_id", "bank_pos"), others=True)
     return found.withColumn("score", F.round("score", 6))
 
 
+def _likened(spark, d, dealt=False):
+    """Documents (doc_id, answer, item), model answers, and doc_id, similarity: each document with the model answer of its question, by
+    vectors made from the texts. `dealt`: documents are partitioned by id, for costly work on them after joins by id."""
+    b = t(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("model_answer"))
+    n = b.count()
+    docs = spread(t(spark, d, "documents").select("doc_id", F.col("text").alias("answer"), F.pmod("doc_id", F.lit(n)).alias("item")))
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id") if dealt else docs
+    return docs, b, vectors.similarities(docs, "doc_id", "answer", b, "item", "model_answer")
+
+
+@query(f"""WITH a AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item, {PREPROCESSED} AS c FROM documents), m AS (SELECT item_id AS item, {PREPROCESSED} AS c FROM benchmark),
+w AS (SELECT 0 AS side, doc_id AS id, md5(unnest(list_filter(string_split(c, ' '), lambda x: x <> ''))) AS h FROM a UNION ALL SELECT 1, item, md5(unnest(list_filter(string_split(c, ' '), lambda x: x <> ''))) FROM m),
+v AS (SELECT side, id, h[1:2] AS at, CAST(sum(CASE WHEN ('0x' || h[3])::INT % 2 = 0 THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM w GROUP BY ALL HAVING v <> 0),
+n AS (SELECT side, id, sqrt(sum(v * v)) AS norm FROM v GROUP BY ALL),
+p AS (SELECT a.doc_id, sum(x.v * y.v) AS dot FROM a JOIN v x ON x.side = 0 AND x.id = a.doc_id JOIN v y ON y.side = 1 AND y.id = a.item AND y.at = x.at GROUP BY a.doc_id),
+s AS (SELECT a.doc_id, a.item, CASE WHEN x.norm IS NOT NULL AND y.norm IS NOT NULL THEN coalesce(dot, 0) / (x.norm * y.norm) END AS sim FROM a LEFT JOIN p USING (doc_id) LEFT JOIN n x ON x.side = 0 AND x.id = a.doc_id LEFT JOIN n y ON y.side = 1 AND y.id = a.item)
+SELECT doc_id, item, round(sim, 6) AS similarity, round(10 * greatest(0.0::DOUBLE, least(1.0::DOUBLE, sim)), 4) + 0.0::DOUBLE AS semantic, CASE WHEN sim IS NULL THEN 'unevaluable' WHEN sim < 0.2 THEN 'irrelevant' WHEN sim < 0.35 THEN 'partial' ELSE 'relevant' END AS band FROM s""")
+def semantic_scores(spark, d):
+    """The similarity of each document with the model answer of its question, from their texts; scores of ten and bands."""
+    docs, _, found = _likened(spark, d)
+    sim = F.col("similarity")
+    return docs.select("doc_id", "item").join(found, "doc_id").select("doc_id", "item", F.round(sim, 6).alias("similarity"), F.round(10 * scoring.clamp(sim, 0.0, 1.0), 4).alias("semantic"), scoring.relevance(sim).alias("band"))
+
+
 @query()
 def evaluate_answers(spark, d):
-    """Whole evaluations, 21 columns: documents as answers to bank questions, vectors of the same ids giving the similarity."""
-    b = t(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("model_answer"))
-    n, vectors = b.count(), t(spark, d, "embeddings").select("vec_id", "embedding")
-    docs = spread(t(spark, d, "documents").select("doc_id", F.col("text").alias("answer"), (F.col("doc_id") % n).alias("item")))
-    own = docs.join(b, "item").join(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("a")), "doc_id", "left")
-    both = own.join(vectors.select(F.col("vec_id").alias("item"), F.col("embedding").alias("m")), "item", "left")
+    """Whole evaluations, 21 columns: documents as answers to bank questions, the similarity being that of `semantic_scores`."""
+    docs, b, found = _likened(spark, d, dealt=True)
     words = F.array_distinct(F.filter(F.split(F.lower("model_answer"), " "), lambda x: F.length(x) > 6))
-    rows = both.select("doc_id", "item", "answer", "model_answer", F.coalesce(scoring.cosine(F.col("a"), F.col("m")), F.lit(0.5)).alias("similarity"),
+    rows = docs.join(b, "item").join(found, "doc_id").select("doc_id", "item", "answer", "model_answer", "similarity",
                        F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(1.0).alias("weight"))).alias("keywords"), F.transform(words, lambda w: F.array(w, F.substring(w, 1, 5))).alias("concepts"), F.lit(5).alias("max_marks"))
     return evaluate.final(rows).drop("answer", "model_answer", "keywords", "concepts")
 
