@@ -9,77 +9,118 @@ from pyspark.sql import types as T
 FULL, PART, CONCEPT = 0.75, 0.40, 0.70
 
 
-def _common(counts, lengths, keyword: str, size: int):
-    """For each window of `size` words: letters in common with the keyword, whatever their order; characters of both."""
+def matching(a: str, b: str, most: int = 64) -> int:
+    """How many characters of two texts match as difflib counts them: the longest common block (of equal ones the first in `a`,
+    then in `b`), and the same again on both sides of it. For short texts, in which a search for a piece of one in the other is
+    cheap; difflib treats `b` from 200 characters on in another way. most: no more match, whatever their places."""
+    n = len(a)
+    for size in range(min(n, len(b), most), 0, -1):
+        for i in range(n - size + 1):
+            if a[i : i + size] in b:
+                j, most = b.index(a[i : i + size]), most - size
+                if not most:
+                    return size
+                left = matching(a[:i], b[:j], most) if i and j else 0
+                i, j = i + size, j + size
+                return size + left + (matching(a[i:], b[j:], most - left) if i < n and j < len(b) and most > left else 0)
+    return 0
+
+
+def similarity(a: str, b: str, most: int = 64) -> float:
+    """difflib's ratio of two texts."""
+    if len(a) > 64 or len(b) > 128:
+        return SequenceMatcher(None, a, b).ratio()
+    return 2.0 * matching(a, b, most) / (len(a) + len(b)) if a or b else 1.0
+
+
+def _shared_in_order(masks, ks, letters, starts, lengths):
+    """Of pairs of a keyword (a row of `masks`: the places of each letter, one bit each) and a window (its start and length in
+    `letters`): the length of their longest common subsequence, all pairs at once."""
     import numpy as np
 
-    n = len(lengths) - size + 1
-    total = sum(lengths[k : k + n] for k in range(size)) + size - 1
-    common = np.zeros(n, np.int64)
-    for c in set(keyword):
-        here = sum(counts[c][k : k + n] for k in range(size)) if c != " " else np.full(n, size - 1)
-        common += np.minimum(here, keyword.count(c))
-    return common, total + len(keyword)
+    rest, last = np.full(len(ks), (1 << 64) - 1, np.uint64), len(letters) - 1
+    for k in range(int(lengths.max(initial=0))):
+        hits = masks[ks, np.where(k < lengths, letters[np.minimum(starts + k, last)], masks.shape[1] - 1)]
+        shared = rest & hits
+        rest = (rest + shared) | (rest - shared)
+    return np.bitwise_count(~rest).astype(np.int64)
 
 
-def _in_order(keyword: str, windows: list[str]):
-    """The longest common subsequence of a keyword of up to 63 letters with each window, one bit for each letter."""
+def _search(words: list[str], sizes: dict[int, list[int]], keywords: list[str], best) -> None:
+    """Raises `best`, a ratio for each keyword, by the windows of each size, for the keywords listed under it. Windows are bounded by
+    the letters they share with a keyword, those that may still be better by the letters shared in order, and the rest compared
+    from the highest bound down."""
     import numpy as np
 
-    letters = sorted(set(keyword))
-    masks = np.array([sum(1 << k for k, x in enumerate(keyword) if x == c) for c in letters], np.uint64)
-    codes, points = np.array(letters, "U1").view(np.uint32), np.array(windows)
-    points = points.view(np.uint32).reshape(len(windows), -1)
-    at = np.minimum(np.searchsorted(codes, points), len(codes) - 1)
-    hits = np.where(codes[at] == points, masks[at], np.uint64(0))
-    rest = np.full(len(windows), (1 << 64) - 1, np.uint64)
-    for k in range(points.shape[1]):
-        shared = rest & hits[:, k]
-        rest = (rest + shared) | (rest - shared)
-    return np.bitwise_count(~rest & np.uint64((1 << len(keyword)) - 1)).astype(np.int64)
+    text, alphabet = " ".join(words), sorted({c for ks in sizes.values() for k in ks for c in keywords[k]})
+    as_codes = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes, known = as_codes(text), as_codes("".join(alphabet))
+    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    letters = np.where(known[at] == codes, at, len(known))
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    begin = np.cumsum(lengths + 1) - lengths - 1
+    seen = np.zeros((len(codes) + 1, len(known)), np.int32)
+    np.cumsum(letters[:, None] == np.arange(len(known)), axis=0, out=seen[1:])
+    n = np.array([len(k) for k in keywords])
+    place = {c: k for k, c in enumerate(alphabet)}
+    masks = np.zeros((len(keywords), len(known) + 1), np.uint64)
+    own = np.zeros((len(keywords), len(known)), np.int64)
+    for k in {k for ks in sizes.values() for k in ks}:
+        for at, c in enumerate(keywords[k]):
+            own[k, place[c]] += 1
+            masks[k, place[c]] |= np.uint64(1 << at) if at < 64 else np.uint64(0)
+    tried = set()
+    for size, named in sizes.items():
+        ends = (begin + lengths)[size - 1 :]
+        if not len(ends):
+            continue
+        of, starts = np.array(named), begin[: len(ends)]
+        held, total = seen[ends] - seen[starts], n[of][:, None] + (ends - starts)[None, :]
+        common = sum((own[of] >= t).astype(np.float32) @ (held >= t).astype(np.float32).T for t in range(1, int(own[of].max(initial=0)) + 1))
+        bound = 2.0 * common.astype(np.float64) / total if len(alphabet) else np.zeros(total.shape)
+
+        def look(k, w, value):
+            window = text[starts[w] : ends[w]]  # noqa: B023
+            if (k, window) not in tried:
+                tried.add((k, window))
+                best[k] = max(best[k], similarity(keywords[k], window, round(value * (n[k] + len(window)) / 2)))
+
+        for row, w in enumerate(bound.argmax(axis=1)):
+            if bound[row, w] > best[of[row]]:
+                look(int(of[row]), int(w), bound[row, w])
+        rows, ws = np.nonzero(bound > best[of][:, None])
+        ks, value = of[rows], bound[rows, ws]
+        short = np.flatnonzero((n[ks] < 64) & (total[rows, ws] <= 128))
+        if len(short):
+            x, y = ks[short], ws[short]
+            value[short] = 2.0 * _shared_in_order(masks, x, letters, starts[y], (ends - starts)[y]) / total[rows[short], y]
+        for p in np.argsort(-value, kind="stable"):
+            k = int(ks[p])
+            if value[p] > best[k]:
+                look(k, int(ws[p]), value[p])
+
+
+#: Words of a text that are searched at a time.
+STEP = 1024
 
 
 def _ratios(keywords, text: str | None) -> list[float]:
-    """The ratio of each keyword. Windows are tried in the order of the most their ratio can be, by letters in common and
-    then by letters in common in the same order, until none can be better."""
+    """The ratio of each keyword: 1 if the text holds it, else that of the most similar window."""
     import numpy as np
 
     text = text or ""
-    words, out = text.split(), []
-    lengths, counts = np.array([len(w) for w in words], np.int64), {}
-    codes = np.frombuffer(" ".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    starts = np.r_[0, np.cumsum(lengths + 1)[:-1]] if words else None
-    for keyword in keywords:
-        keyword = keyword or ""
-        if keyword in text:
-            out.append(1.0)
-            continue
-        n, best = len(keyword.split()), 0.0
-        for c in set(keyword) - counts.keys() if words else ():
-            counts[c] = np.add.reduceat(codes == ord(c), starts, dtype=np.int64)
-        for size in {n, max(1, n - 1), n + 1} - {0}:
-            if size > len(words):
-                continue
-            common, total = _common(counts, lengths, keyword, size)
-            bounds, found = 2.0 * common / total, lambda at: SequenceMatcher(None, keyword, window(at)).ratio()  # noqa: B023
-            window = lambda at: " ".join(words[at : at + size])  # noqa: B023, E731
-            top = int(np.argmax(bounds))
-            if bounds[top] <= best:
-                continue
-            best = max(best, found(top))
-            better = np.flatnonzero(bounds > best)
-            short = better[(total[better] <= 128) & (len(keyword) < 64)]
-            if len(short):
-                bounds[short] = 2.0 * _in_order(keyword, [window(at) for at in short]) / total[short]
-            seen = {window(top)}
-            for at in better[np.argsort(-bounds[better], kind="stable")]:
-                if bounds[at] <= best:
-                    break
-                if (w := window(at)) not in seen:
-                    seen.add(w)
-                    best = max(best, found(at))
-        out.append(best)
-    return out
+    keywords = [k or "" for k in keywords]
+    out = np.array([1.0 if k in text else 0.0 for k in keywords])
+    sizes = {}
+    for k, word in enumerate(keywords):
+        if not out[k]:
+            n = len(word.split())
+            for size in {n, max(1, n - 1), n + 1} - {0}:
+                sizes.setdefault(size, []).append(k)
+    words = text.split() if sizes else []
+    for at in range(0, len(words), STEP):
+        _search(words[at : at + STEP + max(sizes) - 1], sizes, keywords, out)
+    return out.tolist()
 
 
 def ratio(keyword: str | None, text: str | None) -> float:

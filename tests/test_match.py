@@ -95,3 +95,30 @@ def test_text_vectors(spark):
     sims = {r.d: r.similarity for r in vectors.similarities(rows, "d", "a", df, "k", "t").collect()}
     assert math.isclose(sims[2], 1.0) and math.isclose(sims[1], got[1] @ got[2]) and math.isclose(sims[5], got[5] @ got[2], abs_tol=1e-12)
     assert (sims[3], sims[7], sims[8]) == (None, None, None)
+
+
+def test_ratios_are_those_of_difflib(spark):
+    """Every window by difflib itself, long texts in several steps, keywords of several words and odd ones."""
+    import random
+    from difflib import SequenceMatcher
+
+    from markwright.functions import fuzzy
+
+    r = random.Random(4)
+    word = lambda n=9: "".join(r.choice("abcdeñ") for _ in range(r.randrange(1, n)))
+
+    def plain(keyword, text):
+        keyword, words = keyword or "", (text or "").split()
+        if keyword in (text or ""):
+            return 1.0
+        n = len(keyword.split())
+        found = [SequenceMatcher(None, keyword, " ".join(words[k : k + size])).ratio() for size in {n, max(1, n - 1), n + 1} - {0} for k in range(len(words) - size + 1)]
+        return max(found, default=0.0)
+
+    for case in range(300):
+        text = " ".join(word() for _ in range(r.choice([0, 1, 5, 40]))) if case else " ".join(word() for _ in range(2500))
+        if case % 9 == 1:
+            text += " " + word(400) + " " + "y" * 250
+        keywords = [" ".join(word() for _ in range(r.randrange(4))) for _ in range(3)] + ["", None, " ", "x" * 70, word(90)]
+        assert fuzzy._ratios(keywords, text) == [plain(k, text) for k in keywords]
+    assert fuzzy._ratios(["a"], None) == [0.0] and fuzzy._ratios([], "a") == []
