@@ -1,6 +1,7 @@
 """Fuzzy keyword and concept coverage. Substrings are found by Catalyst; the rest runs as one Arrow batch function."""
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -33,71 +34,103 @@ def similarity(a: str, b: str, most: int = 64) -> float:
     return 2.0 * matching(a, b, most) / (len(a) + len(b)) if a or b else 1.0
 
 
-def _shared_in_order(masks, ks, letters, starts, lengths):
-    """Of pairs of a keyword (a row of `masks`: the places of each letter, one bit each) and a window (its start and length in
-    `letters`): the length of their longest common subsequence, all pairs at once."""
+@lru_cache(maxsize=256)
+def _letters_of(keywords: tuple[str, ...]):
+    """The codes of the letters of some keywords, in order; for each keyword the places of each letter, one bit each (none in the
+    last column, for other letters); the keywords' lengths and numbers of spaces."""
     import numpy as np
 
-    rest, last = np.full(len(ks), (1 << 64) - 1, np.uint64), len(letters) - 1
-    for k in range(int(lengths.max(initial=0))):
-        hits = masks[ks, np.where(k < lengths, letters[np.minimum(starts + k, last)], masks.shape[1] - 1)]
-        shared = rest & hits
-        rest = (rest + shared) | (rest - shared)
-    return np.bitwise_count(~rest).astype(np.int64)
+    alphabet = sorted(set("".join(keywords)) - {" "})
+    bits = np.uint32 if max(map(len, keywords)) <= 32 else np.uint64
+    masks = np.zeros((len(keywords), len(alphabet) + 1), bits)
+    for k, word in enumerate(keywords):
+        for at, c in enumerate(word[:63]):
+            if c != " ":
+                masks[k, alphabet.index(c)] |= bits(1 << at)
+    return _codes("".join(alphabet)), masks, np.array([len(k) for k in keywords]), np.array([k.count(" ") for k in keywords])
+
+
+def _codes(text: str):
+    import numpy as np
+
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _search(words: list[str], sizes: dict[int, list[int]], keywords: list[str], best) -> None:
-    """Raises `best`, a ratio for each keyword, by the windows of each size, for the keywords listed under it. Windows are bounded by
-    the letters they share with a keyword, those that may still be better by the letters shared in order, and the rest compared
-    from the highest bound down."""
+    """Raises `best`, a ratio for each keyword, by the windows of each size, for the keywords listed under it.
+
+    The longest common subsequence of each keyword with each distinct word comes first, all at once, one bit for a letter of a keyword
+    (up to 63). A window shares no more letters in order than its words do in all, which bounds its ratio; those that may still be
+    better than the best are bounded by their own longest common subsequence and compared from the highest bound down."""
     import numpy as np
 
-    text, alphabet = " ".join(words), sorted({c for ks in sizes.values() for k in ks for c in keywords[k]})
-    as_codes = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes, known = as_codes(text), as_codes("".join(alphabet))
-    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-    letters = np.where(known[at] == codes, at, len(known))
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    begin = np.cumsum(lengths + 1) - lengths - 1
-    seen = np.zeros((len(codes) + 1, len(known)), np.int32)
-    np.cumsum(letters[:, None] == np.arange(len(known)), axis=0, out=seen[1:])
-    n = np.array([len(k) for k in keywords])
-    place = {c: k for k, c in enumerate(alphabet)}
-    masks = np.zeros((len(keywords), len(known) + 1), np.uint64)
-    own = np.zeros((len(keywords), len(known)), np.int64)
-    for k in {k for ks in sizes.values() for k in ks}:
-        for at, c in enumerate(keywords[k]):
-            own[k, place[c]] += 1
-            masks[k, place[c]] |= np.uint64(1 << at) if at < 64 else np.uint64(0)
-    tried = set()
+    known, masks, n, spaces = _letters_of(tuple(keywords))
+    distinct: dict[str, int] = {}
+    for w in words:
+        distinct.setdefault(w, 0)
+    names = sorted(distinct, key=len, reverse=True)
+    distinct.update(zip(names, range(len(names)), strict=True))
+    at = np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))
+    lengths = np.fromiter(map(len, names), np.int64, len(names))
+    starts = np.cumsum(lengths) - lengths
+    codes = _codes("".join(names))
+    if len(known):
+        place = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        letters = np.where(known[place] == codes, place, len(known))
+    else:
+        letters = np.zeros(len(codes), np.int64)
+    rows = np.array(sorted({k for ks in sizes.values() for k in ks}))
+    own = np.ascontiguousarray(masks[rows].T)  # a row a letter, a column a keyword
+    rest = np.full((len(names), len(rows)), np.iinfo(own.dtype).max, own.dtype)
+    longer = len(names) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), "right")  # how many words have more letters
+    for k, some in enumerate(longer):
+        r = rest[:some]
+        shared = r & own[letters[starts[:some] + k]]
+        rest[:some] = (r + shared) | (r - shared)
+    in_order = np.bitwise_count(~rest).astype(np.int32)
+    long = n[rows] > 63
+    in_order[:, long] = np.minimum(n[rows][long][None, :], lengths[:, None])
+    row_of = {int(k): row for row, k in enumerate(rows)}
     for size, named in sizes.items():
-        ends = (begin + lengths)[size - 1 :]
-        if not len(ends):
+        if size > len(words):
             continue
-        of, starts = np.array(named), begin[: len(ends)]
-        held, total = seen[ends] - seen[starts], n[of][:, None] + (ends - starts)[None, :]
-        common = sum((own[of] >= t).astype(np.float32) @ (held >= t).astype(np.float32).T for t in range(1, int(own[of].max(initial=0)) + 1))
-        bound = 2.0 * common.astype(np.float64) / total if len(alphabet) else np.zeros(total.shape)
-
-        def look(k, w, value):
-            window = text[starts[w] : ends[w]]  # noqa: B023
-            if (k, window) not in tried:
-                tried.add((k, window))
-                best[k] = max(best[k], similarity(keywords[k], window, round(value * (n[k] + len(window)) / 2)))
-
-        for row, w in enumerate(bound.argmax(axis=1)):
-            if bound[row, w] > best[of[row]]:
-                look(int(of[row]), int(w), bound[row, w])
-        rows, ws = np.nonzero(bound > best[of][:, None])
-        ks, value = of[rows], bound[rows, ws]
-        short = np.flatnonzero((n[ks] < 64) & (total[rows, ws] <= 128))
-        if len(short):
-            x, y = ks[short], ws[short]
-            value[short] = 2.0 * _shared_in_order(masks, x, letters, starts[y], (ends - starts)[y]) / total[rows[short], y]
+        of = np.array([row_of[k] for k in named])
+        if size == 1:
+            most, total = in_order[:, of], lengths
+        else:
+            each, count = in_order[:, of][at], len(words) - size + 1
+            most = sum(each[k : k + count] for k in range(size)) + np.minimum(spaces[named], size - 1)
+            total = sum(lengths[at][k : k + count] for k in range(size)) + size - 1
+        total = total[:, None] + n[named]
+        bound, tried = 2.0 * most / total, set()
+
+        def look(k, w, most):
+            window = names[w] if size == 1 else " ".join(words[w : w + size])  # noqa: B023
+            if (k, window) not in tried:  # noqa: B023
+                tried.add((k, window))  # noqa: B023
+                best[k] = max(best[k], similarity(keywords[k], window, int(most)))
+
+        for row, w in enumerate(bound.argmax(axis=0) if size == min(sizes) else ()):  # a first ratio, which rules most out
+            if bound[w, row] > best[named[row]]:
+                look(named[row], int(w), most[w, row])
+        ws, which = np.nonzero(bound > best[named])
+        value, most = bound[ws, which], most[ws, which]
+        if size > 1 and len(ws):
+            column, width = of[which], len(rows)
+            state, flat, none = rest[at[ws], column], own.ravel(), len(known) * width
+            for k in range(1, size):
+                word = at[ws + k]
+                first, left = starts[word], lengths[word]
+                for t in range(int(left.max())):
+                    shared = state & flat.take(np.where(t < left, letters.take(first + t, mode="clip") * width, none) + column)
+                    state = (state + shared) | (state - shared)
+            whole = np.bitwise_count(~state).astype(np.int64) + np.minimum(spaces[named], size - 1)[which]
+            most = np.where(n[named][which] > 63, most, np.minimum(most, whole))
+            value = 2.0 * most / total[ws, which]
         for p in np.argsort(-value, kind="stable"):
-            k = int(ks[p])
+            k = named[which[p]]
             if value[p] > best[k]:
-                look(k, int(ws[p]), value[p])
+                look(k, int(ws[p]), most[p])
 
 
 #: Words of a text that are searched at a time.

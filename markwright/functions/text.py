@@ -20,7 +20,8 @@ def collapse(c: Column, chars: str = WS) -> Column:
 def preprocess(c: Column) -> Column:
     """Null as empty; white space, rules (| _) and dot leaders to one space; lower case."""
     t = collapse(F.coalesce(c, F.lit("")), WS + ZERO_WIDTH)
-    return collapse(F.lower(F.regexp_replace(F.regexp_replace(t, r"[|_]{2,}", " "), r"\.{3,}", " ")))
+    without = collapse(F.regexp_replace(F.regexp_replace(t, r"[|_]{2,}", " "), r"\.{3,}", " "))
+    return F.lower(F.when(t.rlike(r"[|_]{2}|\.{3}"), without).otherwise(t))
 
 
 def clean_line(c: Column) -> Column:
