@@ -160,3 +160,30 @@ def repaired(c: Column) -> Column:
     """A recognised answer, ready to be scored: composed, scripts apart, no stray symbols or long runs, words respelled."""
     c = squeeze_runs(without_stray(script_boundary(nfc(F.coalesce(c, F.lit(""))))))
     return collapse(respelled(from_romanised(c)), WS + ZERO_WIDTH)
+
+
+# Tamil letters and their forms in the ITRANS scheme.
+CONSONANTS = {
+    "க": "k", "ங": "~N", "ச": "ch", "ஞ": "~n", "ட": "T", "ண": "N", "த": "t", "ந": "n", "ப": "p", "ம": "m", "ய": "y", "ர": "r", "ல": "l", "வ": "v",
+    "ழ": "zh", "ள": "L", "ற": "R", "ன": "n", "ஜ": "j", "ஶ": "sh", "ஷ": "Sh", "ஸ": "s", "ஹ": "h",
+}
+VOWELS = {"அ": "a", "ஆ": "A", "இ": "i", "ஈ": "I", "உ": "u", "ஊ": "U", "எ": "e", "ஏ": "E", "ஐ": "ai", "ஒ": "o", "ஓ": "O", "ஔ": "au", "ஃ": "H"}
+SIGNS = {"ா": "A", "ி": "i", "ீ": "I", "ு": "u", "ூ": "U", "ெ": "e", "ே": "E", "ை": "ai", "ொ": "o", "ோ": "O", "ௌ": "au"}
+VIRAMA = "்"
+#: Vowel signs written as two marks, and the one they are.
+TWO_MARKS = {"\u0bc6\u0bbe": "\u0bca", "\u0bc7\u0bbe": "\u0bcb", "\u0bc6\u0bd7": "\u0bcc"}
+
+
+def phonetic(c: Column) -> Column:
+    """How a text sounds, in Latin letters. A consonant has the vowel a of its own, unless a vowel sign takes its place or a virama
+    takes it away. Of several readings the longest counts (signs of two marks before their parts). Other characters stay; texts
+    without Tamil letters are left alone."""
+    signs = "".join(SIGNS)
+    t = c
+    for two, one in TWO_MARKS.items():
+        t = F.replace(t, F.lit(two), F.lit(one))
+    t = F.regexp_replace(t, f"([{''.join(CONSONANTS)}])(?![{signs}{VIRAMA}])", "$1a")
+    t = F.regexp_replace(t, f"([{''.join(CONSONANTS)}]){VIRAMA}", "$1")
+    for letter, latin in (CONSONANTS | VOWELS | SIGNS).items():
+        t = F.replace(t, F.lit(letter), F.lit(latin))
+    return F.when(c.rlike("[\u0B80-\u0BFF]"), t).otherwise(c)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,6 +39,12 @@ def with_sounds(base: Column, weights: Column, found: Column, sounds: Column) ->
     return F.when((add(gains) == 0) | (add(weights) <= 0), base).otherwise(F.round(scoring.at_most(base + 10 * add(gains) / add(weights), 10.0), 2))
 
 
+def sounds(rows: DataFrame, keywords: str = "keywords", answer: str = "answer") -> DataFrame:
+    """`rows` with sounds: the ratio of each keyword (array of words) with the answer, both in their phonetic form."""
+    held = rows.withColumn("_k", F.transform(keywords, lambda k: F.lower(sheets.phonetic(k)))).withColumn("_a", F.lower(sheets.phonetic(F.col(answer))))
+    return held.withColumn("sounds", fuzzy.ratios("_k", "_a")).drop("_k", "_a")
+
+
 def contradiction(answer: Column, model: Column, judge: Callable[[Column, Column], Column] | None = None) -> Column:
     """How much an answer contradicts the model answer, 0 to 1, by `judge`; 0 if there is none, a text is blank or it fails (null)."""
     if judge is None:
@@ -124,6 +130,16 @@ def totals(rows: DataFrame, keys: list[str]) -> DataFrame:
     return sums.withColumn("percentage", F.when(F.col("max_total_marks") > 0, F.round(F.col("total_marks") / F.col("max_total_marks") * 100, 1)).otherwise(0.0))
 
 
+def observed(rows: DataFrame, score: str = "rounded_score") -> tuple[DataFrame, Observation]:
+    """`rows` of whole evaluations, and an observation of them that the first job which reads them fills: n, mean, low, high and
+    deviation (of the population) of the score, n_irrelevant, n_partial, n_contradicting (0.5 or more) and n_unevaluable (null score).
+    No second pass over the rows is needed. `Observation.get` waits for that job."""
+    seen, c = Observation(), F.col(score)
+    counted = {"n_irrelevant": F.col("is_irrelevant"), "n_partial": F.col("is_partially_relevant"), "n_contradicting": F.col("contradiction_score") >= 0.5, "n_unevaluable": c.isNull()}
+    figures = [F.count("*").alias("n"), F.avg(c).alias("mean"), F.min(c).alias("low"), F.max(c).alias("high"), F.stddev_pop(c).alias("deviation")]
+    return rows.observe(seen, *figures, *(F.count_if(x).alias(k) for k, x in counted.items())), seen
+
+
 def console(rows: DataFrame, labels: dict[str, str]) -> DataFrame:
     """line: each row as a block of "label : value" lines, labels padded to 38; a null value as "-"."""
     return rows.select(F.concat_ws("\n", *(F.concat(F.lit(f"  {label:<38}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c, label in labels.items())).alias("line"))

@@ -9,8 +9,8 @@ from ..functions.text import exact_key, preprocess
 
 BANDS = ("irrelevant", "partial", "relevant")
 BLOCK = 512
-BANK_ROWS = 20_000
-BANK_WORDS = 200_000
+#: Keywords and bytes of them in one automaton.
+BANK_WORDS, BANK_BYTES = 200_000, 16 << 20
 AT_ONCE = 256
 
 
@@ -279,18 +279,27 @@ def with_margin(found: DataFrame, threshold: float = 0.75, margin: float = 0.08)
     return found.withColumn("verdict", verdict)
 
 
-def coverage(answers: DataFrame, bank: DataFrame) -> DataFrame:
+def coverage(answers: DataFrame, bank: DataFrame, cuts: int | None = None) -> DataFrame:
     """item_id, doc_id, n_keywords, n_found: for each answer (doc_id, body) and entry (item_id, kws) how many of the entry's
     keywords, repeats counted, the body holds as substrings; pairs without any are left out.
 
-    A bank of BANK_ROWS entries and BANK_WORDS keywords at most (both counted) becomes one automaton that every task builds:
-    a body is read once, whatever the number of keywords, and nothing is shuffled. A larger bank is paired with the answers."""
-    rows, words = bank.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("kws"), F.lit(0))), F.lit(0))).first()
-    if rows > BANK_ROWS or words > BANK_WORDS:
-        both = F.arrays_zip(F.col("kws").alias("k"), F.array_repeat("body", F.size("kws")).alias("body"))  # the lambda refers to its variable only
-        found = F.size(F.filter(both, lambda x: F.contains(x["body"], x["k"]))).cast("long")
-        return answers.crossJoin(bank).select("item_id", "doc_id", F.size("kws").cast("long").alias("n_keywords"), found.alias("n_found")).where("n_found > 0")
-    entries = [(r.item_id, [k for k in r.kws or () if k is not None], len(r.kws or ())) for r in bank.select("item_id", "kws").collect()]
+    The bank is cut into parts of some BANK_WORDS keywords and BANK_BYTES bytes (counted), by a hash of the entries' numbers; an
+    entry stays whole. Each part becomes one automaton that every task builds, and reads a body once whatever the number of
+    keywords; nothing is paired or shuffled. A bank of one part, as most are, reads the bodies once."""
+    sizes = bank.agg(F.coalesce(F.sum(F.greatest(F.size("kws"), F.lit(1))), F.lit(0)), F.coalesce(F.sum(F.octet_length(F.array_join("kws", ""))), F.lit(0))).first()
+    n = cuts or max(1, -(-sizes[0] // BANK_WORDS), -(-sizes[1] // BANK_BYTES))
+    part = F.pmod(F.xxhash64("item_id"), F.lit(n))
+    out = None
+    for k in range(n):
+        entries = [(r.item_id, [k for k in r.kws or () if k is not None], len(r.kws or ())) for r in bank.where(part == k).select("item_id", "kws").collect()]
+        if entries or out is None:
+            found = _covered(answers, entries)
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _covered(answers: DataFrame, entries: list) -> DataFrame:
+    """`coverage` for entries (item_id, keywords, their number with nulls) on the driver."""
 
     def run(batches):
         from collections import Counter

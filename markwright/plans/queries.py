@@ -282,6 +282,30 @@ def repaired_text(spark, d):
     return t(spark, d, "documents").select("doc_id", sheets.repaired(F.col("text")).alias("repaired"))
 
 
+def sounded_sql(c: str) -> str:
+    """The phonetic form in SQL, which has no look-ahead: the vowel a is put after every consonant, then signs and viramas take it away."""
+    letters = "".join(sheets.CONSONANTS)
+    out = c
+    for two, one in sheets.TWO_MARKS.items():
+        out = f"replace({out}, '{two}', '{one}')"
+    out = f"regexp_replace({out}, '([{letters}])', '\\1a', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, 'a{sheets.VIRAMA}', '', 'g'), 'a([{''.join(sheets.SIGNS)}])', '\\1', 'g')"
+    for letter, latin in (sheets.CONSONANTS | sheets.VOWELS | sheets.SIGNS).items():
+        out = f"replace({out}, '{letter}', '{latin}')"
+    return out
+
+
+TAMIL_WORDS = [*sheets.ROMANISED.values(), *sheets.QUESTION_WORDS]
+TAMIL_LIST = "[" + ", ".join(f"'{w}'" for w in TAMIL_WORDS) + "]"
+
+
+@query(f"SELECT doc_id, {sounded_sql(f"text || ' ' || ({TAMIL_LIST})[CAST(doc_id % {len(TAMIL_WORDS)} + 1 AS INT)]")} AS sounds FROM documents")
+def phonetic_form(spark, d):
+    """Each document, with a Tamil word after it (the texts have none), in its phonetic form."""
+    word = F.get(F.array(*map(F.lit, TAMIL_WORDS)), (F.col("doc_id") % len(TAMIL_WORDS)).cast("int"))
+    return t(spark, d, "documents").select("doc_id", sheets.phonetic(F.concat("text", F.lit(" "), word)).alias("sounds"))
+
+
 # Joins
 
 PAIRS = """q AS (SELECT conv_id, turn AS qno, text AS question, turn AS pos FROM conversations WHERE role = 'user'),

@@ -52,8 +52,9 @@ def bank_or_none(spark: SparkSession, path: str) -> DataFrame:
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """entry, question, model_answer, keywords, concepts, max_marks, answer_pos, answer, marks: a row for each student's answer of
-    a dataset, a JSON array a file. An older entry has one answer with its expected marks. Entries that lack a required
-    field, have no answers' field, or an answer without its text, are a ValueError that names the first of them."""
+    a dataset, a JSON array a file. An older entry has one answer with its expected marks. An entry that lacks a required
+    field, has no answers' field, or an answer without its text, fails the query that reads it, with an error that names it: the check
+    is part of the plan, so the files are read once, and answers can't be read without it."""
     v = _entries(spark, path)
     lacking = missing_fields(F.map_keys(_object("v")), REQUIRED)
     both = lambda p, kind: F.try_variant_get("v", p, kind)
@@ -61,11 +62,11 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     older = F.array_contains(F.map_keys(_object("v")), "student_answer")
     rows = v.select("*", lacking.alias("lacking"), answers.alias("answers"), older.alias("older"))
     rows = rows.withColumn("wrong", F.when(F.size("lacking") > 0, F.concat(F.lit("lacks "), F.array_join("lacking", ", "))).when(F.col("answers").isNull() & ~F.col("older"), "has no answers").when(F.exists("answers", lambda a: ~F.array_contains(F.map_keys(F.try_variant_get(a, "$", "map<string,variant>")), "answer")), "has an answer without text"))
-    if bad := rows.where("wrong IS NOT NULL").orderBy("bank_pos").first():
-        raise ValueError(f"entry {bad.bank_pos} {bad.wrong}")
     one = lambda text, marks: F.struct(text.alias("answer"), marks.alias("marks"))
     given = F.transform("answers", lambda a: one(F.try_variant_get(a, "$.answer", "string"), F.try_variant_get(a, "$.marks", "double")))
     given = F.coalesce(given, F.array(one(both("$.student_answer", "string"), both("$.expected_marks", "double"))))
+    error = F.raise_error(F.concat(F.lit("entry "), F.col("bank_pos").cast("string"), F.lit(" "), F.col("wrong")))
+    given = F.when(F.col("wrong").isNotNull(), error.cast("array<struct<answer: string, marks: double>>")).otherwise(given)
     rows = rows.select(F.col("bank_pos").alias("entry"), *_bank_columns(), given.alias("given"))
     return rows.select("*", F.posexplode("given").alias("answer_pos", "a")).select("*", "a.answer", "a.marks").drop("given", "a")
 
@@ -84,6 +85,15 @@ def read_records(spark: SparkSession, path: str, label: str, text: str) -> DataF
     return _entries(spark, path).select(F.col("bank_pos").alias("pos"), get("$.qno").alias("qno"), get(f"$.{text}").alias(text))
 
 
+def read_mapped(spark: SparkSession, questions: str, answers: str) -> DataFrame:
+    """qno, question, answer, status, side, pos: two files, of questions and of answers (JSON arrays of records with qno), matched by
+    number as `records.mapped` does; in the order of side and pos questions come first, then answers without one."""
+    from ..operators.records import mapped
+
+    one = lambda path, label, text: read_records(spark, path, label, text).withColumn("_sheet", F.lit(0))
+    return mapped(one(questions, "Questions", "question"), one(answers, "Answers", "answer"), "_sheet").drop("_sheet")
+
+
 def checked_bank(bank: DataFrame) -> DataFrame:
     """The bank, if no entry lacks its question or model answer."""
     if bad := bank.where("question = '' OR model_answer = ''").count():

@@ -48,3 +48,13 @@ def test_functions(spark):
     r = spark.range(1).select(scoring.clamp(null, 0.0, 1.0), scoring.scaled(null, F.lit(5)), scoring.final_marks(null, F.lit(1.0), F.lit(True)), scoring.length_factor(F.lit(None).cast("int"), F.lit(5)), scoring.length_adjustment(null), scoring.confidence_adjustment(F.lit(3.0), null), scoring.raw_score(F.lit(1.0), null, F.lit(1.0), F.lit(0.0))).first()
     assert tuple(r) == (None,) * 7
     assert spark.range(1).select(scoring.band(null, F.lit(9))).first()[0] == "unevaluable"
+
+
+def test_observed(spark):
+    """Figures of the rows come with the job that writes them."""
+    rows = spark.createDataFrame([(4.0, False, False, 0.5), (1.0, False, True, 0.1), (0.0, True, False, 0.0), (None, False, False, None)], "rounded_score double, is_irrelevant boolean, is_partially_relevant boolean, contradiction_score double")
+    out, seen = evaluate.observed(rows)
+    assert len(out.collect()) == 4
+    got = seen.get
+    assert (got["n"], got["n_irrelevant"], got["n_partial"], got["n_contradicting"], got["n_unevaluable"], got["low"], got["high"]) == (4, 1, 1, 1, 1, 0.0, 4.0)
+    assert abs(got["mean"] - 5 / 3) < 1e-12 and abs(got["deviation"] - (26 / 9) ** 0.5) < 1e-12
