@@ -80,7 +80,7 @@ def test_coverage(spark, monkeypatch):
     bank = spark.createDataFrame([(1, ["water", "ater", "air", "water"]), (2, []), (3, None), (4, ["", "fire"]), (5, ["earth", None])], "item_id long, kws array<string>")
     want = [(1, 1, 4, 4), (4, 1, 2, 1), (4, 2, 2, 1), (4, 4, 2, 2)]
     assert sorted(map(tuple, match.coverage(answers, bank).collect())) == want
-    monkeypatch.setattr(match, "BANK_ROWS", 1)
+    monkeypatch.setattr(match, "BANK_WORDS", 2)  # several parts
     assert sorted(map(tuple, match.coverage(answers, bank).collect())) == want
     assert match.coverage(answers.limit(0), bank).count() == 0
 
