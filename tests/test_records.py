@@ -42,8 +42,7 @@ def test_mapped(spark):
 
 
 def test_bank_match(spark):
-    bank = spark.createDataFrame([(0, "What is it?", [1.0, 0.0]), (1, "what  is it", [0.0, 1.0]), (2, "other", [0.6, 0.8]), (3, "far", [-1.0, 0.0]), (4, None, [-0.99, 0.1])]  # an entry without a question is none
-    "bank_pos int, question string, vector array<double>")
+    bank = spark.createDataFrame([(0, "What is it?", [1.0, 0.0]), (1, "what  is it", [0.0, 1.0]), (2, "other", [0.6, 0.8]), (3, "far", [-1.0, 0.0]), (4, None, [-0.99, 0.1])], "bank_pos int, question string, vector array<double>")
     q = spark.createDataFrame([(10, " WHAT is it. ", [0.0, 1.0]), (11, "new", [-0.99, 0.1]), (12, "between", [0.3, 0.95]), (13, None, [0.1, -1.0])], "q_id int, question string, vector array<double>")
     got = {r.q_id: (r.bank_pos, r.how) for r in match.bank_match(q, bank).collect()}
     assert got == {10: (0, "exact"), 11: (3, "nearest"), 12: (None, "none"), 13: (None, "none")}
