@@ -192,4 +192,5 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests. Null texts are empty; rows that repeat are encoded each."""
     return digests(read(spark, sf_dir, "documents"))

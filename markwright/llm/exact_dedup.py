@@ -74,6 +74,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its equals. Null texts count as empty, of equal ids the rows stay apart, empty tables give none."""
     return groups(read(spark, sf_dir, "documents"), all_hashes=True)
 
 

@@ -81,6 +81,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) ->
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of the mix over all `documents`; taken is size times copies. Nulls, repeats and empty tables as in `plan`."""
     p = plan(read(spark, sf_dir, "documents"))
     return p.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 

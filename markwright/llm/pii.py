@@ -146,6 +146,7 @@ def redact(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the counts and places of personal data in its whole text. Null texts have none."""
     def work(rows):
         for doc_id, text in rows:
             found = spans_of(text)

@@ -171,4 +171,5 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its statistics and verdicts. Null texts have no words and fail the base rules; other columns are not read."""
     return judge(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

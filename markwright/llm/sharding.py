@@ -108,5 +108,6 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard by the law `bytes`; equal texts go together. Null texts have no bytes; other columns are not read."""
     out = assign(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -105,4 +105,5 @@ def classes(docs: DataFrame, width: int = SHINGLE, hot: int = HOT) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the smallest id it is linked to. Null and empty texts have the fingerprint zero, linked like any other."""
     return classes(read(spark, sf_dir, "documents"))

@@ -307,6 +307,7 @@ def strip(docs: DataFrame) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`strip` of all `documents`, with a digest of the words that stay; nulls, repeats and empty tables as there."""
     docs = read(spark, sf_dir, "documents")
 
     def work(rows):

@@ -219,5 +219,6 @@ def chain_labels(labels: DataFrame) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the chain's odds and verdict; nulls, copies and empty tables as in `fit` and the functions it calls."""
     docs = read(spark, sf_dir, "documents")
     return score(docs, fit(docs, chain_labels(read(spark, sf_dir, "labels"))))

@@ -219,6 +219,7 @@ def read_back(wanted: DataFrame, files: list[tuple]) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a record, found again by the index and read back. Null html is empty; rows that share id and URL all come back."""
     pages = read(spark, sf_dir, "pages")
     return read_back(pages, index(write(pages)))
 
