@@ -1,7 +1,11 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Words are counted per source, targets are set from weights, and a document of a source with the repetition rate r (its
-target / its size) is emitted floor(r) times, plus once more if a coin seeded by its id falls below r - floor(r).
+target / its size) is emitted floor(r) times, plus once more if a coin seeded by its id falls below r - floor(r). Coins of
+texts of very unequal sizes may leave a source far from its target, so the threshold of its coins isn't r - floor(r) itself but
+the coin nearest to it in words: in the order of their coins, texts are copied as long as the middle of the text lies within
+the words that are to be copied. That is off by half a text at most (texts of one id count as one), and the more texts a
+source has, the nearer is its threshold to r - floor(r).
 The table of sources is small beside the documents (one row a source); it is joined without a hint, so that Spark
 broadcasts it only below its own size threshold and else splits the hot source's partition (adaptive skew join).
 """
@@ -12,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name, read, settle
+from .common import WORD, free_name, read, settle, with_sums
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -53,30 +57,52 @@ def coin(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def rate_of(target: Column, source_size: Column) -> Column:
+    return F.when(source_size > 0, target / source_size).otherwise(F.lit(0.0))
+
+
+def thresholds(per: DataFrame, coins: DataFrame, most: int = MOST) -> DataFrame:
+    """`per` (source, source_size, target; settled) with `floor`, the copies of every document of the source, and `below`, the
+    largest coin that gives one more (null: none). coins: source, coin, size of each document.
+
+    Sums over all documents in the order of source and coin are made in ranges (`with_sums`), so a hot source is spread."""
+    each = coins.groupBy("source", "coin").agg(F.sum("size").alias("size"))
+    summed = settle(with_sums(each, ["source", "coin"], {"upto": F.col("size")}))
+    starts = summed.groupBy("source").agg(F.min(F.col("upto") - F.col("size")).alias("start"))
+    rate = rate_of(F.col("target"), F.col("source_size"))
+    p = per.join(starts.withColumnRenamed("source", "start_of"), F.col("source").eqNullSafe(F.col("start_of")))
+    p = settle(p.select("source", "source_size", "target", "start", F.least(F.floor(rate), F.lit(most)).cast("long").alias("floor"), ((rate - F.floor(rate)) * F.col("source_size")).alias("more")))
+    chosen = summed.join(p.select(F.col("source").alias("key"), "start", "more"), F.col("source").eqNullSafe(F.col("key")))
+    chosen = chosen.where((F.col("more") > 0) & ((2 * (F.col("upto") - F.col("start")) - F.col("size")).cast("double") <= 2 * F.col("more")))
+    chosen = chosen.groupBy("source").agg(F.max("coin").alias("below"))
+    return p.join(chosen.withColumnRenamed("source", "key"), F.col("source").eqNullSafe(F.col("key")), "left").select("source", "source_size", "target", "floor", "below")
+
+
+def copies_of(floor: Column, toss: Column, below: Column, most: int) -> Column:
+    return F.least(floor + F.coalesce(toss <= below, F.lit(False)).cast("long"), F.lit(most)).cast("long")
+
+
 def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """One row for each document: doc_id, source, size (words), source_size, target, copies.
 
     A null text has size 0; a null source is a source of its own; rows that repeat an id share its coin. Empty in, empty out."""
-    sized = settle(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    per = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    sized = settle(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), coin(F.col("doc_id"), seed).alias("coin")))
+    per = settle(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
+    per = settle(thresholds(per, sized, most))
     joined = sized.alias("d").join(per.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + (coin(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return joined.select("doc_id", "d.source", "size", "source_size", "target", F.least(copies, F.lit(most)).cast("long").alias("copies"))
+    return joined.select("doc_id", "d.source", "size", "source_size", "target", copies_of(F.col("floor"), F.col("coin"), F.col("below"), most).alias("copies"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mix itself: each row of `docs`, with all its columns, as many times as its source's rate and its coin say.
 
-    The texts are neither shuffled nor sorted: only the table of sources is joined to them."""
-    n, = free_name(docs, "mix_size")
-    sized = docs.withColumn(n, n_words(F.col("text")))
-    sizes = sized.groupBy("source").agg(F.sum(n).alias("source_size"))
-    key, size, target, times = free_name(sized, "mix_source", "mix_source_size", "mix_target", "mix_copy")
-    per = settle(targets(sizes, weights, most)).toDF(key, size, target)
-    rate = F.when(F.col(size) > 0, F.col(target) / F.col(size)).otherwise(F.lit(0.0))
-    copies = F.least(F.floor(rate) + (coin(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long"), F.lit(most))
-    joined = docs.join(per, docs["source"].eqNullSafe(per[key])).withColumn(times, copies.cast("int"))
+    The texts are neither shuffled nor sorted: only the table of sources is joined to them, and sums are made of sizes and
+    coins. Nulls, repeats and empty tables as in `plan`; names of columns may clash with none of the operator's own."""
+    sized = settle(docs.select("source", n_words(F.col("text")).alias("size"), coin(F.col("doc_id"), seed).alias("coin")))
+    per = settle(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
+    key, floor, below, times = free_name(docs, "mix_source", "mix_floor", "mix_below", "mix_copy")
+    per = settle(thresholds(per, sized, most)).select("source", "floor", "below").toDF(key, floor, below)
+    joined = docs.join(per, docs["source"].eqNullSafe(per[key])).withColumn(times, copies_of(F.col(floor), coin(F.col("doc_id"), seed), F.col(below), most).cast("int"))
     return joined.where(F.col(times) > 0).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
@@ -95,8 +121,12 @@ b AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVE
   FROM l WINDOW q AS (ORDER BY level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT arg_min(left_ / left_weight, level) AS share FROM b WHERE left_ < level * left_weight),
 t AS (SELECT source, source_size, CASE WHEN share IS NULL OR level <= share THEN cap ELSE share * weight END AS target FROM b, f),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
   CAST(CAST('0x' || md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':{SEED}')[1:13] AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS coin
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, size * CAST(least(floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken FROM r
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT source, coin, sum(size) AS size, any_value((rate - floor(rate)) * source_size) AS more FROM r GROUP BY source, coin),
+o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY coin) AS upto FROM e),
+h AS (SELECT source, max(coin) AS below FROM o WHERE more > 0 AND CAST(2 * upto - size AS DOUBLE) <= 2 * more GROUP BY source)
+SELECT doc_id, size, source_size, target, size * CAST(least(floor(rate) + CASE WHEN coin <= below THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken
+FROM r LEFT JOIN h ON r.source IS NOT DISTINCT FROM h.source
 """

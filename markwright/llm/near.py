@@ -6,7 +6,10 @@ is cut into eight segments of 32 bits. Each text lists, for each segment, the po
 its value, so two texts whose values of some segment are at most two bits apart meet in a point. An edit in one place changes
 as many word pairs as shingles but leaves one end of the text as it was, so the ends are segments too, with a ball of radius
 0: the first and the last q words, q being the largest power of two in half the text, its half and its quarter (LEAST_PART
-words at least). Texts with one contiguous edit always share one of them.
+words at least). Texts with one contiguous edit always share one of them. Edits at both ends leave the middle, so runs of
+words that begin where the text itself says are points as well: of all places a run can begin at, the one whose first words
+have the smallest hash, by ANCHORS hashes. A run has about a tenth of the text's words: numbers of shingles are cut into classes
+by the similarity, a text lists runs for its class and the next one, and two texts of similarity 0.8 have one class in common.
 
 Comparison. In each point every text is compared with the point's first one: by the complete distance (RADIUS bits) and a
 bound on the similarity from the parity bits of their sets, which no similar pair fails, then by the exact Jaccard
@@ -25,6 +28,7 @@ from .common import BROADCAST_ROWS, map_rows, parts, settle, spread_join
 from .components import components
 
 WIDTH, SEGMENTS, RADIUS, LEAST_PART = 5, 8, 60, 8
+ANCHORS, ANCHOR_SHARE = 4, 10
 WORDS = [f"b{k}" for k in range(SEGMENTS // 2)]
 PARITY = [f"x{k}" for k in range(8)]
 AT_ONCE = 1 << 15
@@ -97,6 +101,27 @@ def ends(hashes) -> list[int]:
     return out
 
 
+def anchors(hashes, n: int) -> list[int]:
+    """Hashes of runs that begin at content-defined places, for a text with these words and `n` shingles; marked as `ends` are."""
+    import math
+
+    import numpy as np
+    import xxhash
+
+    level = int(math.log(n, 1.25) + 1e-9) if n else 0
+    lengths = {k: max(LEAST_PART, int(1.25**k / ANCHOR_SHARE)) for k in (level, level + 1)}
+    starts, width, out = np.zeros(len(hashes), np.uint64), min(4, len(hashes)), []
+    for k in range(width):
+        starts[: len(hashes) - width + 1] = _mix(starts[: len(hashes) - width + 1] + np.uint64(0x9E3779B97F4A7C15)) ^ hashes[k : len(hashes) - width + 1 + k]
+    for seed in range(ANCHORS):
+        by = _mix(starts + np.uint64((seed + 1) * 0xD1342543DE82EF95 % (1 << 64)))
+        for k, size in lengths.items():
+            if size <= len(hashes):
+                at = int(by[: len(hashes) - size + 1].argmin())
+                out.append(xxhash.xxh64_intdigest(hashes[at : at + size].tobytes(), 1000 * (k + 1) + seed) >> 2 | 1 << 62)
+    return out
+
+
 def fingerprint(hashes) -> list[int]:
     """The 256 bits as four signed numbers."""
     import numpy as np
@@ -114,7 +139,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         for doc_id, text in rows:
             hashes = word_hashes(text)
             found = shingles(hashes, width)
-            yield doc_id, set_hash(found), len(found), *fingerprint(hashes), *parity(found), ends(hashes)
+            yield doc_id, set_hash(found), len(found), *fingerprint(hashes), *parity(found), [*ends(hashes), *anchors(hashes, len(found))]
 
     return map_rows(docs.select("doc_id", "text"), work, f"doc_id long, sig long, n long, {', '.join(f'{b} long' for b in (*WORDS, *PARITY))}, ends array<long>")
 

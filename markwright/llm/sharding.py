@@ -5,12 +5,13 @@ capacity is found by binary search. Every check is a chain of lookups "last grou
 of sizes, so the driver needs the sums near the cuts alone. It first gets the largest group end in each of BLOCKS equal
 ranges of bytes. Between two known ends an unknown one may lie: taking the lower end or x itself bounds the true chain on
 both sides, and so the capacity. Ranges that a chain within these bounds can hit are cut into BLOCKS finer ranges and asked
-for again, until none is open; the answer is exact. The driver holds some 10 x BLOCKS numbers however many groups there are.
+for again, until none is open; the answer is exact. Cuts are then moved among the known ends so that shards below that capacity
+are near equal too (`even`), without asking again. The driver holds some 10 x BLOCKS numbers however many groups there are.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +50,32 @@ def smallest(ends: list[int], open_after, shards: int, low: int, hopeful: bool)
     return low
 
 
+def even(ends: list[int], shards: int, capacity: int) -> list[int]:
+    """Where each shard ends, from 0, with shards of at most `capacity` (which must suffice) of near equal sizes: each shard is
+    filled to the known end nearest to an equal share of what is left, the lower of two, but at least so far that the shards
+    after it can take the rest, and no further than the capacity. ends: sorted known group ends."""
+    least = [ends[-1]]
+    for _ in range(shards - 1):
+        x = least[-1] - capacity
+        least.append(0 if x <= 0 else ends[bisect_left(ends, x)])
+    at, out = 0, []
+    for left, low in zip(range(shards, 0, -1), reversed(least), strict=True):
+        a, b = bisect_left(ends, max(low, at)), bisect_right(ends, at + capacity)
+        want = at + (ends[-1] - at) / left
+        k = min(max(bisect_left(ends, want), a), b)
+        at = min([at] * (low <= at) + ends[max(a, k - 1) : min(b, k + 1)], key=lambda e: (abs(e - want), e))
+        out.append(at)
+    return out
+
+
 def cuts(group_ends: DataFrame, shards: int, largest: int, total: int, blocks: int = BLOCKS) -> list[int]:
-    """The group end at which each shard ends. group_ends: `end`, the running sum at each group's end, all different."""
+    """The group end at which each shard ends, each as far as the smallest capacity allows. group_ends: `end`, the running sum at each group's end, all different."""
+    ends, capacity = search(group_ends, shards, largest, total, blocks)
+    return greedy(ends, {}, capacity, shards, hopeful=False)
+
+
+def search(group_ends: DataFrame, shards: int, largest: int, total: int, blocks: int = BLOCKS) -> tuple[list[int], int]:
+    """Known group ends, those of the greedy chain among them, and the smallest capacity that `shards` shards can have."""
     known: set[int] = set()
     unknown: dict[int, int] = {}  # known end -> the next known end, where more ends lie between
     asked = [(0, total)]
@@ -79,14 +104,14 @@ def cuts(group_ends: DataFrame, shards: int, largest: int, total: int, blocks: i
                 if ends[k] in unknown:
                     hit[ends[k]] = unknown[ends[k]]
         asked = sorted(hit.items())
-    return greedy(ends, set(), low, shards, hopeful=False)
+    return ends, low
 
 
 def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     """One row for each document: doc_id, size (UTF-8 bytes of the text, null: none, plus 16), text_crc32, shard, slot.
 
     Groups (equal texts; null is a text of its own kind, equal to the empty one) stay whole, in the order of their smallest
-    id, documents in a group by id. The largest shard is as small as contiguous shards of whole groups allow. slot counts
+    id, documents in a group by id. The largest shard is as small as contiguous shards of whole groups allow, and within that the others are filled evenly. slot counts
     within a shard from 0. Rows that repeat an id stand next to each other. With fewer groups than shards some are empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = settle(docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), sha256(text).alias("key")))
@@ -100,7 +125,8 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     order = ["first_id", "key", "doc_id"]
     summed = settle(with_sums(placed, order, {"upto": F.col("size"), "place": F.lit(1)}))
     ends = settle(summed.groupBy("key").agg(F.max("upto").alias("end")).select("end"))
-    at = cuts(ends, shards, largest, total)
+    known, capacity = search(ends, shards, largest, total)
+    at = even(known, shards, capacity)
     shard = sum(((F.col("upto") > F.lit(c)).cast("int") for c in at[:-1]), F.lit(0))
     out = summed.withColumn("shard", shard)
     starts = out.groupBy("shard").agg((F.min("place")).alias("start"))  # at most `shards` rows

@@ -89,6 +89,45 @@ def test_near_contiguous_edits(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def edited(kind, base, size, r):
+    """`base` with `size` words edited."""
+    new, n, a, b = (lambda k: [f"z{r.random()}" for _ in range(k)]), len(base), (size + 1) // 2, size // 2
+    c, mid = max(1, size // 3), n // 2
+    if kind == "scattered":
+        gone = set(random.Random(n).sample(range(n), size))
+        return [f"z{r.random()}" if k in gone else w for k, w in enumerate(base)]
+    return {
+        "both ends replaced": lambda: new(a) + base[a : n - b] + new(b),
+        "both ends longer": lambda: new(a) + base + new(b),
+        "both ends shorter": lambda: base[a : n - b],
+        "ends and middle": lambda: new(c) + base[c:mid] + new(c) + base[mid + c : n - c] + new(c),
+    }[kind]()
+
+
+def test_near_other_edits(spark):
+    """Pairs just over 0.8 with edits at both ends, in three places or anywhere: at least 0.97 of each kind are found, no link is made up."""
+    r, rows, kinds = random.Random(9), [], []
+    for kind in ("both ends replaced", "both ends longer", "both ends shorter", "ends and middle", "scattered"):
+        for n in (60, 150, 400, 1000):
+            for _ in range(60):
+                base, other = [f"w{r.randint(0, 3000)}" for _ in range(n)], None
+                for size in range(1, n):
+                    w = edited(kind, base, size, r)
+                    sets = [set(near.shingles(near.word_hashes(" ".join(x)), 5).tolist()) for x in (base, w)]
+                    if 10 * len(sets[0] & sets[1]) < 8 * len(sets[0] | sets[1]):
+                        break
+                    other = w
+                if other:
+                    rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+                    kinds.append(kind)
+    got = {x.doc_id: x.component_id for x in near.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(c in (i, i - i % 2) for i, c in got.items())
+    found = [got[2 * k + 1] == 2 * k for k in range(len(kinds))]
+    for kind in set(kinds):
+        of = [f for f, k in zip(found, kinds, strict=True) if k == kind]
+        assert len(of) > 150 and sum(of) >= 0.97 * len(of)
+
+
 def test_chain_hands_on_unseen_odds():
     """The odds of a fold come from features and weights that its rows and labels had no part in."""
     r = np.random.default_rng(0)

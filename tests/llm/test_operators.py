@@ -59,6 +59,15 @@ def test_mixing(docs, empty):
             left -= target[s]
             open_.remove(s)
     assert all(abs(target[s] - sizes[s][1]) < 1e-6 for s in order)
+    taken, most = dict.fromkeys(order, 0), dict.fromkeys(order, 0)
+    by_id = {}
+    for r in rows:
+        taken[r.source] += r.size * r.copies
+        by_id[r.source, r.doc_id] = by_id.get((r.source, r.doc_id), 0) + r.size
+        most[r.source] = max(most[r.source], by_id[r.source, r.doc_id])
+        rate = target[r.source] / sizes[r.source][0] if sizes[r.source][0] else 0
+        assert r.copies in (int(rate), int(rate) + 1)
+    assert all(2 * abs(taken[s] - target[s]) <= most[s] + 1e-6 for s in order)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in rows)
     assert mixing.mix(empty).count() == 0 and mixing.plan(empty).count() == 0
@@ -104,6 +113,20 @@ def test_sharding(docs, empty, shards):
     assert sharding.assign(empty).count() == 0
 
 
+def test_sharding_even_sizes():
+    r = random.Random(3)
+    for _ in range(300):
+        sizes, shards = [r.choice((1, 5, 60)) for _ in range(r.randint(1, 60))], r.randint(1, 12)
+        ends = np.cumsum(sizes).tolist()
+        capacity = sharding.smallest(ends, {}, shards, max(max(sizes), -(-ends[-1] // shards)), False)
+        at = sharding.even(ends, shards, capacity)
+        loads = np.diff([0, *at])
+        assert len(at) == shards and at[-1] == ends[-1] and set(at) <= {0, *ends}
+        assert loads.min() >= 0 and loads.max() == capacity
+    ends = np.cumsum([10] * 41 + [30]).tolist()
+    assert sorted(np.diff([0, *sharding.even(ends, 4, 150)]).tolist()) == [110, 110, 110, 110]
+
+
 def test_sharding_cuts_small_blocks(spark):
     sizes = np.random.default_rng(1).integers(1, 500, 3000)
     ends = spark.createDataFrame([(int(e),) for e in np.cumsum(sizes)], "end long")

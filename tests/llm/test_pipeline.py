@@ -62,10 +62,13 @@ def plain_mix(rows):
         target |= {s: 3 * sizes[s] if over else weight[s] * share for s in over or open_}
         left -= sum(3 * sizes[s] for s in over)
         open_ = [s for s in open_ if s not in over] if over else []
-    for i, t, s in rows:
-        rate = target.get(s, 0) / sizes[s] if sizes[s] else 0
-        coin = int(hashlib.md5(f"{i}:mix-1".encode()).hexdigest()[:13], 16) / 2**52
-        yield from [(i, t)] * (int(rate) + (coin < rate - int(rate)))
+    coin = lambda i: int(hashlib.md5(f"{i}:mix-1".encode()).hexdigest()[:13], 16) / 2**52
+    gone = dict.fromkeys(sizes, 0)
+    for i, t, s in sorted(rows, key=lambda r: coin(r[0])):
+        rate, n = target.get(s, 0) / sizes[s] if sizes[s] else 0, len(WORD.findall(t or ""))
+        more = (rate - int(rate)) * sizes[s]
+        yield from [(i, t)] * (int(rate) + (more > 0 and gone[s] + n / 2 <= more))
+        gone[s] += n
 
 
 def test_run_against_plain_python(spark, tmp_path):
