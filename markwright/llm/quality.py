@@ -1,17 +1,18 @@
 """Quality rules: base rules, and robust multivariate outliers by minimum-covariance-determinant (MCD) estimates.
 
-DataFrame functions only. Of each group of language and source (pooled by language, then over all, where these are too small
-for an estimate of their own), the estimate seeks the share SHARE of documents whose
+DataFrame functions only. For each group of language and source, for each language and for all documents, the estimate seeks
+the share SHARE of documents whose
 statistics have the covariance of the least determinant. From two starts (sum and largest of the distances from the median in
 units of the median absolute deviation) STEPS concentration steps follow: take the documents of the smallest distances, set
-mean and covariance anew, measure distances again. The start that ends with the smaller determinant counts. A document is
+mean and covariance anew, measure distances again. The start that ends with the smaller determinant counts. Every group is
+judged by its own estimate, blended with its language's and that of all by n / (n + PRIOR), so no verdict depends on which side
+of a limit the size of its group is. A document is
 rejected if its squared Mahalanobis distance passes CUT, the 1 - TAIL quantile of chi-square, the covariance being scaled to
 be right for normal data.
 
 Documents are read once, into a narrow table of statistics. A step is two aggregations over it with partial sums on the map
 side: mean and covariance, and a percentile of distances in fixed classes (1/50 of their logarithm), so buffers are bounded and
-reruns agree. Tables of groups are joined without a hint: small ones are broadcast under Spark's threshold, and a hot group's
-partition can be split. The statistics are compared by 64-bit hashes of word triples within a document only.
+reruns agree. Tables of groups are broadcast where they are few; else large groups are, and only rows of the others are shuffled. The statistics are compared by 64-bit hashes of word triples within a document only.
 """
 
 from __future__ import annotations
@@ -21,12 +22,15 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, let, read, settle
+from .common import SPACES, WORD, let, read, settle, spread_join
 
 SHARE = 0.75
 STEPS = 4
 TAIL = 1e-6
-LEAST_ROWS = 60
+#: How many documents a group's own estimate needs to weigh as much as that of its language (and a language's, as that of all).
+PRIOR = 60
+#: Estimates (30 numbers a group) are broadcast up to this many groups, some 10 MB; beyond it only large groups are.
+FEW_GROUPS = 20_000
 #: The transformed statistics, and the least standard deviation that each is taken to have.
 FLOORS = {"size": 0.3, "word_length": 0.3, "symbols": 0.06, "repeats": 0.1, "lines": 0.6}
 P = len(FLOORS)
@@ -121,53 +125,67 @@ def _distance() -> Column:
     return sum((v * v for v in y), F.lit(0.0))
 
 
+def _per_group(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+    """`rows` with the columns of their group (`g`, of `n` rows): broadcast if `few`, else only the large groups are."""
+    return rows.join(F.broadcast(groups), "g").drop("n") if few else spread_join(rows, groups, "g", "n", "inner")
+
+
 def mcd(rows: DataFrame) -> DataFrame:
-    """g -> m_i, l_i_j, log_det: location and factor of the scatter for each group g of rows of g, x0.."""
+    """g -> n, m_i, c_i_j: number of rows, location and scatter of each group g of `rows` (g, x0..; settled)."""
     fine = [F.round(100 * F.col(x)) for x in X]
-    middle = rows.groupBy("g").agg(*(F.percentile(v, 0.5).alias(f"m_{i}") for i, v in enumerate(fine)))
-    middle = settle(middle.select("g", *((F.col(f"m_{i}") / 100).alias(f"m_{i}") for i in range(P))))
-    off = rows.join(middle, "g").select("g", *(F.round(100 * F.abs(F.col(x) - F.col(f"m_{i}"))).alias(x) for i, x in enumerate(X)))
+    middle = rows.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile(v, 0.5).alias(f"m_{i}") for i, v in enumerate(fine)))
+    middle = settle(middle.select("g", "n", *((F.col(f"m_{i}") / 100).alias(f"m_{i}") for i in range(P))))
+    few = middle.count() <= FEW_GROUPS
+    off = _per_group(rows, middle, few).select("g", *(F.round(100 * F.abs(F.col(x) - F.col(f"m_{i}"))).alias(x) for i, x in enumerate(X)))
     spread = off.groupBy("g").agg(*(F.percentile(x, 0.5).alias(f"s_{i}") for i, x in enumerate(X)))
-    start = settle(middle.join(spread, "g").select("g", *(f"m_{i}" for i in range(P)), *(F.greatest(0.014826 * F.col(f"s_{i}"), F.lit(f)).alias(f"s_{i}") for i, f in enumerate(FLOORS.values()))))
+    start = middle.join(spread, "g").select("g", "n", *(f"m_{i}" for i in range(P)), *(F.greatest(0.014826 * F.col(f"s_{i}"), F.lit(f)).alias(f"s_{i}") for i, f in enumerate(FLOORS.values())))
 
     z = [((F.col(x) - F.col(f"m_{i}")) / F.col(f"s_{i}")) ** 2 for i, x in enumerate(X)]
-    starts = F.explode(F.array(F.struct(F.lit("sum").alias("s"), sum(z[1:], z[0]).alias("d2")), F.struct(F.lit("max").alias("s"), F.greatest(*z).alias("d2"))))
-    measured = rows.join(start, "g").select("g", *X, starts.alias("e")).select("g", "e.s", *X, F.col("e.d2").alias("d2"))
-    both = rows.join(start.select("g"), "g").select("g", *X, F.explode(F.array(F.lit("sum"), F.lit("max"))).alias("s"))
-    for k in range(STEPS):
-        near = settle(measured.groupBy("g", "s").agg(F.percentile(_level(F.col("d2")), SHARE).alias("upto")))
-        inside = measured.join(near, ["g", "s"]).where(_level(F.col("d2")) <= F.col("upto"))
-        found = inside.groupBy("g", "s").agg(*(F.avg(x).alias(f"m_{i}") for i, x in enumerate(X)), *(F.covar_pop(X[i], X[j]).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)))
-        scaled = found.select("g", "s", *(f"m_{i}" for i in range(P)), *((F.col(f"c_{i}_{j}") * SCALE).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)))
-        estimate = settle(_cholesky(scaled))
-        measured = both.join(estimate, ["g", "s"]).select("g", "s", *X, _distance().alias("d2"))
-    return estimate.groupBy("g").agg(F.min_by(F.struct(*(c for c in estimate.columns if c not in ("g", "s"))), F.struct("log_det", "s")).alias("e")).select("g", "e.*")
-
-
-def chosen(sizes: DataFrame) -> DataFrame:
-    """g0, g1, g2, g of `sizes` (g0, its pools g1 and g2, n): the narrowest pool of LEAST_ROWS rows or more, else g2."""
-    pools = sizes.groupBy("g1").agg(F.sum("n").alias("n1"))
-    name = F.when(F.col("n") >= LEAST_ROWS, F.col("g0")).when(F.col("n1") >= LEAST_ROWS, F.col("g1")).otherwise(F.col("g2"))
-    return sizes.join(pools, "g1").select("g0", "g1", "g2", name.alias("g"))
+    found: list[DataFrame] = []
+    for name, d2 in (("sum", sum(z[1:], z[0])), ("max", F.greatest(*z))):
+        estimate = settle(start)
+        for _ in range(STEPS):
+            near = _per_group(rows, estimate, few).groupBy("g").agg(F.percentile(_level(d2), SHARE).alias("upto"))
+            inside = _per_group(rows, settle(estimate.join(near, "g")), few).where(_level(d2) <= F.col("upto"))
+            moments = inside.groupBy("g").agg(*(F.avg(x).alias(f"m_{i}") for i, x in enumerate(X)), *((F.covar_pop(X[i], X[j]) * SCALE).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)))
+            estimate = settle(_cholesky(middle.select("g", "n").join(moments, "g")))
+            d2 = _distance()
+        found.append(estimate.withColumn("s", F.lit(name)))
+    both = found[0].unionByName(found[1])
+    kept = [c for c in both.columns if c[:2] in ("m_", "c_")]
+    return both.groupBy("g", "n").agg(F.min_by(F.struct(*kept), F.struct("log_det", "s")).alias("e")).select("g", "n", "e.*")
+
+
+def blended(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """g0 -> n, m_i, l_i_j for `groups` (g0 and its pools g1, g2, all in `found`): location and scatter of a group weigh n / (n + PRIOR)
+    beside its language's, and these in the same way beside those of all."""
+    names = [c for c in found.columns if c not in ("g", "n")]
+    level = lambda k: found.select(F.col("g").alias(f"g{k}"), (F.col("n") / (F.col("n") + PRIOR)).alias(f"w{k}"), *(F.col(c).alias(f"{c}_of{k}") for c in names), *(["n"] if k == 0 else []))
+    t = groups.join(level(0), "g0").join(level(1), "g1").join(level(2).drop("w2"), "g2")
+    mix = lambda w, own, other: F.col(w) * own + (1 - F.col(w)) * other
+    t = t.select("g0", "n", *(mix("w0", F.col(f"{c}_of0"), mix("w1", F.col(f"{c}_of1"), F.col(f"{c}_of2"))).alias(c) for c in names))
+    return _cholesky(t).drop("log_det")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, the counts of statistics(), base_failed, distance (squared; null without a verdict), kept.
 
-    Estimates come from the documents that pass the base rules, by language and source (null is a value of its own); a group of
-    fewer than LEAST_ROWS such documents is judged by the estimate of all of its language, and where these are fewer too, by the
-    estimate of all languages, however few. Rows that repeat an id each get a row and count."""
+    Estimates come from the documents that pass the base rules: one for each language and source (null is a value of its own),
+    however few they are, drawn towards that of the language and that of all the more the fewer there are (`blended`). Rows that
+    repeat an id each get a row and count."""
     rows = statistics(docs).withColumn("base_failed", base_failed())
     levels = (F.to_json(F.struct(F.lit(k).alias("pool"), *c)) for k, c in enumerate((["lang", "source"], ["lang"], [])))
     rows = settle(rows.select(*(g.alias(f"g{k}") for k, g in enumerate(levels)), "*", *(v.cast("double").alias(x) for v, x in zip(vector(), X, strict=True))))
     passed = rows.where("NOT base_failed")
-    named = settle(chosen(passed.groupBy("g0", "g1", "g2").agg(F.count("*").alias("n"))))
-    own = passed.join(named.where("g = g0").select("g0", "g"), "g0").select("g", *X)
-    pooled = [passed.join(named.where(f"g = {p}").select(p, "g").distinct(), p).select("g", *X) for p in ("g1", "g2")]
-    found = settle(mcd(settle(own.unionByName(pooled[0]).unionByName(pooled[1]))))
-    out = rows.join(named.select("g0", "g"), "g0", "left").join(found, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT)
-    return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
+    pools = settle(passed.select(F.explode(F.array("g0", "g1", "g2")).alias("g"), *X))
+    own = settle(blended(settle(mcd(pools)), passed.select("g0", "g1", "g2").distinct()).withColumnRenamed("g0", "g"))
+    few = own.count() <= FEW_GROUPS
+    plain = [c for c in rows.columns if c not in ("g1", "g2")]
+    judged = _per_group(passed.select(*plain).withColumnRenamed("g0", "g"), own, few).withColumn("distance", _distance())
+    failed = rows.where("base_failed").withColumn("distance", F.lit(None).cast("double"))
+    columns = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance"]
+    out = judged.select(*columns).unionByName(failed.select(*columns))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
