@@ -126,7 +126,8 @@ def _distance() -> Column:
 
 
 def _per_group(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
-    """`rows` with the columns of their group (`g`, of `n` rows): broadcast if `few`, else only the large groups are."""
+    """`rows` with the columns of their group (`g`, of `n` rows; once for each row of `groups`): broadcast if `few`, else only the
+    large groups are."""
     return rows.join(F.broadcast(groups), "g").drop("n") if few else spread_join(rows, groups, "g", "n", "inner")
 
 
@@ -138,22 +139,21 @@ def mcd(rows: DataFrame) -> DataFrame:
     few = middle.count() <= FEW_GROUPS
     off = _per_group(rows, middle, few).select("g", *(F.round(100 * F.abs(F.col(x) - F.col(f"m_{i}"))).alias(x) for i, x in enumerate(X)))
     spread = off.groupBy("g").agg(*(F.percentile(x, 0.5).alias(f"s_{i}") for i, x in enumerate(X)))
-    start = middle.join(spread, "g").select("g", "n", *(f"m_{i}" for i in range(P)), *(F.greatest(0.014826 * F.col(f"s_{i}"), F.lit(f)).alias(f"s_{i}") for i, f in enumerate(FLOORS.values())))
+    spread = spread.select("g", *(F.greatest(0.014826 * F.col(f"s_{i}"), F.lit(f)).alias(f"s_{i}") for i, f in enumerate(FLOORS.values())))
+    starts = F.explode(F.array(F.lit("sum"), F.lit("max"))).alias("s")
+    estimate = settle(middle.join(spread, "g").select("g", "n", starts, *(f"m_{i}" for i in range(P)), *(f"s_{i}" for i in range(P))))
 
     z = [((F.col(x) - F.col(f"m_{i}")) / F.col(f"s_{i}")) ** 2 for i, x in enumerate(X)]
-    found: list[DataFrame] = []
-    for name, d2 in (("sum", sum(z[1:], z[0])), ("max", F.greatest(*z))):
-        estimate = settle(start)
-        for _ in range(STEPS):
-            near = _per_group(rows, estimate, few).groupBy("g").agg(F.percentile(_level(d2), SHARE).alias("upto"))
-            inside = _per_group(rows, settle(estimate.join(near, "g")), few).where(_level(d2) <= F.col("upto"))
-            moments = inside.groupBy("g").agg(*(F.avg(x).alias(f"m_{i}") for i, x in enumerate(X)), *((F.covar_pop(X[i], X[j]) * SCALE).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)))
-            estimate = settle(_cholesky(middle.select("g", "n").join(moments, "g")))
-            d2 = _distance()
-        found.append(estimate.withColumn("s", F.lit(name)))
-    both = found[0].unionByName(found[1])
-    kept = [c for c in both.columns if c[:2] in ("m_", "c_")]
-    return both.groupBy("g", "n").agg(F.min_by(F.struct(*kept), F.struct("log_det", "s")).alias("e")).select("g", "n", "e.*")
+    d2 = F.when(F.col("s") == "sum", sum(z[1:], z[0])).otherwise(F.greatest(*z))
+    for _ in range(STEPS):
+        near = _per_group(rows, estimate, few).groupBy("g", "s").agg(F.percentile(_level(d2), SHARE).alias("upto"))
+        limits = estimate.join(near, ["g", "s"])
+        inside = _per_group(rows, limits if few else settle(limits), few).where(_level(d2) <= F.col("upto"))
+        moments = inside.groupBy("g", "s").agg(*(F.avg(x).alias(f"m_{i}") for i, x in enumerate(X)), *((F.covar_pop(X[i], X[j]) * SCALE).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)))
+        estimate = settle(_cholesky(middle.select("g", "n").join(moments, "g")))
+        d2 = _distance()
+    kept = [c for c in estimate.columns if c[:2] in ("m_", "c_")]
+    return estimate.groupBy("g", "n").agg(F.min_by(F.struct(*kept), F.struct("log_det", "s")).alias("e")).select("g", "n", "e.*")
 
 
 def blended(found: DataFrame, groups: DataFrame) -> DataFrame:
