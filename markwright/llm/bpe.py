@@ -103,7 +103,7 @@ class Codec:
         self.pattern = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.ranks = ranks
         self.bytes_of = {r: k for k, r in ranks.items()}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}, "find": None}
@@ -114,10 +114,11 @@ class Codec:
         self.__dict__.update(state)
         self.find = regex.compile(self.pattern).finditer
 
-    def piece(self, token: str) -> list[int]:
+    def piece(self, token: str) -> bytes:
+        """The ids as an array's bytes, which take a third of a list's memory."""
         raw = token.encode()
         rank = self.table.get(raw)
-        ids = [rank] if rank is not None else merged(raw, self.ranks.get)
+        ids = array("I", [rank] if rank is not None else merged(raw, self.ranks.get)).tobytes()
         if len(self.known) >= CACHE:
             self.known.clear()
         if len(token) <= 64:
@@ -128,7 +129,7 @@ class Codec:
         ids, known, piece = array("I"), self.known, self.piece
         for m in self.find(text):
             t = m[0]
-            ids.extend(known.get(t) or piece(t))
+            ids.frombytes(known.get(t) or piece(t))
         return ids
 
     def decode(self, ids) -> bytes:

@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 50_000
 #: Groups that are broadcast to their rows: this many at most, of HOT_ROWS rows at least.
 HOT_GROUPS, HOT_ROWS = 10_000, 100
+#: Rows in an Arrow batch, at most: a batch of Spark's 10,000 is tens of MB of texts for each task, in the JVM and in Python.
+ARROW_ROWS = 1_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -107,11 +109,15 @@ def map_rows(df: DataFrame, work, schema, at_once: int = 256) -> DataFrame:
     """`work` takes an iterator over a partition's rows (tuples) and yields tuples of `schema` (DDL or a StructType); Arrow
     carries both.
 
-    At most `at_once` rows are Python objects at a time on either side, so memory follows the longest texts, not a partition."""
+    At most `at_once` rows are Python objects at a time on either side, so memory follows the longest texts, not a partition.
+    The session's Arrow batches are set to ARROW_ROWS rows (a lower limit stays), and a worker hands back what it freed."""
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(limit)) <= ARROW_ROWS:
+        conf.set(limit, ARROW_ROWS)
 
     def run(batches):
         import pyarrow as pa
@@ -120,6 +126,7 @@ def map_rows(df: DataFrame, work, schema, at_once: int = 256) -> DataFrame:
             for b in batches:
                 for at in range(0, b.num_rows, at_once):
                     yield from zip(*(c.to_pylist() for c in b.slice(at, at_once).columns), strict=True)
+                b = None  # before the next one is read
 
         def packed(full):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*full, strict=True), arrow, strict=True)], schema=arrow)
@@ -132,5 +139,7 @@ def map_rows(df: DataFrame, work, schema, at_once: int = 256) -> DataFrame:
                 full = []
         if full:
             yield packed(full)
+        full = None
+        pa.default_memory_pool().release_unused()  # the worker stays, idle, beside those of later stages
 
     return df.mapInArrow(run, schema)
