@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,8 @@ BROADCAST_ROWS = 50_000
 HOT_GROUPS, HOT_ROWS = 10_000, 100
 #: Rows in an Arrow batch, at most: a batch of Spark's 10,000 is tens of MB of texts for each task, in the JVM and in Python.
 ARROW_ROWS = 1_000
+#: 64-bit words of a filter of keys (`maybe_in`), at most: some MB to broadcast, whatever the number of keys.
+FILTER_WORDS = 1 << 17
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,6 +56,40 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def release_late(spark: SparkSession, pause: float = 1.0) -> None:
+    """`release` between large shuffles: Spark's listeners hold a query's plan until they are done with its last events, so
+    what one collection right after it misses goes in another after `pause` seconds."""
+    release(spark)
+    time.sleep(pause)
+    release(spark)
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, on: str, mark: str) -> DataFrame:
+    """`rows` with the boolean `mark`: false only where no row of `keys` has its value of `on` (not null on either side).
+
+    The values' hashes set bits in a table of FILTER_WORDS words at most, which is broadcast; rows that hit a bit by chance
+    are marked too, so what is marked still needs its join, and what isn't needs no shuffle."""
+    at, word, bits = free_name(rows, "filter_at", "filter_word", "filter_bits")
+    place = F.pmod(F.xxhash64(on), F.lit(64 * FILTER_WORDS))
+    set_ = keys.select(place.alias(at)).select(F.shiftright(at, 6).alias(word), F.expr(f"shiftleft(1L, CAST({at} & 63 AS INT))").alias(bits))
+    table = set_.groupBy(word).agg(F.bit_or(bits).alias(bits))
+    found = rows.withColumn(at, place).withColumn(word, F.shiftright(at, 6)).join(F.broadcast(table), word, "left")
+    return found.select(*rows.columns, F.coalesce(F.expr(f"getbit({bits}, CAST({at} & 63 AS INT)) = 1"), F.lit(False)).alias(mark))
+
+
+def listed_join(rows: DataFrame, lists: DataFrame, on: str, how: str, broadcast: bool) -> DataFrame:
+    """`rows` (long, costly to shuffle) joined to `lists` (settled; `on`, then a list) "left" or "inner"; no null in `on`.
+    broadcast: `lists` go to the rows. Else only rows that `maybe_in` marks are shuffled."""
+    if broadcast:
+        return rows.join(F.broadcast(lists), on, how).select(*rows.columns, *(c for c in lists.columns if c != on))
+    more, (mark,) = [c for c in lists.columns if c != on], free_name(rows, "listed")
+    marked = maybe_in(rows, lists, on, mark)
+    out = marked.where(mark).join(lists, on, how).select(*rows.columns, *more)
+    if how == "inner":
+        return out
+    return out.unionByName(marked.where(~F.col(mark)).select(*rows.columns, *(F.lit(None).cast(lists.schema[c].dataType).alias(c) for c in more)))
+
+
 def spread_join(rows: DataFrame, groups: DataFrame, on: str, size: str, how: str = "left") -> DataFrame:
     """`rows` joined to `groups` (one row for each value of `on`, with `size`, how many of `rows` have it), without the size.
 

@@ -26,7 +26,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, parts, read, release, settle
+from .common import listed_join, map_rows, parts, read, release_late, settle
 
 WINDOW, GRAM = 100, 48
 BATCH_BYTES = 1 << 19
@@ -312,12 +312,12 @@ def _gathered(found: DataFrame, name: str) -> DataFrame:
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame, name: str, how: str) -> DataFrame:
-    """doc_id (NULL_ID for null), text, the list. Lists of up to BROADCAST_BYTES in all go to the texts; more are shuffled. A
-    row takes the lists of its id and of its text's tag."""
+    """doc_id (NULL_ID for null), text, the list. Lists of up to BROADCAST_BYTES in all go to the texts; more are shuffled,
+    with the texts that have one (and few others) only. A row takes the lists of its id and of its text's tag."""
     size = lists.agg(F.sum(F.size(name) * 8 + 24)).first()[0] or 0
     rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
     lists = lists.withColumnRenamed("doc", "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("tag", name)).alias(name))
-    return rows.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, "doc_id", how).select("doc_id", "text", name)
+    return listed_join(rows, lists, "doc_id", how, size <= BROADCAST_BYTES)
 
 
 def _own(rows):
@@ -350,7 +350,7 @@ def removed(docs: DataFrame) -> DataFrame:
     buckets = max(parts(spark), -(-size // BUCKET_BYTES))
     first = map_rows(docs, segments(buckets), packed(SEGMENTS), 64).groupBy("bucket").applyInArrow(_reduce(SEGMENTS, judge_segments), FOUND)
     first = settle(first)
-    release(spark)
+    release_late(spark)
     lists = settle(_gathered(first.where("open"), "spans"))
 
     def step_2(rows):
@@ -358,7 +358,7 @@ def removed(docs: DataFrame) -> DataFrame:
 
     second = map_rows(_with_lists(docs, lists, "spans", "inner"), step_2, packed(WINDOWS), 64).groupBy("bucket").applyInArrow(_reduce(WINDOWS, judge_windows), FOUND)
     second = settle(second)
-    release(spark)
+    release_late(spark)
     all_ = first.where("NOT open").unionByName(second)
     return settle(map_rows(_gathered(all_, "spans"), _merged, "doc long, tag long, cuts array<long>", 64))
 
