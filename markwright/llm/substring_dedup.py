@@ -23,7 +23,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, parts, read, release, settle
+from .common import listed_join, map_rows, parts, read, release_late, settle
 
 WINDOW = 20
 ROUNDS = 3
@@ -254,10 +254,11 @@ def gathered(packed: DataFrame, judge) -> DataFrame:
 
 
 def joined(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """doc_id (NULL_ID for null), text, places. Lists of up to BROADCAST_BYTES in all go to the texts; more are shuffled."""
+    """doc_id (NULL_ID for null), text, places. Lists of up to BROADCAST_BYTES in all go to the texts; more are shuffled, with
+    the texts that have one (and few others) only."""
     size = lists.agg(F.sum(F.size("places") * 4 + 16)).first()[0] or 0
     rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
-    return rows.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, "doc_id", how).select("doc_id", "text", "places")
+    return listed_join(rows, lists, "doc_id", how, size <= BROADCAST_BYTES)
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -267,8 +268,9 @@ def removed(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(parts(docs.sparkSession), -(-size // BUCKET_BYTES))
     common = gathered(map_rows_large(docs, anchors(buckets)), shared)
-    release(docs.sparkSession)  # what a stage has shuffled goes before the next one shuffles
+    release_late(docs.sparkSession)  # what a stage has shuffled goes before the next one shuffles
     found = gathered(map_rows_large(joined(docs, common, "inner"), windows(buckets)), later)
+    release_late(docs.sparkSession)
     return found
 
 

@@ -4,7 +4,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-from markwright.llm import bpe, common, suffix_dedup
+from markwright.llm import bpe, common, substring_dedup, suffix_dedup
 from markwright.llm.common import map_rows
 
 
@@ -41,11 +41,12 @@ def test_texts_without_a_list_are_not_shuffled(spark, monkeypatch):
     docs = spark.range(0, 2000, 1, 1).selectExpr("IF(id = 5, NULL, id) AS doc_id", "concat('text ', id) AS text")
     places = spark.createDataFrame([(7, [1, 2]), (suffix_dedup.NULL_ID, [3]), (99999, [4])], "doc_id long, places array<int>")
     spans = places.selectExpr("doc_id AS doc", "doc_id % 3 AS tag", "CAST(places AS array<long>) AS spans")
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", 0)
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # else Spark puts small partitions together
     try:
-        for join, name in ((lambda how: suffix_dedup._with_lists(docs, spans, "spans", how), "spans"),):
+        for join, name in ((lambda how: substring_dedup.joined(docs, places, how), "places"), (lambda how: suffix_dedup._with_lists(docs, spans, "spans", how), "spans")):
             rows = join("left").withColumn("part", F.spark_partition_id()).collect()
             assert sorted((r.doc_id, r.text) for r in rows) == sorted((suffix_dedup.NULL_ID if k == 5 else k, f"text {k}") for k in range(2000))
             assert {r.doc_id: len(r[name]) for r in rows if r[name] is not None} == {7: 2 if name == "places" else 1, suffix_dedup.NULL_ID: 1}
