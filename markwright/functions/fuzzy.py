@@ -2,6 +2,7 @@
 
 from difflib import SequenceMatcher
 from functools import lru_cache
+from math import nextafter
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -137,21 +138,23 @@ def _search(words: list[str], sizes: dict[int, list[int]], keywords: list[str],
 STEP = 1024
 
 
-def _ratios(keywords, text: str | None) -> list[float]:
-    """The ratio of each keyword: 1 if the text holds it, else that of the most similar window."""
+def _ratios(keywords, text: str | None, words: list[str] | None = None, least: float = 0.0) -> list[float]:
+    """The ratio of each keyword: 1 if the text holds it, else that of the most similar window. words: those of the text, if they
+    are known. least: what lower ratios count as, which spares the search for them."""
     import numpy as np
 
     text = text or ""
     keywords = [k or "" for k in keywords]
-    out = np.array([1.0 if k in text else 0.0 for k in keywords])
+    out = np.array([1.0 if k in text else least for k in keywords])
     sizes = {}
     for k, word in enumerate(keywords):
-        if not out[k]:
+        if out[k] < 1:
             n = len(word.split())
             for size in {n, max(1, n - 1), n + 1} - {0}:
                 sizes.setdefault(size, []).append(k)
-    words = text.split() if sizes else []
-    for at in range(0, len(words), STEP):
+    if words is None:
+        words = text.split() if sizes else []
+    for at in range(0, len(words) if sizes else 0, STEP):
         _search(words[at : at + STEP + max(sizes) - 1], sizes, keywords, out)
     return out.tolist()
 
@@ -182,15 +185,27 @@ def missing(keywords, found):
     return F.transform(F.filter(F.arrays_zip(keywords.alias("k"), found.alias("r")), lambda x: x["r"] < FULL), lambda x: x["k"])
 
 
+#: The number just below CONCEPT.
+BELOW = nextafter(CONCEPT, 0.0)
+
+
+def _covered(groups, text: str | None, words: list[str] | None = None, known: dict[str, float] | None = None) -> list[bool]:
+    """Of each group of synonyms, whether one of them has a ratio of CONCEPT or more. known: ratios of some keywords with the text.
+    Only groups that are not settled by these, or by a synonym in the text itself, are searched for, and only from CONCEPT on."""
+    text, known = text or "", known or {}
+    groups = [[s for s in g if s] for g in groups]
+    out = [any(s in text or known.get(s, 0.0) >= CONCEPT for s in g) for g in groups]
+    open_ = list(dict.fromkeys(s for g, hit in zip(groups, out, strict=True) if not hit for s in g if s not in known))
+    if open_:
+        close = {s for s, r in zip(open_, _ratios(open_, text, words, BELOW), strict=True) if r >= CONCEPT}
+        out = [hit or any(s in close for s in g) for g, hit in zip(groups, out, strict=True)]
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
 def covered(concepts: pd.Series, text: pd.Series) -> pd.Series:
     """Of each group of synonyms, whether the text holds one of them, nearly."""
-
-    def flags(groups, t):
-        found = iter(_ratios([s for g in groups for s in g if s], t))
-        return [max((next(found) for s in g if s), default=0.0) >= CONCEPT for g in groups]
-
-    return pd.Series([flags(gs if gs is not None else (), t) for gs, t in zip(concepts, text, strict=True)])
+    return pd.Series([_covered(gs if gs is not None else (), t) for gs, t in zip(concepts, text, strict=True)])
 
 
 def concept_score(flags):

@@ -1,4 +1,9 @@
-"""Vectors of texts without a model: hashed bags of words, as Catalyst expressions."""
+"""Vectors of texts without a model: hashed bags of words, as Catalyst expressions and, for what runs in Python anyway, in Python."""
+
+from collections import Counter
+from functools import lru_cache
+from hashlib import md5
+from math import sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,3 +54,31 @@ def similarities(rows: DataFrame, key: str, text: str, other: DataFrame, to: str
     out = links.join(norm(mine, key, "v"), key, "left").join(norm(theirs, to, "u"), to, "left").join(shared, key, "left")
     both = F.col("v_norm").isNotNull() & F.col("u_norm").isNotNull()
     return out.select(key, F.when(both, F.coalesce("dot", F.lit(0)) / (F.col("v_norm") * F.col("u_norm"))).alias("similarity"))
+
+
+#: Longer words are not kept.
+KEPT_WORD = 64
+
+
+def _place(word: str) -> tuple[int, int]:
+    """`place` of a word."""
+    digest = md5(word.encode()).digest()
+    return digest[0], -1 if digest[1] & 16 else 1
+
+
+_kept_place = lru_cache(maxsize=1 << 16)(_place)
+
+
+def bag(words: list[str]) -> list[int]:
+    """The signed counts of `words` by place."""
+    out = [0] * WIDTH
+    for word, n in Counter(words).items():
+        at, sign = _kept_place(word) if len(word) <= KEPT_WORD else _place(word)
+        out[at] += sign * n
+    return out
+
+
+def likeness(one: list[int], other: list[int]) -> float | None:
+    """The cosine of two bags, as `similarities` has it; None where one of them is all zeros."""
+    norms = [sqrt(sum(v * v for v in x)) for x in (one, other)]
+    return sum(v * u for v, u in zip(one, other, strict=True)) / (norms[0] * norms[1]) if all(norms) else None

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import fuzzy, scoring, sheets, text
+from ..functions import fuzzy, scoring, sheets, text, vectors
 
 #: From which similarity of sounds a missing keyword counts.
 SOUNDS_ALIKE = 0.70
@@ -75,9 +78,27 @@ def single_answers(rows: DataFrame, semantic: Column, judge=None) -> DataFrame:
     return out.drop("_clean", "_words", "_plain", "_found")
 
 
+@lru_cache(maxsize=1024)
+def _model_bag(model: str) -> list[int]:
+    return vectors.bag(model.split())
+
+
+@F.pandas_udf(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("found", T.ArrayType(T.DoubleType())), T.StructField("flags", T.ArrayType(T.BooleanType())), T.StructField("similarity", T.DoubleType())]))
+def looked_through(keywords: pd.Series, concepts: pd.Series, answer: pd.Series, model: pd.Series) -> pd.DataFrame:
+    """What reads all of an answer (cleaned, like `model`), at one go: its number of words, the ratios of keywords, which concepts
+    are covered and the similarity with the model answer by `vectors`, if there is one."""
+    out = []
+    for ks, groups, a, m in zip(keywords, concepts, answer, model, strict=True):
+        words, ks = a.split(), list(ks) if ks is not None else []
+        found = fuzzy._ratios(ks, a, words)
+        flags = fuzzy._covered(groups if groups is not None else (), a, words, dict(zip(ks, found, strict=True)))
+        out.append((len(words), found, flags, vectors.likeness(vectors.bag(words), _model_bag(m)) if m else None))
+    return pd.DataFrame(out, columns=["n", "found", "flags", "similarity"])
+
+
 def final(rows: DataFrame, judge=None) -> DataFrame:
-    """`rows` with the 21 columns of a whole evaluation. Taken: answer, model_answer, similarity (cosine of the two texts' vectors),
-    keywords (word, weight), concepts (groups of synonyms), max_marks.
+    """`rows` with the 21 columns of a whole evaluation. Taken: answer, model_answer, similarity (cosine of the two texts' vectors; if
+    there is no such column it is added, by `vectors`), keywords (word, weight), concepts (groups of synonyms), max_marks.
 
     Under three words: zeros, all keywords missing and all concepts missed. A confidence below 0.20: the same, but semantic_score
     and confidence stay. From 0.20 to 0.35: final_marks are 2.0 at most. Decimals are rounded by `scoring.rounded`, when they are
@@ -85,29 +106,34 @@ def final(rows: DataFrame, judge=None) -> DataFrame:
     that follow from it are null, and feedback says so."""
     rows = rows.withColumn("student_answer_clean", text.preprocess(F.col("answer"))).withColumn("_model", text.preprocess(F.col("model_answer")))
     rows = rows.withColumn("_words", F.transform("keywords", lambda k: k["word"])).withColumn("_labels", F.transform(F.filter("concepts", lambda g: F.size(g) > 0), lambda g: g[0]))
-    n = text.word_count(F.col("student_answer_clean"))
+    given = "similarity" in rows.columns
+    seen = looked_through(F.transform("_words", text.preprocess), "concepts", "student_answer_clean", F.lit(None).cast("string") if given else F.col("_model"))
+    rows = rows.withColumn("_seen", seen).withColumns({"_n": F.col("_seen.n"), "_found": F.col("_seen.found"), "_flags": F.col("_seen.flags"), **({} if given else {"similarity": F.col("_seen.similarity")})})
     sure = scoring.clamp(F.col("similarity").cast("double"), 0.0, 1.0)
-    rows = rows.withColumn("_n", n).withColumn("_band", scoring.band(sure, n)).withColumn("_found", fuzzy.ratios(F.transform("_words", text.preprocess), "student_answer_clean"))
-    rows = rows.withColumn("_flags", fuzzy.covered("concepts", "student_answer_clean"))
+    rows = rows.withColumn("_band", scoring.band(sure, F.col("_n"))).drop("_seen")
     none, empty = scoring.no_marks(F.col("_band")), F.col("_band") == "empty"
     no_words = F.array().cast("array<string>")
     zero = lambda c: F.when(none, 0.0).otherwise(c)
-    out = rows.withColumn("semantic_score", F.when(empty, 0.0).otherwise(scoring.rounded(sure * 10, 2))).withColumn("confidence", F.when(empty, 0.0).otherwise(scoring.rounded(sure, 4)))
-    out = out.withColumn("keyword_score", zero(scoring.rounded(fuzzy.keyword_score(F.transform("keywords", lambda k: k["weight"]), F.col("_found")), 2)))
-    out = out.withColumn("concept_score", zero(scoring.rounded(fuzzy.concept_score(F.col("_flags")), 2)))
-    out = out.withColumn("_against", zero(contradiction(F.col("student_answer_clean"), F.col("_model"), judge))).withColumn("contradiction_score", scoring.rounded(F.col("_against"), 4))
-    out = out.withColumn("raw_score", zero(scoring.rounded(scoring.raw_score(F.col("semantic_score"), F.col("keyword_score"), F.col("concept_score"), F.col("_against")), 4)))
-    factor = scoring.length_factor(F.col("_n"), F.col("max_marks"))
-    out = out.withColumn("length_factor", zero(scoring.rounded(factor, 4))).withColumn("length_adjustment", zero(scoring.rounded(scoring.length_adjustment(factor), 4)))
-    out = out.withColumn("final_marks", scoring.rounded(scoring.banded_marks(F.col("raw_score"), scoring.length_adjustment(factor), F.col("_band")), 2))
-    out = out.withColumn("final_score", scoring.rounded(scoring.scaled(F.col("final_marks"), F.col("max_marks")), 4)).withColumn("rounded_score", scoring.at_most(scoring.half_step(F.col("final_score")), F.col("max_marks").cast("double")))
+
+    def put(to: DataFrame, **given) -> DataFrame:
+        """`to` with each column (value, digits): the value goes into a column first, as `scoring.rounded` names it many times."""
+        to = to.withColumns({f"_{k}": c for k, (c, _) in given.items()})
+        return to.withColumns({k: scoring.rounded(F.col(f"_{k}"), digits) for k, (_, digits) in given.items()}).drop(*(f"_{k}" for k in given))
+
+    factor, adjustment = F.col("_factor"), F.col("_adjustment")
+    out = rows.withColumn("_factor", scoring.length_factor(F.col("_n"), F.col("max_marks"))).withColumn("_adjustment", scoring.length_adjustment(factor)).withColumn("_against", zero(contradiction(F.col("student_answer_clean"), F.col("_model"), judge)))
+    out = put(out, semantic_score=(F.when(empty, 0.0).otherwise(sure * 10), 2), confidence=(F.when(empty, 0.0).otherwise(sure), 4), keyword_score=(zero(fuzzy.keyword_score(F.transform("keywords", lambda k: k["weight"]), F.col("_found"))), 2),
+              concept_score=(zero(fuzzy.concept_score(F.col("_flags"))), 2), contradiction_score=(F.col("_against"), 4))
+    out = put(out, raw_score=(zero(scoring.raw_score(F.col("semantic_score"), F.col("keyword_score"), F.col("concept_score"), F.col("_against"))), 4), length_factor=(zero(factor), 4), length_adjustment=(zero(adjustment), 4))
+    out = put(out, final_marks=(scoring.banded_marks(F.col("raw_score"), adjustment, F.col("_band")), 2))
+    out = put(out, final_score=(scoring.scaled(F.col("final_marks"), F.col("max_marks")), 4)).withColumn("rounded_score", scoring.at_most(scoring.half_step(F.col("final_score")), F.col("max_marks").cast("double")))
     out = out.withColumn("matched_keywords", F.when(none, no_words).otherwise(fuzzy.matched(F.col("_words"), F.col("_found")))).withColumn("missing_keywords", F.when(none, F.col("_words")).otherwise(fuzzy.missing(F.col("_words"), F.col("_found"))))
     labelled = lambda hit: F.transform(F.filter(F.arrays_zip(F.col("concepts").alias("g"), F.col("_flags").alias("f")), lambda x: (x["f"] == F.lit(hit)) & (F.size(x["g"]) > 0)), lambda x: x["g"][0])
     out = out.withColumn("covered_concepts", F.when(none, no_words).otherwise(labelled(True))).withColumn("missed_concepts", F.when(none, F.col("_labels")).otherwise(labelled(False)))
     lines = scoring.feedback(F.col("_band"), F.col("_against"), factor, F.col("semantic_score"), sure, F.col("missed_concepts"), F.col("missing_keywords"), F.size("_words"))
     out = out.withColumn("feedback", lines).withColumn("semantic_weight", F.lit(scoring.W_SEMANTIC)).withColumn("keyword_weight", F.lit(scoring.W_KEYWORD))
     out = out.withColumn("is_irrelevant", F.col("_band") == "irrelevant").withColumn("is_partially_relevant", F.col("_band") == "partial")
-    return out.drop("_model", "_words", "_labels", "_n", "_band", "_found", "_flags", "_against")
+    return out.drop("_model", "_words", "_labels", "_n", "_band", "_found", "_flags", "_against", "_factor", "_adjustment")
 
 
 def separate_uploads(questions: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:

@@ -52,3 +52,35 @@ def test_single_answers_by_relevance(spark):
     assert [r.score_out_of_10 for r in got[:4]] == [0.0, 2.0, 2.0, 2.0] and got[4].score_out_of_10 == 4.25 and got[5].score_out_of_10 == 6.5
     assert got[6].score_out_of_10 == 0.0 and got[7].score_out_of_10 > 5
     assert (got[0].matched, got[0].missing, got[6].matched, got[6].missing) == ([], ["water"], [], ["water"]) and got[1].matched == ["water"]
+
+
+def test_evaluations_in_one_pass(spark):
+    """Without a column of similarities they are made in the pass that reads an answer for its keywords: those of `semantic_scores`,
+    ratios and concepts as if each were searched alone. No answer is shuffled by its number or cut into rows of words."""
+    import __spark_entry__
+    from markwright.functions import fuzzy
+
+    d = "/root/testdata/sf0.001"
+    found = __spark_entry__.queries()["evaluate_answers"](spark, d)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "hashpartitioning(doc_id" not in plan and plan.count("ArrowEvalPython [") == 1
+    likened = {r.doc_id: (r.item, r.similarity) for r in __spark_entry__.queries()["semantic_scores"](spark, d).collect()}
+    bank = {r.item_id: list(dict.fromkeys(w for w in r.text.lower().split(" ") if len(w) > 6)) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    rows = {r.doc_id: r for r in found.collect()}
+    assert rows.keys() == likened.keys() and any(r.covered_concepts for r in rows.values()) and any(r.missed_concepts for r in rows.values())
+    for i, r in rows.items():
+        assert (r.item, r.similarity is None or round(r.similarity, 6)) == (likened[i][0], likened[i][1] is None or likened[i][1])
+        if not r.is_irrelevant and r.similarity is not None and len(r.student_answer_clean.split()) > 2:
+            near = {w: max(fuzzy.ratio(w, r.student_answer_clean), fuzzy.ratio(w[:5], r.student_answer_clean)) for w in bank[r.item]}
+            assert r.covered_concepts == [w for w in bank[r.item] if near[w] >= fuzzy.CONCEPT]
+            assert r.matched_keywords == [w for w in bank[r.item] if fuzzy.ratio(" ".join(w.split()), r.student_answer_clean) >= fuzzy.FULL]
+
+
+def test_given_similarities_stay(spark):
+    s = "k int, answer string, model_answer string, similarity double, keywords array<struct<word: string, weight: double>>, concepts array<array<string>>, max_marks int"
+    rows = spark.createDataFrame([(1, "water and air", "water and air", None, [("water", 1.0)], [["air"]], 5), (2, "water and air", "fire", 0.9, None, None, 5), (3, None, "fire", 0.9, [("fire", 1.0)], [[]], 5)], s)
+    got = {r.k: r for r in evaluate.final(rows).collect()}
+    assert (got[1].similarity, got[1].final_marks, got[2].confidence, got[3].semantic_score) == (None, None, 0.9, 0.0)
+    assert (got[3].missing_keywords, got[3].covered_concepts) == (["fire"], [])
+    made = {r.k: r.similarity for r in evaluate.final(rows.drop("similarity")).collect()}
+    assert abs(made[1] - 1) < 1e-12 and made[2] is not None and made[3] is None
