@@ -122,3 +122,37 @@ def test_ratios_are_those_of_difflib(spark):
         keywords = [" ".join(word() for _ in range(r.randrange(4))) for _ in range(3)] + ["", None, " ", "x" * 70, word(90)]
         assert fuzzy._ratios(keywords, text) == [plain(k, text) for k in keywords]
     assert fuzzy._ratios(["a"], None) == [0.0] and fuzzy._ratios([], "a") == []
+
+
+@pytest.mark.parametrize("others", [False, True])
+def test_rows_a_part(spark, others, monkeypatch):
+    """Two rows at most come from a query and part of the bank, however many cells there are and blocks its tasks read; the best two
+    are the right ones in several parts too, with vectors that are equal, not of length 1 or of another size."""
+    monkeypatch.setattr(match, "HELD", 400)
+    r = np.random.default_rng(7)
+    v = r.normal(size=(2400, 24)).astype(np.float32).astype(float)
+    bank = [(k, list(map(float, x / np.linalg.norm(x)))) for k, x in enumerate(v)]
+    bank += [(5000 + k, bank[20 * k][1]) for k in range(30)] + [(6000 + k, bank[40][1]) for k in range(700)] + [(7000, [2.0] * 24), (7001, [0.0] * 24), (7002, [0.6, 0.8]), (7003, [1e3] + [0.0] * 23)]
+    b = spark.createDataFrame(bank, V).repartition(12)
+    queries = bank[::20] + bank[-4:]
+    q = spark.createDataFrame(queries, V).withColumnRenamed("bank_pos", "q_id")
+    made = match.candidates(q, b, others, cells=50)
+    most = made.groupBy("q_id").count().agg({"count": "max"}).first()[0]
+    assert most <= 2 * round(len(bank) / 400)
+    got = {x.q_id: (x.bank_pos, round(x.score, 9), round(x.second, 9)) for x in match.nearest(q, b, others).collect()}
+    assert got == brute(queries, bank, others)
+
+
+def test_keys_without_texts(spark):
+    """Texts are read for their key and for whether they say anything before any join; what says nothing is what cleaning empties."""
+    from markwright.functions import text
+    from markwright.plans.queries import QUERIES
+
+    cases = ["", None, " \t", "...", "..", "||", "|", "__ ...", ". . .", "..||.", "a", " ñ", "|_|", "​　", "....|", "  \n. "]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(cases)], "k int, question string")
+    want = {r.k: r.c != "" for r in rows.select("k", text.preprocess(rows.question).alias("c")).collect()}
+    got = {r.k: (r.says, r.key is None) for r in match.keyed(rows).collect()}
+    assert got == {k: (want[k], not cases[k]) for k in want}
+    plan = QUERIES["bank_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Project [" in line and "vector" in line]
+    assert joins and not any("question" in line or "text" in line for line in joins)
