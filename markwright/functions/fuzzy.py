@@ -57,8 +57,9 @@ def _codes(text: str):
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _search(words: list[str], sizes: dict[int, list[int]], keywords: list[str], best) -> None:
-    """Raises `best`, a ratio for each keyword, by the windows of each size, for the keywords listed under it.
+def _search(pieces: list[tuple[int, list[str]]], sizes: dict[int, list[int]], keywords: list[str], best) -> None:
+    """Raises `best`, a row of ratios of the keywords for each text, by the windows of each size, for the keywords listed under it.
+    pieces: words of texts with the texts' rows, those of one text together.
 
     The longest common subsequence of each keyword with each distinct word comes first, all at once, one bit for a letter of a keyword
     (up to 63). A window shares no more letters in order than its words do in all, which bounds its ratio; those that may still be
@@ -66,11 +67,12 @@ def _search(words: list[str], sizes: dict[int, list[int]], keywords: list[str],
     import numpy as np
 
     known, masks, n, spaces = _letters_of(tuple(keywords))
-    distinct: dict[str, int] = {}
-    for w in words:
-        distinct.setdefault(w, 0)
-    names = sorted(distinct, key=len, reverse=True)
-    distinct.update(zip(names, range(len(names)), strict=True))
+    words, many = [w for _, ws in pieces for w in ws], [len(ws) for _, ws in pieces]
+    if not words:
+        return
+    row, piece = np.repeat([r for r, _ in pieces], many), np.repeat(np.arange(len(pieces)), many)
+    names = sorted(dict.fromkeys(words), key=len, reverse=True)
+    distinct = dict(zip(names, range(len(names)), strict=True))
     at = np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))
     lengths = np.fromiter(map(len, names), np.int64, len(names))
     starts = np.cumsum(lengths) - lengths
@@ -91,32 +93,47 @@ def _search(words: list[str], sizes: dict[int, list[int]], keywords: list[str],
     in_order = np.bitwise_count(~rest).astype(np.int32)
     long = n[rows] > 63
     in_order[:, long] = np.minimum(n[rows][long][None, :], lengths[:, None])
-    row_of = {int(k): row for row, k in enumerate(rows)}
+    row_of = {int(k): r for r, k in enumerate(rows)}
+    new_row = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    ratio_of: dict[tuple[int, str], float] = {}
     for size, named in sizes.items():
-        if size > len(words):
+        count = len(words) - size + 1
+        if size > max(many):
             continue
-        of = np.array([row_of[k] for k in named])
+        of, named = np.array([row_of[k] for k in named]), np.array(named)
         if size == 1:
-            most, total = in_order[:, of], lengths
+            bound = (2.0 * in_order[:, of] / (lengths[:, None] + n[named]))[at]
         else:
-            each, count = in_order[:, of][at], len(words) - size + 1
-            most = sum(each[k : k + count] for k in range(size)) + np.minimum(spaces[named], size - 1)
             total = sum(lengths[at][k : k + count] for k in range(size)) + size - 1
-        total = total[:, None] + n[named]
-        bound, tried = 2.0 * most / total, set()
-
-        def look(k, w, most):
-            window = names[w] if size == 1 else " ".join(words[w : w + size])  # noqa: B023
-            if (k, window) not in tried:  # noqa: B023
-                tried.add((k, window))  # noqa: B023
-                best[k] = max(best[k], similarity(keywords[k], window, int(most)))
-
-        for row, w in enumerate(bound.argmax(axis=0) if size == min(sizes) else ()):  # a first ratio, which rules most out
-            if bound[w, row] > best[named[row]]:
-                look(named[row], int(w), most[w, row])
-        ws, which = np.nonzero(bound > best[named])
-        value, most = bound[ws, which], most[ws, which]
-        if size > 1 and len(ws):
+            longest = (n[named] * (2.0 / np.maximum(best[:, named], 1e-9) - 1)).max(axis=1) + 1e-6  # longer windows are below all bests
+            inner = np.flatnonzero((total <= longest[row[:count]]) & (piece[:count] == piece[size - 1 :]))
+            each, total = in_order[:, of], total[inner]
+            most = sum(each[at[inner + k]] for k in range(size)) + np.minimum(spaces[named], size - 1)
+            bound = 2.0 * most / (total[:, None] + n[named])
+
+        def look(ws, which, value, most):
+            """Compares windows from the highest bound down, as long as one is above the best of its text and keyword."""
+            found, order = best.tolist(), np.argsort(-value, kind="stable")
+            for r, k, w, v, m in zip(*(x[order].tolist() for x in (row[ws], named[which], ws, value, most)), strict=True):  # noqa: B023
+                if v > found[r][k]:
+                    window = words[w] if size == 1 else " ".join(words[w : w + size])  # noqa: B023
+                    if (k, window) not in ratio_of:
+                        ratio_of[k, window] = similarity(keywords[k], window, m)
+                    if ratio_of[k, window] > found[r][k]:
+                        found[r][k] = best[r, k] = ratio_of[k, window]
+
+        if size == 1:  # a first ratio, which rules most out
+            top = np.maximum.reduceat(bound, new_row, axis=0)
+            text = np.repeat(np.arange(len(new_row)), np.diff(np.r_[new_row, len(words)]))
+            ws, which = np.nonzero((bound == top[text]) & (bound > best[row][:, named]))
+            first = np.unique(text[ws] * len(named) + which, return_index=True)[1]
+            ws, which = ws[first], which[first]
+            look(ws, which, bound[ws, which], in_order[at[ws], of[which]])
+        ws, which = np.nonzero(bound > best[row if size == 1 else row[inner]][:, named])
+        if size == 1:
+            look(ws, which, bound[ws, which], in_order[at[ws], of[which]])
+        elif len(ws):
+            most, total, ws = most[ws, which], total[ws], inner[ws]
             column, width = of[which], len(rows)
             state, flat, none = rest[at[ws], column], own.ravel(), len(known) * width
             for k in range(1, size):
@@ -127,36 +144,71 @@ def _search(words: list[str], sizes: dict[int, list[int]], keywords: list[str],
                     state = (state + shared) | (state - shared)
             whole = np.bitwise_count(~state).astype(np.int64) + np.minimum(spaces[named], size - 1)[which]
             most = np.where(n[named][which] > 63, most, np.minimum(most, whole))
-            value = 2.0 * most / total[ws, which]
-        for p in np.argsort(-value, kind="stable"):
-            k = named[which[p]]
-            if value[p] > best[k]:
-                look(k, int(ws[p]), most[p])
-
+            value = 2.0 * most / (total + n[named][which])
+            still = value > best[row[ws], named[which]]
+            look(ws[still], which[still], value[still], most[still])
 
-#: Words of a text that are searched at a time.
-STEP = 1024
 
+#: Words of texts that are searched at a time, and words times keywords.
+STEP, PAIRS = 1024, 160_000
+#: Characters of texts that are held as words at a time.
+AT_ONCE = 1 << 20
 
-def _ratios(keywords, text: str | None, words: list[str] | None = None, least: float = 0.0) -> list[float]:
-    """The ratio of each keyword: 1 if the text holds it, else that of the most similar window. words: those of the text, if they
-    are known. least: what lower ratios count as, which spares the search for them."""
-    import numpy as np
 
-    text = text or ""
-    keywords = [k or "" for k in keywords]
-    out = np.array([1.0 if k in text else least for k in keywords])
+def _ratios_of(keywords, texts: list[str], words: list[list[str]], best) -> None:
+    """Raises `best`, a row for each text of the ratios that keywords have at least: to 1 where the text holds the keyword, else to
+    the ratio of the most similar window. Keywords that have 1 already are not looked for. words: those of each text."""
+    for r, text in enumerate(texts):
+        best[r] = [1.0 if has < 1 and k in text else has for k, has in zip(keywords, best[r].tolist(), strict=True)]
     sizes = {}
     for k, word in enumerate(keywords):
-        if out[k] < 1:
+        if (best[:, k] < 1).any():
             n = len(word.split())
             for size in {n, max(1, n - 1), n + 1} - {0}:
                 sizes.setdefault(size, []).append(k)
-    if words is None:
-        words = text.split() if sizes else []
-    for at in range(0, len(words) if sizes else 0, STEP):
-        _search(words[at : at + STEP + max(sizes) - 1], sizes, keywords, out)
-    return out.tolist()
+    if not sizes:
+        return
+    open_, held, n, most = (best < 1).any(axis=1).tolist(), [], 0, max(STEP, PAIRS // len(keywords))
+    for r, ws in enumerate(words):
+        for at in range(0, len(ws) if open_[r] else 0, most):
+            held.append((r, ws[at : at + most + max(sizes) - 1]))
+            n += len(held[-1][1])
+            if n >= most:
+                _search(held, sizes, keywords, best)
+                held, n = [], 0
+    if held:
+        _search(held, sizes, keywords, best)
+
+
+def _ratios(keywords, text: str | None) -> list[float]:
+    """The ratio of each keyword: 1 if the text holds it, else that of the most similar window."""
+    return _ratios_many(keywords, [text or ""], [(text or "").split()])[0]
+
+
+def _ratios_many(keywords, texts: list[str], words: list[list[str]]) -> list[list[float]]:
+    import numpy as np
+
+    best = np.zeros((len(texts), len(keywords)))
+    _ratios_of([k or "" for k in keywords], texts, words, best)
+    return best.tolist()
+
+
+def alike(keys: list, texts: list[str]):
+    """(key, places): the places of each of `keys`, as rows with the same keywords are searched together, much of the work being the
+    keywords' own; some AT_ONCE characters of their texts at a time."""
+    found = {}
+    for at, key in enumerate(keys):
+        found.setdefault(key, []).append(at)
+    for key, places in found.items():
+        held, n = [], 0
+        for at in places:
+            held.append(at)
+            n += len(texts[at])
+            if n >= AT_ONCE:
+                yield key, held
+                held, n = [], 0
+        if held:
+            yield key, held
 
 
 def ratio(keyword: str | None, text: str | None) -> float:
@@ -167,7 +219,12 @@ def ratio(keyword: str | None, text: str | None) -> float:
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def ratios(keywords: pd.Series, text: pd.Series) -> pd.Series:
     """The ratio of each keyword of a row's array with the row's text."""
-    return pd.Series([_ratios(ks if ks is not None else (), t) for ks, t in zip(keywords, text, strict=True)])
+    texts, out = [t or "" for t in text], [None] * len(text)
+    for ks, places in alike([tuple(ks) if ks is not None else () for ks in keywords], texts):
+        own = [texts[at] for at in places]
+        for at, found in zip(places, _ratios_many(ks, own, [t.split() for t in own]), strict=True):
+            out[at] = found
+    return pd.Series(out, index=text.index, dtype=object)
 
 
 def keyword_score(weights, found):
@@ -189,23 +246,35 @@ def missing(keywords, found):
 BELOW = nextafter(CONCEPT, 0.0)
 
 
-def _covered(groups, text: str | None, words: list[str] | None = None, known: dict[str, float] | None = None) -> list[bool]:
-    """Of each group of synonyms, whether one of them has a ratio of CONCEPT or more. known: ratios of some keywords with the text.
-    Only groups that are not settled by these, or by a synonym in the text itself, are searched for, and only from CONCEPT on."""
-    text, known = text or "", known or {}
+def _covered_many(groups, texts: list[str], words: list[list[str]], known: list[dict[str, float]]) -> list[list[bool]]:
+    """Of each text for each group of synonyms, whether one of them has a ratio of CONCEPT or more. known: ratios of some keywords with
+    each text. Only groups that are not settled by these, or by a synonym in the text itself, are searched for, and only from CONCEPT on."""
+    import numpy as np
+
     groups = [[s for s in g if s] for g in groups]
-    out = [any(s in text or known.get(s, 0.0) >= CONCEPT for s in g) for g in groups]
-    open_ = list(dict.fromkeys(s for g, hit in zip(groups, out, strict=True) if not hit for s in g if s not in known))
-    if open_:
-        close = {s for s, r in zip(open_, _ratios(open_, text, words, BELOW), strict=True) if r >= CONCEPT}
-        out = [hit or any(s in close for s in g) for g, hit in zip(groups, out, strict=True)]
+    names = list(dict.fromkeys(s for g in groups for s in g))
+    place = {s: k for k, s in enumerate(names)}
+    best, out = np.ones((len(texts), len(names))), []
+    for r, (text, has) in enumerate(zip(texts, known, strict=True)):
+        out.append([any(has.get(s, 0.0) >= CONCEPT or s in text for s in g) for g in groups])
+        best[r, [place[s] for g, hit in zip(groups, out[r], strict=True) if not hit for s in g if s not in has]] = BELOW
+    open_ = best < 1
+    _ratios_of(names, texts, words, best)
+    close = open_ & (best >= CONCEPT)
+    for r in np.flatnonzero(close.any(axis=1)):
+        out[r] = [hit or any(close[r, place[s]] for s in g) for g, hit in zip(groups, out[r], strict=True)]
     return out
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
 def covered(concepts: pd.Series, text: pd.Series) -> pd.Series:
     """Of each group of synonyms, whether the text holds one of them, nearly."""
-    return pd.Series([_covered(gs if gs is not None else (), t) for gs, t in zip(concepts, text, strict=True)])
+    texts, out = [t or "" for t in text], [None] * len(text)
+    for groups, places in alike([tuple(map(tuple, gs)) if gs is not None else () for gs in concepts], texts):
+        own = [texts[at] for at in places]
+        for at, found in zip(places, _covered_many(groups, own, [t.split() for t in own], [{}] * len(own)), strict=True):
+            out[at] = found
+    return pd.Series(out, index=text.index, dtype=object)
 
 
 def concept_score(flags):

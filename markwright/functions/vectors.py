@@ -1,8 +1,8 @@
 """Vectors of texts without a model: hashed bags of words, as Catalyst expressions and, for what runs in Python anyway, in Python."""
 
-from collections import Counter
 from functools import lru_cache
 from hashlib import md5
+from itertools import chain
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame
@@ -60,25 +60,28 @@ def similarities(rows: DataFrame, key: str, text: str, other: DataFrame, to: str
 KEPT_WORD = 64
 
 
-def _place(word: str) -> tuple[int, int]:
-    """`place` of a word."""
+def _code(word: str) -> int:
+    """`place` of a word, as twice the place and one for words that take away."""
     digest = md5(word.encode()).digest()
-    return digest[0], -1 if digest[1] & 16 else 1
+    return 2 * digest[0] + (digest[1] >> 4 & 1)
 
 
-_kept_place = lru_cache(maxsize=1 << 16)(_place)
+_kept_code = lru_cache(maxsize=1 << 16)(_code)
 
 
-def bag(words: list[str]) -> list[int]:
-    """The signed counts of `words` by place."""
-    out = [0] * WIDTH
-    for word, n in Counter(words).items():
-        at, sign = _kept_place(word) if len(word) <= KEPT_WORD else _place(word)
-        out[at] += sign * n
-    return out
+def bags(words: list[list[str]]):
+    """The signed counts of each text's words by place, a row (of WIDTH integers) a text."""
+    import numpy as np
 
+    names = dict.fromkeys(chain.from_iterable(words))
+    codes = np.fromiter((_kept_code(w) if len(w) <= KEPT_WORD else _code(w) for w in names), np.int64, len(names))
+    index, many = dict(zip(names, range(len(names)), strict=True)), np.array([len(ws) for ws in words], np.int64)
+    at = np.fromiter(map(index.__getitem__, chain.from_iterable(words)), np.int64, int(many.sum()))
+    counts = np.bincount(np.repeat(np.arange(len(words)), many) * 2 * WIDTH + codes[at], minlength=2 * WIDTH * len(words)).reshape(-1, WIDTH, 2)
+    return counts[:, :, 0] - counts[:, :, 1]
 
-def likeness(one: list[int], other: list[int]) -> float | None:
-    """The cosine of two bags, as `similarities` has it; None where one of them is all zeros."""
-    norms = [sqrt(sum(v * v for v in x)) for x in (one, other)]
-    return sum(v * u for v, u in zip(one, other, strict=True)) / (norms[0] * norms[1]) if all(norms) else None
+
+def likeness(one, other) -> float | None:
+    """The cosine of two rows of `bags`, as `similarities` has it; None where one of them is all zeros."""
+    norms = [sqrt(int(x @ x)) for x in (one, other)]
+    return int(one @ other) / (norms[0] * norms[1]) if all(norms) else None

@@ -79,21 +79,26 @@ def single_answers(rows: DataFrame, semantic: Column, judge=None) -> DataFrame:
 
 
 @lru_cache(maxsize=1024)
-def _model_bag(model: str) -> list[int]:
-    return vectors.bag(model.split())
+def _model_bag(model: str):
+    return vectors.bags([model.split()])[0]
 
 
 @F.pandas_udf(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("found", T.ArrayType(T.DoubleType())), T.StructField("flags", T.ArrayType(T.BooleanType())), T.StructField("similarity", T.DoubleType())]))
 def looked_through(keywords: pd.Series, concepts: pd.Series, answer: pd.Series, model: pd.Series) -> pd.DataFrame:
     """What reads all of an answer (cleaned, like `model`), at one go: its number of words, the ratios of keywords, which concepts
     are covered and the similarity with the model answer by `vectors`, if there is one."""
-    out = []
-    for ks, groups, a, m in zip(keywords, concepts, answer, model, strict=True):
-        words, ks = a.split(), list(ks) if ks is not None else []
-        found = fuzzy._ratios(ks, a, words)
-        flags = fuzzy._covered(groups if groups is not None else (), a, words, dict(zip(ks, found, strict=True)))
-        out.append((len(words), found, flags, vectors.likeness(vectors.bag(words), _model_bag(m)) if m else None))
-    return pd.DataFrame(out, columns=["n", "found", "flags", "similarity"])
+    out = [None] * len(answer)
+    keys = [(tuple(ks) if ks is not None else (), tuple(map(tuple, gs)) if gs is not None else ()) for ks, gs in zip(keywords, concepts, strict=True)]
+    answers, models = list(answer), list(model)
+    for (ks, groups), places in fuzzy.alike(keys, answers):
+        texts = [answers[at] for at in places]
+        words = [x.split() for x in texts]
+        found = fuzzy._ratios_many(ks, texts, words)
+        flags = fuzzy._covered_many(groups, texts, words, [dict(zip(ks, x, strict=True)) for x in found])
+        bags = vectors.bags(words) if any(models[at] for at in places) else words
+        for at, w, x, hits, bag in zip(places, words, found, flags, bags, strict=True):
+            out[at] = (len(w), x, hits, vectors.likeness(bag, _model_bag(models[at])) if models[at] else None)
+    return pd.DataFrame(out, columns=["n", "found", "flags", "similarity"], index=answer.index)
 
 
 def final(rows: DataFrame, judge=None) -> DataFrame:

@@ -84,3 +84,24 @@ def test_given_similarities_stay(spark):
     assert (got[3].missing_keywords, got[3].covered_concepts) == (["fire"], [])
     made = {r.k: r.similarity for r in evaluate.final(rows.drop("similarity")).collect()}
     assert abs(made[1] - 1) < 1e-12 and made[2] is not None and made[3] is None
+
+
+def test_answers_searched_together(spark):
+    """Answers with the same keywords are searched together, which changes none of their ratios and flags, nor where texts are cut."""
+    import random
+
+    from markwright.functions import fuzzy
+
+    r = random.Random(3)
+    word = lambda n=9: "".join(r.choice("abcdeñ") for _ in range(r.randrange(1, n)))
+    keywords = [" ".join(word() for _ in range(n)) for n in (1, 1, 2, 3)] + ["", None, "x" * 70]
+    texts = [" ".join(word() for _ in range(n)) for n in (0, 1, 2, 30, 200, 2600)] + [f"{word(300)} {word()}"]
+    alone = [fuzzy._ratios(keywords, t) for t in texts]
+    assert fuzzy._ratios_many(keywords, texts, [t.split() for t in texts]) == alone
+    groups = [[k, (k or "")[:3]] for k in keywords] + [[], [None]]
+    want = [[max((fuzzy.ratio(s, t) for s in g if s), default=0.0) >= fuzzy.CONCEPT for g in groups] for t in texts]
+    for known in ([{}] * len(texts), [dict(zip(keywords, x, strict=True)) for x in alone]):
+        assert fuzzy._covered_many(groups, texts, [t.split() for t in texts], known) == want
+    df = spark.createDataFrame([(k, t, keywords) for k, t in enumerate(texts)] + [(99, None, None)], "k int, t string, ks array<string>").repartition(2)
+    got = {x.k: x.f for x in df.select("k", fuzzy.ratios("ks", "t").alias("f")).collect()}
+    assert got == dict(enumerate(alone)) | {99: []}
